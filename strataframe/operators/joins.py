@@ -105,13 +105,13 @@ def interval_lookup(
     inner = [*dict.fromkeys([lo, hi, *take, *order])]
     hits = interval_join(points, intervals.select(*by, *inner), by, point, lo, hi, width, "left")
     found = hits.groupBy(*points.columns).agg(
-        F.min_by(F.struct(*take), F.when(F.col(lo).isNotNull(), F.struct(*order))).alias("_m")
+        F.min_by(F.struct(*take), F.when(F.col(lo).isNotNull(), F.struct(*order))).alias("_hit")
     )
     if fallback:
         nxt = asof_join(found, intervals.select(*by, *inner), by, point, hi, take, "forward", "last", limit)
-        prior = [F.coalesce(F.col(f"_m.{c}"), F.col(c)).alias(c) for c in take]
+        prior = [F.coalesce(F.col(f"_hit.{c}"), F.col(c)).alias(c) for c in take]
         return nxt.select(*points.columns, *prior)
-    return found.select(*points.columns, *[F.col(f"_m.{c}").alias(c) for c in take])
+    return found.select(*points.columns, *[F.col(f"_hit.{c}").alias(c) for c in take])
 
 
 def band_join(
