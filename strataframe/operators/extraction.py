@@ -27,7 +27,7 @@ def normalise(text) -> Column:
     from strataframe.functions.text import DASHES
 
     t = F.lower(text if isinstance(text, Column) else F.col(text))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, DASHES, "-"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(t, DASHES, "-" * len(DASHES)), r"\s+", " "))
 
 
 def _metres(s: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataframe.functions.numeric import round_half_up
-from strataframe.functions.text import tokenize
+from strataframe.functions.text import token_rows
 from strataframe.operators.aggregates import document_frequency
 from strataframe.plans.frames import half_up_sql
 from strataframe.plans.registry import query
@@ -126,7 +126,7 @@ n AS (SELECT conv_id, turn, sqrt(sum(w*w)) AS norm FROM t GROUP BY ALL),
 d AS (SELECT a.conv_id, a.turn, sum(a.w*b.w) AS dot FROM t a JOIN t b ON a.conv_id=b.conv_id AND b.turn=a.turn+1 AND a.term=b.term GROUP BY ALL)
 SELECT d.conv_id, d.turn, {R6('dot/(x.norm*y.norm)')} AS cosine FROM d JOIN n x ON x.conv_id=d.conv_id AND x.turn=d.turn JOIN n y ON y.conv_id=d.conv_id AND y.turn=d.turn+1""")
 def f19(spark, sf):
-    c = read_table(spark, sf, "conversations").select("conv_id", "turn", F.explode(tokenize("text")).alias("term"))
+    c = token_rows(read_table(spark, sf, "conversations"), ["conv_id", "turn"], "text")
     t = c.groupBy("conv_id", "turn", "term").agg((1 + F.log(F.count(F.lit(1)).cast("double"))).alias("w"))
     n = t.groupBy("conv_id", "turn").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), "term", F.col("w").alias("w2"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataframe.functions.numeric import round_half_up
-from strataframe.functions.text import tokenize
+from strataframe.functions.text import token_rows, tokenize
 from strataframe.operators import aggregates as A
 from strataframe.operators import windows as W
 from strataframe.plans.frames import CATEGORIES, half_up_sql, incidents, samples, scored, tops, with_sql
@@ -86,7 +86,7 @@ def a7(spark, sf):
 
 @query("a8_document_frequency", f"""SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS_SQL('text')}) AS term FROM documents) GROUP BY 1""")
 def a8(spark, sf):
-    t = read_table(spark, sf, "documents").select("doc_id", F.explode(tokenize("text")).alias("term"))
+    t = token_rows(read_table(spark, sf, "documents"), ["doc_id"], "text")
     return A.document_frequency(t, "doc_id", "term")
 
 

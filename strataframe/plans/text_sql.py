@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataframe.functions.text import ACCENTED, DASHES, STOP_WORDS, UNACCENTED
+from strataframe.functions.text import ACCENTED, STOP_WORDS, UNACCENTED
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
@@ -17,7 +17,7 @@ def STEM_SQL(t: str) -> str:  # noqa: N802
 
 
 def TOKENS_SQL(text: str) -> str:  # noqa: N802
-    folded = f"regexp_replace(lower(coalesce({text}, '')), '{DASHES}', '-', 'g')"
+    folded = f"regexp_replace(lower(coalesce({text}, '')), '[‐-―−]', '-', 'g')"
     joined = f"regexp_replace({folded}, '(\\d),(\\d{{3}})', '\\1\\2', 'g')"
     raw = (f"list_transform(regexp_split_to_array({joined}, '[^a-z0-9./-]+'), "
            "lambda r: regexp_replace(r, '^[./-]+|[./-]+$', '', 'g'))")

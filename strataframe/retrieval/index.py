@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions.numeric import round_half_up
-from strataframe.functions.text import tokenize, words
+from strataframe.functions.text import token_rows, word_rows
 from strataframe.operators.aggregates import document_frequency, update_df
 from strataframe.operators.topk import topk
+from strataframe.sources.tables import spread
 
 # Sparse-vector size, smallest weight kept, digits of a stored weight.
 TOP_TERMS = 96
@@ -19,8 +20,9 @@ WEIGHT_DIGITS = 5
 
 def postings(items: DataFrame, ref: str, text: Column, exact_words: bool = True) -> DataFrame:
     """(ref, term, tf): one row per item and term. Counts are pre-aggregated before the shuffle."""
-    toks = words(text) if exact_words else tokenize(text)
-    return items.select(ref, F.explode(toks).alias("term")).groupBy(ref, "term").agg(F.count(F.lit(1)).alias("tf"))
+    src = spread(items.select(ref, text.alias("_text")))
+    rows = (word_rows if exact_words else token_rows)(src, [ref], "_text")
+    return rows.groupBy(ref, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lengths(posts: DataFrame, ref: str) -> DataFrame:

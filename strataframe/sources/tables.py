@@ -40,6 +40,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schema_of(name)).parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores when the input comes in fewer splits than that; large inputs are left as they are.
+
+    For work that is heavy per row (text): one small file is one split and would keep a single core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parse_json_cols(df: DataFrame, schemas: dict[str, str]) -> DataFrame:
     """JSON text columns as typed structs; unparsable text gives null."""
     return df.withColumns({c: F.from_json(c, s) for c, s in schemas.items()})
