@@ -9,8 +9,8 @@ from strataframe.functions.numeric import circular, finite, round_half_up
 from strataframe.operators.joins import asof_join, first_match_join, interval_lookup
 from strataframe.operators.series import checked_limit, position, row_frames
 from strataframe.operators.windows import (
-    EPS, MIN_HISTORY, MIN_PIT_HISTORY, ROLLING_ROWS, SLOPE_ROWS, SLOPE_SCALE, local_ratio, trailing_deficit,
-    trailing_slope,
+    EPS, MIN_HISTORY, MIN_PIT_HISTORY, ROLLING_ROWS, SLOPE_ROWS, SLOPE_SCALE, baselines, local_ratio, slope_frames,
+    trailing_deficit, trailing_slope,
 )
 
 FEATURE_VERSION = "v1.0.0"
@@ -44,14 +44,18 @@ def series_features(samples: DataFrame, by: list[str], order: list[str], limit:
     limit = checked_limit(samples, by) if limit is None else limit
     indexed = position(samples, by, order, "_x", limit).withColumn("_x", F.col("_x").cast("double"))
 
-    def exprs(w):
-        out = {o: local_ratio(w, c) for o, c in RATIO_COLUMNS.items()}
-        out["flow_deficit_lpm"] = trailing_deficit(w, "flow_out_lpm")
-        out["d_exponent_trend"] = trailing_slope(w, "d_exponent", SLOPE_ROWS, MIN_HISTORY, SLOPE_SCALE)
-        out["pit_trend_m3_per_m"] = trailing_slope(w, "pit_volume_m3", ROLLING_ROWS, MIN_PIT_HISTORY, 1)
-        return out
+    def frames(w):
+        return {
+            **baselines(w, [*RATIO_COLUMNS.values(), "flow_out_lpm"]),
+            **slope_frames(w, "d_exponent_trend", "d_exponent", SLOPE_ROWS),
+            **slope_frames(w, "pit_trend_m3_per_m", "pit_volume_m3", ROLLING_ROWS),
+        }
 
-    return row_frames(indexed, by, order, exprs, before=ROLLING_ROWS, limit=limit).drop("_x")
+    then = {o: local_ratio(c) for o, c in RATIO_COLUMNS.items()}
+    then["flow_deficit_lpm"] = trailing_deficit("flow_out_lpm")
+    then["d_exponent_trend"] = trailing_slope("d_exponent_trend", MIN_HISTORY, SLOPE_SCALE)
+    then["pit_trend_m3_per_m"] = trailing_slope("pit_trend_m3_per_m", MIN_PIT_HISTORY, 1)
+    return row_frames(indexed, by, order, frames, before=ROLLING_ROWS, limit=limit, then=then).drop("_x")
 
 
 def margin_features(mud: Column, ecd: Column, pp: Column, fg: Column) -> dict[str, Column]:
@@ -70,26 +74,25 @@ def build_features(samples: DataFrame, wells: DataFrame, sections: DataFrame, mu
     samples (well_id, depth, channels); wells (well_id, td_md); sections (well_id, section_no, hole_size_in, top_md);
     mud (well_id, from_md, to_md, density_ppg, system, lcm_type, lcm_ppb); tops (well_id, formation, top_md, base_md,
     pp_ppg, fg_ppg, pp_gradient, fg_gradient, instability); priors (well_id, formation, event_rate, loss_rate,
-    kick_rate, stuck_rate, severity_p90, other_entities_hit). (well_id, depth) is unique. Context is looked up on the
-    narrow (well, depth) frame and joined to the channels once.
+    kick_rate, stuck_rate, severity_p90, other_entities_hit). (well_id, depth) is unique. The windows and all lookups use
+    one partitioning by well.
     """
-    by, key = ["well_id"], ["well_id", "depth"]
+    by = ["well_id"]
     limit = checked_limit(samples, by)
-    points = samples.select(*key)
     sized = sections.where(F.col("hole_size_in").isNotNull() & (F.col("hole_size_in") > 0)).withColumn(
         "_start", F.coalesce("top_md", F.lit(0.0)))
-    ctx = asof_join(points, sized, by, "depth", "_start", ["section_no", "hole_size_in"], fallback="first", limit=limit)
-    ctx = interval_lookup(ctx, tops, by, "depth", "top_md", "base_md",
-                          ["formation", "top_md", "pp_ppg", "fg_ppg", "pp_gradient", "fg_gradient", "instability"],
-                          ["top_md"], width, fallback=True, limit=limit).withColumnRenamed("top_md", "formation_top")
+    df = series_features(samples, by, ["depth"], limit)
+    df = asof_join(df, sized, by, "depth", "_start", ["section_no", "hole_size_in"], fallback="first", limit=limit)
+    rock = ["formation", "formation_top", "pp_ppg", "fg_ppg", "pp_gradient", "fg_gradient", "instability"]
+    df = interval_lookup(df, tops.withColumn("formation_top", F.col("top_md")), by, "depth", "top_md", "base_md", rock,
+                         ["top_md"], width, fallback=True, limit=limit)
     programme = ["density_ppg", "system", "lcm_type", "lcm_ppb"]
-    ctx = interval_lookup(ctx, mud, by, "depth", "from_md", "to_md", programme, ["from_md"], width)
+    df = interval_lookup(df, mud.withColumn("_known", F.lit(1)), by, "depth", "from_md", "to_md", [*programme, "_known"],
+                         ["from_md"], width)
     last = mud.groupBy(*by).agg(F.max_by(F.struct(*programme), F.col("from_md")).alias("_last"))
-    ctx = ctx.join(last, by, "left").withColumns(
-        {c: F.coalesce(F.col(c), F.when(F.col("density_ppg").isNull(), F.col(f"_last.{c}"))) for c in programme}
-    ).drop("_last")
-    ctx = ctx.join(wells.select("well_id", "td_md"), "well_id", "left").join(priors, ["well_id", "formation"], "left")
-    df = series_features(samples, by, ["depth"], limit).join(ctx, key)
+    df = df.join(last, by, "left").withColumns(
+        {c: F.when(F.col("_known").isNull(), F.col(f"_last.{c}")).otherwise(F.col(c)) for c in programme})
+    df = df.join(wells.select("well_id", "td_md"), "well_id", "left").join(priors, ["well_id", "formation"], "left")
 
     def num(c: str, default: float = 0.0) -> Column:
         return F.coalesce(F.col(c).cast("double"), F.lit(default))
@@ -155,7 +158,8 @@ def section_rows(sections: DataFrame, jobs: DataFrame, wells: DataFrame, tops: D
     sections (well_id, section_no, hole_size_in, casing_size_in, shoe_md, shoe_tvd, design_ecd); jobs (well_id,
     section_no, job_id, squeeze_required, outcome, annular_capacity).
     """
-    cased = sections.where(F.col("casing_size_in").isNotNull())
+    cased = sections.where(F.col("casing_size_in").isNotNull()).select(
+        "well_id", "section_no", "hole_size_in", "shoe_md", "shoe_tvd", "design_ecd")
     job = ["squeeze_required", "outcome", "annular_capacity"]
     rows = first_match_join(cased, jobs, ["well_id", "section_no"], ["job_id"], job, "inner")
     take = ["top_md", "pp_ppg", "pp_gradient", "fg_gradient", "instability"]

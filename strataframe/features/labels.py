@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.functions.numeric import round_half_up
-from strataframe.operators.joins import interval_lookup
-from strataframe.operators.series import position, running
+from strataframe.operators.joins import interval_join
+from strataframe.operators.series import running
 
 # Risk, kind, look-ahead m, trigger score, severity, least evidence, label margin m, positive weight.
 RISKS = [
@@ -64,21 +64,21 @@ def training_rows(samples: DataFrame, events: DataFrame, ratio: float = NEGATIVE
     """
     f = flagged_samples(samples, events)
     stride = 1 if ratio >= 1 else max(1, int(1 / ratio + 0.5))
-    classifier = F.col("kind") == "classifier"
-    key = ["well_id", "depth", "risk_type"]
-    npt = f.where((F.col("kind") == "regressor") & F.col("covered")).select(*key)
+    classifier, anomaly = F.col("kind") == "classifier", F.col("kind") == "anomaly"
+    quiet = ~F.col("covered") & ~anomaly
+    # Counting quiet depths in the same window layout spares a pass per kind of row.
+    f = running(f, ["well_id", "risk_type"], ["depth"], {"_p": ("count", F.when(quiet, 1))})
+    keep = (anomaly | (classifier & F.col("hit")) | ((F.col("kind") == "regressor") & F.col("covered"))
+            | (quiet & (~classifier | ((F.col("_p") - 1) % stride == 0))))
     wide = per_risk(events, ("regressor",)).select(
         "well_id", "risk_type", "event_id", "npt_hours", (F.col("start_md") - F.col("margin")).alias("_lo"),
         (F.col("end_md") + F.col("margin")).alias("_hi"))
-    npt = interval_lookup(npt, wide, ["well_id", "risk_type"], "depth", "_lo", "_hi", ["npt_hours"], ["event_id"], width)
-    npt = npt.select(*key, F.lit(1).alias("label"),
-                     round_half_up(F.coalesce("npt_hours", F.lit(0.0)), 2).alias("target_value"))
-    nothing = F.lit(None).cast("double")
-    hits = f.where(classifier & F.col("hit")).select(*key, F.lit(1).alias("label"), nothing.alias("target_value"))
-    quiet = f.where(~F.col("covered") & (F.col("kind") != "anomaly"))
-    quiet = position(quiet, ["well_id", "risk_type"], ["depth"], "_p")
-    quiet = quiet.where(~classifier | ((F.col("_p") - 1) % stride == 0)).select(
-        *key, F.lit(0).alias("label"), F.lit(0.0).alias("target_value"))
-    all_rows = f.where(F.col("kind") == "anomaly").select(
-        *key, F.col("covered").cast("int").alias("label"), nothing.alias("target_value"))
-    return hits.unionByName(npt).unionByName(quiet).unionByName(all_rows)
+    key = ["well_id", "depth", "risk_type"]
+    points = per_risk(samples.select("well_id", "depth"), ("regressor",)).select(*key)
+    hours = interval_join(points, wide, ["well_id", "risk_type"], "depth", "_lo", "_hi", width).groupBy(*key).agg(
+        F.min_by("npt_hours", "event_id").alias("_npt"))
+    rows = f.where(keep).join(hours, key, "left")
+    target = (F.when(quiet, 0.0)
+              .when(F.col("kind") == "regressor", round_half_up(F.coalesce("_npt", F.lit(0.0)), 2)))
+    label = F.when(anomaly, F.col("covered").cast("int")).when(quiet, 0).otherwise(1)
+    return rows.select(*key, label.alias("label"), target.alias("target_value"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions.numeric import finite, round_half_up
-from strataframe.operators.series import join_keyed, running
+from strataframe.operators.series import NEVER_HOT, join_keyed, running
 
 
 def category_counts(df: DataFrame, by: list[str], col: str, values: list[str], prefix: str = "n_") -> DataFrame:
@@ -57,7 +57,7 @@ def loo_priors(events: DataFrame, tops: DataFrame, by: str, entity: str, categor
     grid = join_keyed(out.select(by, entity, "_n"), all_hist, [by], "inner")
     grid = join_keyed(grid, hist, [by, entity, severity])
     grid = grid.withColumn("_rest", F.col("_ct") - F.coalesce(F.col("_c"), F.lit(0))).where("_rest > 0")
-    run = running(grid, [by, entity], [severity], {"_upto": ("sum", F.col("_rest"))})
+    run = running(grid, [by, entity], [severity], {"_upto": ("sum", F.col("_rest"))}, limit=NEVER_HOT)
     at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))
     hit = run.where((F.col("_upto") > at) & (F.col("_upto") - F.col("_rest") <= at))
     p90 = hit.select(by, entity, F.col(severity).cast("double").alias("severity_p90"))

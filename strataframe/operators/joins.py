@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions.geo import RADIUS_KM, chord_km, haversine_km, unit_xyz
-from strataframe.operators.series import join_keyed, running
+from strataframe.operators.series import join_keyed, over_limit, running
 
 
 def first_match_join(left: DataFrame, right: DataFrame, key: list[str], order: list[str], take: list[str],
@@ -25,6 +25,34 @@ def _edge(right: DataFrame, by: list[str], at: str, take: list[str], which: str)
     return right.groupBy(*by).agg(pick(F.struct(*take), F.col(at)).alias("_edge"))
 
 
+# Lookup tables with at most this many rows per key travel as one sorted list per key; longer ones are joined.
+LIST_LIMIT = 1000
+
+
+def fits_lists(df: DataFrame, by: list[str], limit: int) -> bool:
+    """No key of a lookup table has more than `limit` rows."""
+    return over_limit(df.select(*by), by, limit).isEmpty()
+
+
+def _with_lists(left: DataFrame, right: DataFrame, by: list[str], fields: list[Column]) -> DataFrame:
+    lists = right.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_list"))
+    return join_keyed(left, lists, by)
+
+
+def _asof_from_list(left, right, by, left_on, right_on, take, back, fallback):
+    """As-of against short per-key lists: the list joins on the key, the match is picked inside the row."""
+    out = _with_lists(left, right, by, [F.col(right_on).cast("double").alias("_at"), F.struct(*take).alias("_r")])
+    at = F.col(left_on).cast("double")
+    if back:
+        best = F.array_max(F.filter("_list", lambda r: r["_at"] <= at))
+    else:
+        best = F.array_min(F.filter("_list", lambda r: r["_at"] >= at))
+    if fallback:
+        best = F.coalesce(best, F.array_min("_list") if fallback == "first" else F.array_max("_list"))
+    out = out.withColumn("_m", best)
+    return out.select(*left.columns, *[F.col(f"_m._r.{c}").alias(c) for c in take])
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -35,13 +63,17 @@ def asof_join(
     direction: str = "backward",
     fallback: str | None = None,
     limit: float | None = None,
+    list_limit: int = LIST_LIMIT,
 ) -> DataFrame:
     """Left rows with the nearest right row at or before (`backward`) or at or after (`forward`) them.
 
-    Both sides are laid on one axis and the last right row seen is carried along: one shuffle, no pairs.
-    `fallback` = `first` | `last` fills rows without a match with that edge row of the key.
+    A right side with few rows per key joins as one list per key. Otherwise both sides are laid on one axis and the
+    last right row seen is carried along: one shuffle, no pairs. `fallback` = `first` | `last` fills rows without a
+    match with that edge row of the key.
     """
     back = direction == "backward"
+    if fits_lists(right, by, list_limit):
+        return _asof_from_list(left, right, by, left_on, right_on, take, back, fallback)
     side_left, side_right = (1, 0) if back else (0, 1)
     lrow = F.struct(*left.columns)
     rrow = F.struct(*take)
@@ -96,19 +128,30 @@ def interval_lookup(
     width: float,
     fallback: bool = False,
     limit: float | None = None,
+    list_limit: int = LIST_LIMIT,
 ) -> DataFrame:
     """Each point with the first interval (in `order`) that contains it, null columns when none does.
 
     With `fallback`, a point outside every interval takes the next interval whose `hi` is at or beyond it, else the
-    last one of the key. `points` must hold no duplicate rows.
+    last one of the key. Keys with few intervals are answered from one list per key; beyond `list_limit` intervals by
+    the bucketed join, for which `points` must hold no duplicate rows.
     """
+    if fits_lists(intervals, by, list_limit):
+        fields = [F.struct(*order).alias("_o"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.struct(*take).alias("_r")]
+        listed = _with_lists(points, intervals, by, fields)
+        at = F.col(point)
+        hit = F.get(F.filter("_list", lambda r: (r["_lo"] <= at) & (at <= r["_hi"])), F.lit(0))["_r"]
+        if fallback:
+            ends = F.transform("_list", lambda r: F.struct(r["_hi"].alias("_hi"), r["_o"].alias("_o"), r["_r"].alias("_r")))
+            hit = F.coalesce(hit, F.array_min(F.filter(ends, lambda r: r["_hi"] >= at))["_r"], F.array_max(ends)["_r"])
+        return listed.withColumn("_hit", hit).select(*points.columns, *[F.col(f"_hit.{c}").alias(c) for c in take])
     inner = [*dict.fromkeys([lo, hi, *take, *order])]
     hits = interval_join(points, intervals.select(*by, *inner), by, point, lo, hi, width, "left")
     found = hits.groupBy(*points.columns).agg(
         F.min_by(F.struct(*take), F.when(F.col(lo).isNotNull(), F.struct(*order))).alias("_hit")
     )
     if fallback:
-        nxt = asof_join(found, intervals.select(*by, *inner), by, point, hi, take, "forward", "last", limit)
+        nxt = asof_join(found, intervals.select(*by, *inner), by, point, hi, take, "forward", "last", limit, list_limit)
         prior = [F.coalesce(F.col(f"_hit.{c}"), F.col(c)).alias(c) for c in take]
         return nxt.select(*points.columns, *prior)
     return found.select(*points.columns, *[F.col(f"_hit.{c}").alias(c) for c in take])

@@ -165,12 +165,19 @@ def row_frames(
     before: int = 0,
     after: int = 0,
     limit: float | None = None,
+    then: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Evaluate window expressions that look at most `before` rows back and `after` rows ahead.
 
-    `exprs` receives the ordered window and returns {name: column}. Keys over the limit are cut into blocks of `limit`
-    rows; border rows are copied into the neighbouring block for the evaluation and dropped again.
+    `exprs` receives the ordered window and returns {name: column}. `then` holds row-wise columns over them, so that a
+    frame used several times is evaluated once; with `then`, names starting with `_w_` are dropped at the end. Keys
+    over the limit are cut into blocks of `limit` rows; border rows are copied into the neighbouring block for the
+    evaluation and dropped again.
     """
+    if then:
+        out = row_frames(df, by, order, exprs, before, after, limit)
+        out = out.withColumns(then)
+        return out.drop(*[c for c in out.columns if c.startswith("_w_")])
     limit = hot_limit(df) if limit is None else limit
     if not has_hot_key(df, by, limit):
         return df.withColumns(exprs(keyed(by, order)))

@@ -22,35 +22,37 @@ def trailing(w: WindowSpec, n: int = ROLLING_ROWS) -> WindowSpec:
     return w.rowsBetween(-n, -1)
 
 
-def trailing_median(w: WindowSpec, col: str, n: int = ROLLING_ROWS) -> Column:
-    return F.percentile(finite(col), F.lit(0.5)).over(trailing(w, n))
+def baselines(w: WindowSpec, cols: list[str], n: int = ROLLING_ROWS) -> dict[str, Column]:
+    """Trailing median and count of finite values per column, under the names the helpers below read."""
+    out = {}
+    for c in cols:
+        out[f"_w_med_{c}"] = F.percentile(finite(c), F.lit(0.5)).over(trailing(w, n))
+        out[f"_w_cnt_{c}"] = F.count(finite(c)).over(trailing(w, n))
+    return out
 
 
-def trailing_count(w: WindowSpec, col: str, n: int = ROLLING_ROWS) -> Column:
-    return F.count(finite(col)).over(trailing(w, n))
-
-
-def local_ratio(w: WindowSpec, col: str, n: int = ROLLING_ROWS) -> Column:
+def local_ratio(col: str) -> Column:
     """Value over its trailing median; 1 with under three earlier values or a median near zero."""
-    med = trailing_median(w, col, n)
-    usable = (trailing_count(w, col, n) >= MIN_HISTORY) & (F.abs(med) >= EPS)
+    med = F.col(f"_w_med_{col}")
+    usable = (F.col(f"_w_cnt_{col}") >= MIN_HISTORY) & (F.abs(med) >= EPS)
     return F.when(usable, F.coalesce(F.col(col), F.lit(0.0)) / med).otherwise(F.lit(1.0))
 
 
-def trailing_deficit(w: WindowSpec, col: str, n: int = ROLLING_ROWS) -> Column:
+def trailing_deficit(col: str) -> Column:
     """Trailing median minus the value; 0 with under three earlier values (the value is its own baseline)."""
-    base = F.when(trailing_count(w, col, n) >= MIN_HISTORY, trailing_median(w, col, n)).otherwise(F.col(col))
+    base = F.when(F.col(f"_w_cnt_{col}") >= MIN_HISTORY, F.col(f"_w_med_{col}")).otherwise(F.col(col))
     return base - F.coalesce(F.col(col), F.lit(0.0))
 
 
-def trailing_slope(w: WindowSpec, col: str, n: int = SLOPE_ROWS, least: int = MIN_HISTORY,
-                   scale: float = SLOPE_SCALE) -> Column:
-    """Least-squares slope over the n rows before, against the row index in `_x`, times `scale`.
+def slope_frames(w: WindowSpec, name: str, col: str, n: int) -> dict[str, Column]:
+    """Least-squares slope over the n rows before against the row index in `_x`, and the count behind it."""
+    return {f"_w_slope_{name}": F.regr_slope(finite(col), F.col("_x")).over(trailing(w, n)),
+            f"_w_have_{name}": F.count(finite(col)).over(trailing(w, n))}
 
-    0 below `least` values.
-    """
-    slope = F.regr_slope(finite(col), F.col("_x")).over(trailing(w, n))
-    return F.when(trailing_count(w, col, n) >= least, slope * scale).otherwise(F.lit(0.0))
+
+def trailing_slope(name: str, least: int = MIN_HISTORY, scale: float = SLOPE_SCALE) -> Column:
+    """The slope of `slope_frames` times `scale`; 0 below `least` values."""
+    return F.when(F.col(f"_w_have_{name}") >= least, F.col(f"_w_slope_{name}") * scale).otherwise(F.lit(0.0))
 
 
 def smooth(w: WindowSpec, col: str, back: int = 5) -> Column:
@@ -63,16 +65,26 @@ def forward_peak(w: WindowSpec, col: str, k: int) -> Column:
 
 
 def local_ratios(df: DataFrame, by: list[str], order: list[str], cols: list[str], n: int = ROLLING_ROWS) -> DataFrame:
-    return row_frames(df, by, order, lambda w: {f"{c}_ratio": local_ratio(w, c, n) for c in cols}, before=n)
+    return row_frames(df, by, order, lambda w: baselines(w, cols, n), before=n,
+                      then={f"{c}_ratio": local_ratio(c) for c in cols})
+
+
+def deficits(df: DataFrame, by: list[str], order: list[str], cols: list[str], n: int = ROLLING_ROWS) -> DataFrame:
+    return row_frames(df, by, order, lambda w: baselines(w, cols, n), before=n,
+                      then={f"{c}_deficit": trailing_deficit(c) for c in cols})
 
 
 def slopes(df: DataFrame, by: list[str], order: list[str], specs: dict[str, tuple],
            limit: float | None = None) -> DataFrame:
-    """specs: {out: (column, rows, least, scale)}. Needs a numeric row index, which it adds and drops."""
+    """specs: {out: (column, rows, least, scale)}."""
     back = max(s[1] for s in specs.values())
     indexed = position(df, by, order, "_x", limit).withColumn("_x", F.col("_x").cast("double"))
-    out = row_frames(indexed, by, order, lambda w: {o: trailing_slope(w, *s) for o, s in specs.items()}, before=back,
-                     limit=limit)
+
+    def frames(w):
+        return {k: v for o, (c, n, _, _) in specs.items() for k, v in slope_frames(w, o, c, n).items()}
+
+    out = row_frames(indexed, by, order, frames, before=back, limit=limit,
+                     then={o: trailing_slope(o, least, scale) for o, (_, _, least, scale) in specs.items()})
     return out.drop("_x")
 
 

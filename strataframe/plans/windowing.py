@@ -55,7 +55,7 @@ def w3(spark, sf):
 FROM series"""))
 def w4(spark, sf):
     s = series(spark, sf).select("well_id", "pos", "quantity")
-    return row_frames(s, KEY, ORDER, lambda w: {"deficit": W.trailing_deficit(w, "quantity")}, before=20).drop("quantity")
+    return W.deficits(s, KEY, ORDER, ["quantity"]).select("well_id", "pos", F.col("quantity_deficit").alias("deficit"))
 
 
 @query("w5_smoothing", with_sql("series", f"""SELECT well_id, pos, {R4('avg(quantity) OVER (PARTITION BY well_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)')} AS smoothed
