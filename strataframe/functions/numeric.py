@@ -32,9 +32,8 @@ def clamp(x, lo: float, hi: float) -> Column:
 
 
 def sigmoid(x) -> Column:
-    """Logistic function; both branches keep the exponent non-positive."""
-    x = _c(x)
-    return F.when(x >= 0, 1.0 / (1.0 + F.exp(-x))).otherwise(F.exp(x) / (1.0 + F.exp(x)))
+    """Logistic function. `exp` overflowing to infinity gives the right limit, so one branch serves both signs."""
+    return 1.0 / (1.0 + F.exp(-_c(x)))
 
 
 def log_loss(p, y) -> Column:

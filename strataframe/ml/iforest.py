@@ -84,7 +84,7 @@ def fit_iforest(df: DataFrame, features: list[str], key: str, trees: int = TREES
     share = max(1, int(len(features) * FEATURE_SHARE))
     depth = max(1, math.ceil(math.log2(max(2, sample))))
 
-    def build(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(k[0])])
         x = pdf.sort_values("_r")[features].to_numpy(dtype=float)
         columns = np.sort(rng.choice(len(features), size=share, replace=False))

@@ -6,6 +6,8 @@ axis into ranges when it is long, so nothing is gathered in one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,9 +172,6 @@ def bootstrap_ci(df: DataFrame, score: str, label: str, resamples: int = RESAMPL
     Rows are counted per (rounded score, label); each replicate redraws every count as a Poisson variable, the
     standard distributed form of resampling with replacement. Work grows with distinct scores, not with rows.
     """
-    import numpy as np
-    import pandas as pd
-
     cells = df.groupBy(round_half_up(score, digits).alias("score"), (F.col(label) == 1).cast("int").alias("y")).agg(
         F.count(F.lit(1)).alias("c"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,9 @@ from strataframe.functions.numeric import clamp, finite, sigmoid
 from strataframe.operators.aggregates import column_stats
 from strataframe.session import fresh_path
 
+# Features up to which a score is written out as one sum.
+WIDE = 16
+
 # Fitting defaults.
 L2, LOGISTIC_ITER, PLATT_ITER = 1e-3, 400, 200
 ROUNDS, RATE, DEPTH, MIN_LEAF, SUBSAMPLE = 120, 0.08, 3, 60, 0.7
@@ -36,6 +38,10 @@ class Standardizer:
         """Standardised values, 0 where the input is missing."""
         return [F.coalesce((finite(f) - m) / d, F.lit(0.0)) for f, m, d in zip(self.features, self.means, self.devs)]
 
+    def vector(self) -> Column:
+        """The same values as one array."""
+        return F.array(*self.columns())
+
 
 @dataclass
 class Platt:
@@ -66,7 +72,14 @@ class LogisticModel:
                 for f, w, m, d in zip(self.features, self.weights, self.means, self.devs)]
 
     def log_odds(self) -> Column:
-        return reduce(lambda a, b: a + b, self.contributions(), F.lit(self.bias))
+        """Sum of bias and contributions; wide models fold over one array to keep the generated code small."""
+        if len(self.features) <= WIDE:
+            return reduce(lambda a, b: a + b, self.contributions(), F.lit(self.bias))
+        terms = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d"), F.lit(w).alias("w"))
+                          for m, d, w in zip(self.means, self.devs, self.weights)])
+        parts = F.zip_with(F.array(*[finite(f) for f in self.features]), terms,
+                           lambda x, t: F.coalesce((x - t["m"]) / t["d"], F.lit(0.0)) * t["w"])
+        return F.aggregate(parts, F.lit(self.bias), lambda a, x: a + x)
 
     def score(self) -> Column:
         return sigmoid(self.log_odds())
@@ -83,12 +96,11 @@ def class_weight(df: DataFrame, label: str, positive_weight: float) -> Column:
     return F.when(F.col(label) == 1, F.lit(float(positive_weight * scale))).otherwise(F.lit(1.0))
 
 
-def _logistic(df: DataFrame, cols: list[Column], label: str, weight: Column, l2: float, iters: int):
+def _logistic(df: DataFrame, values: Column, label: str, weight: Column, l2: float, iters: int):
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
 
-    named = df.select(F.col(label).cast("double").alias("_y"), weight.alias("_w"),
-                      *[c.alias(f"_x{i}") for i, c in enumerate(cols)])
-    vec = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(cols))], outputCol="_f").transform(named)
+    vec = df.select(F.col(label).cast("double").alias("_y"), weight.alias("_w"), array_to_vector(values).alias("_f"))
     lr = LogisticRegression(featuresCol="_f", labelCol="_y", weightCol="_w", regParam=l2, elasticNetParam=0.0,
                             maxIter=iters, standardization=False)
     return lr.fit(vec)
@@ -98,7 +110,7 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, positive_weight
                  iters: int = LOGISTIC_ITER) -> LogisticModel:
     """L2 logistic regression on standardised features, classes balanced."""
     std = Standardizer.fit(df, features)
-    m = _logistic(df, std.columns(), label, class_weight(df, label, positive_weight), l2, iters)
+    m = _logistic(df, std.vector(), label, class_weight(df, label, positive_weight), l2, iters)
     return LogisticModel(features, [float(w) for w in m.coefficients], float(m.intercept), std.means, std.devs)
 
 
@@ -109,14 +121,15 @@ def fit_platt(df: DataFrame, score: str, label: str, iters: int = PLATT_ITER) ->
     if r["lo"] == r["hi"]:
         return Platt()
     mean, dev = float(r["m"]), max(1e-6, float(r["s"]))
-    m = _logistic(df, [(F.col(score) - mean) / dev], label, class_weight(df, label, 1.0), 0.0, iters)
+    m = _logistic(df, F.array((F.col(score) - mean) / dev), label, class_weight(df, label, 1.0), 0.0, iters)
     return Platt(float(m.coefficients[0]), float(m.intercept), mean, dev)
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "_features") -> DataFrame:
-    filled = df.withColumns({f"_z_{f}": F.coalesce(finite(f), F.lit(0.0)) for f in features})
-    vec = VectorAssembler(inputCols=[f"_z_{f}" for f in features], outputCol=out).transform(filled)
-    return vec.drop(*[f"_z_{f}" for f in features])
+    """Adds the feature vector, 0 for missing values."""
+    from pyspark.ml.functions import array_to_vector
+
+    return df.withColumn(out, array_to_vector(F.array(*[F.coalesce(finite(f), F.lit(0.0)) for f in features])))
 
 
 def fit_boosted(df: DataFrame, features: list[str], label: str, rounds: int = ROUNDS, seed: int = 7):

@@ -100,19 +100,18 @@ DEV_FLOOR = 1e-6
 
 
 def column_stats(df: DataFrame, cols: list[str], floor: float = DEV_FLOOR) -> DataFrame:
-    """One row per column: finite count, mean (0 when empty) and population deviation (floored; 1 below two values)."""
-    aggs = []
-    for c in cols:
-        v = finite(c)
-        aggs += [F.count(v).alias(f"n_{c}"), F.avg(v).alias(f"m_{c}"), F.stddev_pop(v).alias(f"s_{c}")]
-    one = df.agg(*aggs)
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n"),
-                 F.coalesce(F.col(f"m_{c}"), F.lit(0.0)).alias("mean"),
-                 F.when(F.col(f"n_{c}") < 2, 1.0).otherwise(F.greatest(F.lit(floor), F.col(f"s_{c}"))).alias("dev"))
-        for c in cols
-    ])).alias("r")
-    return one.select(rows).select("r.*")
+    """One row per column: finite count, mean (0 when empty) and population deviation (floored; 1 below two values).
+
+    Values go long first, so the plan stays small for any number of columns; the partial aggregate leaves one row per
+    column and task.
+    """
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), finite(c).alias("v")) for i, c in enumerate(cols)])).alias("r")).select("r.*")
+    agg = long.groupBy("i").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1)
+    return agg.select(
+        name.alias("feature"), "n", F.coalesce("m", F.lit(0.0)).alias("mean"),
+        F.when(F.col("n") < 2, 1.0).otherwise(F.greatest(F.lit(floor), F.col("s"))).alias("dev"))
 
 
 def score_summary(df: DataFrame, score: str, flagged: str) -> DataFrame:

@@ -46,7 +46,7 @@ def _exits(df: DataFrame, block: list[str], longest: float) -> DataFrame:
     """Per block, for each crossing a claim from before could hand over to: the end of the claim leaving the block."""
     schema = df.select(*block, F.col("_at").alias("_in"), F.col("_at").alias("_out"), F.lit(0.0).alias("_first")).schema
 
-    def run(key, pdf):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at", kind="stable")
         at, ends = pdf["_at"].tolist(), (pdf["_at"] + pdf["_len"]).tolist()
         out = [0.0] * len(at)
@@ -64,7 +64,7 @@ def _entries(exits: DataFrame, island: list[str], block: list[str]) -> DataFrame
     """Walk the blocks of an island in order, looking each entry up among the crossings reported."""
     schema = exits.select(*block, F.lit(0.0).alias("_entry")).schema
 
-    def run(key, pdf):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         until, rows = NEVER, []
         for blk, part in pdf.groupby(block[-1], sort=True):
             part = part.sort_values("_in", kind="stable")
