@@ -27,6 +27,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from strataframe.plans import (  # noqa: F401
-        alerting, correlating, featuring, filtering, joining, modelling, retrieving, scalars, sourcing, streams,
+        alerting, correlating, featuring, filtering, flagship, joining, modelling, retrieving, scalars, sourcing, streams,
         summarising, windowing,
     )
