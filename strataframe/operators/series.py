@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataframe.session import settle
+
 HOT_ROWS = 4_000_000
 SEGMENTS = 512
 NEVER_HOT = float("inf")
@@ -126,7 +128,8 @@ def running(
         w = keyed(by, order).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumns({o: _apply(k, c).over(w) for o, (k, c) in aggs.items()})
 
-    cut = with_segments(df, by, order, limit).withColumns({f"_v_{o}": c for o, (_, c) in aggs.items()})
+    # Three passes follow; the input is written once so that operators in a row do not repeat each other's work.
+    cut = with_segments(settle(df, "series"), by, order, limit).withColumns({f"_v_{o}": c for o, (_, c) in aggs.items()})
     parts = [*by, "_seg"]
     w = keyed(parts, order).rowsBetween(Window.unboundedPreceding, end)
     here = cut.withColumns({f"_h_{o}": _apply(k, F.col(f"_v_{o}")).over(w) for o, (k, _) in aggs.items()})
