@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions.geo import along_track_km, bearing_deg, cross_track_km
 from strataframe.functions.numeric import round_half_up
-from strataframe.operators.joins import asof_join, band_join, geo_neighbors
+from strataframe.operators.joins import asof_join, band_totals, geo_neighbors, nearest_events
 from strataframe.operators.topk import topk, topk_list
 
 # Score weights per strategy, trouble bonus per event and its cap.
@@ -64,12 +64,12 @@ def rank_offsets(targets: DataFrame, places: DataFrame, tops: DataFrame, events:
     away = asof_join(pairs, away_tops, ["offset_id"], "depth", marker, take, fallback="first")
     both = away.join(own, ["place_id", "depth"]).where(F.col("t_formation").isNotNull() & F.col("formation").isNotNull())
 
-    reach = spec.tolerance * 3
-    near = band_join(pairs.select("place_id", "offset_id", "depth"), events.withColumnRenamed("place_id", "offset_id"),
-                     ["offset_id"], "depth", "event_depth", reach, reach)
-    near = near.withColumn("offset_m", F.abs(F.col("event_depth") - F.col("depth")))
-    key = ["place_id", "offset_id"]
-    trouble = near.groupBy(*key).agg(F.count_if(F.col("offset_m") <= spec.tolerance * 2).alias("trouble_nearby"))
+    reach, key = spec.tolerance * 3, ["place_id", "offset_id"]
+    asked = pairs.select(*key, "depth")
+    away_events = events.withColumnRenamed("place_id", "offset_id")
+    trouble = band_totals(asked, away_events, ["offset_id"], "depth", "event_depth", spec.tolerance * 2, spec.tolerance * 2,
+                          {"trouble_nearby": F.lit(1)}).drop("depth")
+    near = nearest_events(asked, away_events, ["offset_id"], "depth", "event_depth", spec.nearest, reach, reach, ["event_id"])
     listed = topk_list(near, key, ["offset_m", "event_id"], spec.nearest, ["event_id", "offset_m"], "nearby_events")
 
     out = both.join(trouble, key, "left").join(listed, key, "left").fillna(0, ["trouble_nearby"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions.geo import RADIUS_KM, chord_km, haversine_km, unit_xyz
-from strataframe.operators.series import join_keyed, over_limit, running
+from strataframe.operators.series import has_hot_key, hot_limit, join_keyed, over_limit, position, running
 
 
 def first_match_join(left: DataFrame, right: DataFrame, key: list[str], order: list[str], take: list[str],
@@ -216,6 +216,44 @@ def band_totals(
     return out.select("_p.*", *counts)
 
 
+def nearest_events(
+    points: DataFrame,
+    events: DataFrame,
+    by: list[str],
+    point: str,
+    at: str,
+    k: int,
+    below: float,
+    above: float,
+    prefer: list[str],
+    limit: float | None = None,
+) -> DataFrame:
+    """Per point at least its k nearest events inside the band (callers rank them), with `offset_m` as the distance.
+
+    Ordinary keys use the band join. Where a key has more events than the hot limit, a band may hold far more events
+    than are wanted; there each point takes the k events on either side by their position in the key, so a point meets
+    2k events however dense they are. Events at one place are taken in `prefer` order (an order list).
+    """
+    limit = hot_limit(events) if limit is None else limit
+    if not has_hot_key(events, by, limit):
+        near = band_join(points, events, by, point, at, below, above)
+        return near.withColumn("offset_m", F.abs(F.col(at) - F.col(point)))
+    axis = points.select(*by, F.col(point).cast("double").alias("_at"), F.lit(0).alias("_side"),
+                         F.struct(*points.columns).alias("_p")).unionByName(
+        events.select(*by, F.col(at).cast("double").alias("_at"), F.lit(1).alias("_side")), allowMissingColumns=True)
+    one = {"_c": ("count", F.when(F.col("_side") == 1, 1))}
+    sides = []
+    for up in (True, False):
+        # Events strictly before the point, seen from the side it looks away from.
+        seen = running(axis, by, ["_at", "_side"] if up else ["-_at", "-_side"], one, limit=limit)
+        seen = seen.where(F.col("_p").isNotNull()).select("_p.*", "_c")
+        wanted = seen.withColumn("_n", F.explode(F.sequence(F.col("_c") + 1, F.col("_c") + k))).drop("_c")
+        placed = position(events, by, [at if up else f"-{at}", *prefer], "_n", limit)
+        sides.append(wanted.join(placed, [*by, "_n"]).drop("_n"))
+    near = sides[0].unionByName(sides[1]).withColumn("offset_m", F.abs(F.col(at) - F.col(point)))
+    return near.where(F.col(at).between(F.col(point) - below, F.col(point) + above))
+
+
 def covered(points: DataFrame, windows: DataFrame, by: list[str], point: str, lo: str, hi: str,
             out: str = "covered") -> DataFrame:
     """Flag (0/1): the point lies in at least one window of its key, ends included.

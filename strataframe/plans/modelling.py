@@ -428,7 +428,11 @@ def m35(spark, sf):
     return X.recommend(s, "values", rules).select("well_id", "pos", "rule_no", "status", "value", "closeness")
 
 
-@query("m35_guidance_catalogue")
+@query("m35_guidance_catalogue", with_sql("series", """SELECT risk_type, CAST(rule_no AS INTEGER) AS rule_no, status, count(*) AS n FROM (
+ SELECT 'KICK' AS risk_type, unnest([4, 5]) AS rule_no, 'unevaluable' AS status FROM series
+ UNION ALL SELECT 'KICK', 6, CASE WHEN order_id % 300 > 150 THEN 'matched' ELSE 'unmatched' END FROM series
+ UNION ALL SELECT 'TORQUE_SPIKE', unnest([10, 12]), 'unevaluable' FROM series
+ UNION ALL SELECT 'TORQUE_SPIKE', 11, CASE WHEN pos % 90 > 45 THEN 'matched' ELSE 'unmatched' END FROM series) GROUP BY ALL"""))
 def m35b(spark, sf):
     from strataframe.plans.featuring import channels
 

@@ -106,3 +106,17 @@ def test_gap_cluster_is_the_greedy_rule(skewed):
         for g in groups:
             assert len({got[i] for _, i in g}) == 1
         assert len({got[i] for _, i in members}) == len(groups)
+
+
+def test_nearest_events_match_the_band_join(spark, skewed):
+    from strataframe.operators.topk import topk
+
+    ev = skewed.select("k", F.col("at").alias("e"), F.col("id").alias("event_id"))
+    pts = skewed.where("id % 10 = 0").select("k", F.col("at").alias("x"), F.col("id").alias("pid"))
+
+    def fn(lim):
+        near = J.nearest_events(pts, ev, ["k"], "x", "e", 5, 40, 60, ["event_id"], lim)
+        return topk(near, ["pid"], ["offset_m", "event_id"], 5).select("pid", "event_id", "rank")
+
+    a, b = both(fn)
+    assert a == b and a
