@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm import bpe, chat, idstore, matroska, packing
+from strataframe.llm import bpe, bytecnn, chat, idstore, matroska, packing, toxicity, vamana, wrappers
+from strataframe.llm.labelled import remainder
 from strataframe.session import fresh_path
 from strataframe.sources.tables import read_table
 
@@ -14,6 +15,17 @@ WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.pa
 SEQUENCE = 2048
 
 
+def scored(rows: DataFrame, fold: int, rest: int, threshold: float) -> DataFrame:
+    held = F.coalesce(remainder(F.col("doc_id"), fold) == rest, F.lit(False))
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    model = toxicity.fit_from(docs, read_table(spark, sf, "labels"), remainder(F.col("doc_id"), 3) != 1)
+    return scored(toxicity.score_documents(docs, model), 3, 1, 0.7)
+
+
 def op3_bpe(spark: SparkSession, sf: str, path: str = WORDS) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf, "documents"), path)
 
@@ -22,6 +34,10 @@ def op4_matroska(spark: SparkSession, sf: str) -> DataFrame:
     return matroska.media_digests(matroska.store_media(read_table(spark, sf, "documents")))
 
 
+def op5_wrappers(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.extract_main(read_table(spark, sf, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf: str, path: str = BYTES) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf, "documents"), path, SEQUENCE, end_id=0)
 
@@ -40,5 +56,16 @@ def op8_planes(spark: SparkSession, sf: str, path: str = WORDS) -> DataFrame:
     return idstore.read_documents(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_matroska, op6_packing, op7_chat, op8_planes)}
+def op9_vamana(spark: SparkSession, sf: str) -> DataFrame:
+    return vamana.nearest(read_table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op10_bytecnn(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    net = bytecnn.fit_from(docs, read_table(spark, sf, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    return scored(bytecnn.score_documents(docs, net), 5, 0, 0.3)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op3_bpe, op4_matroska, op5_wrappers, op6_packing, op7_chat, op8_planes, op9_vamana, op10_bytecnn)}
 ORACLES: dict[str, str] = {}
