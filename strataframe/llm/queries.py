@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm import bpe, bytecnn, chat, idstore, matroska, packing, toxicity, vamana, wrappers
+from strataframe.llm import bpe, bytecnn, chat, idstore, matroska, packing, tokengroups, toxicity, vamana, wrappers
 from strataframe.llm.labelled import remainder
 from strataframe.session import fresh_path
 from strataframe.sources.tables import read_table
@@ -26,6 +26,11 @@ def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored(toxicity.score_documents(docs, model), 3, 1, 0.7)
 
 
+def op2_tokengroups(spark: SparkSession, sf: str) -> DataFrame:
+    found = tokengroups.similar_components(read_table(spark, sf, "documents"), words=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_bpe(spark: SparkSession, sf: str, path: str = WORDS) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf, "documents"), path)
 
@@ -67,5 +72,6 @@ def op10_bytecnn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op3_bpe, op4_matroska, op5_wrappers, op6_packing, op7_chat, op8_planes, op9_vamana, op10_bytecnn)}
+    op1_toxicity, op2_tokengroups, op3_bpe, op4_matroska, op5_wrappers, op6_packing, op7_chat,
+    op8_planes, op9_vamana, op10_bytecnn)}
 ORACLES: dict[str, str] = {}
