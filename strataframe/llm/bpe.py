@@ -111,7 +111,7 @@ class PairIndex:
 class WordCodec:
     """Texts to ids and back for a vocabulary file whose text is put in lower case and cut into words."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pattern = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -176,7 +176,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
         both = codec(path).both(texts)
         return {"ids": [x for x, _ in both], "decoded": [x for _, x in both]}
 
-    return map_texts(docs, make, "ids string, decoded string", doc_id, text, most=12_000_000)
+    return map_texts(docs, make, "ids string, decoded string", doc_id, text, most=6_000_000)
 
 
 def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
