@@ -12,6 +12,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,30 @@ from pyspark.sql import functions as F
 
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 SPACE_RUN = re.compile(r"\s ")
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[,.;:!?]")  # letters that stay one code point in lower case
 SPACED = re.compile(r"\s*\S+|\s+\Z")
 
 
+class Store(dict):
+    """Ids of known chunks; an unknown chunk answers itself and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> str:
+        self.new.append(key)
+        return key
+
+
 class ChunkEncoder:
-    """Texts to little-endian 32-bit ids, as `Tokenizer.encode(text, add_special_tokens=False)` gives them."""
+    """Texts to little-endian 32-bit ids, as `Tokenizer.encode(text, add_special_tokens=False)` gives them.
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 400_000):
+    Where the vocabulary keeps spaces (`keeps_space`), the key of a chunk that starts with one space is what follows it;
+    any other chunk has a space behind it as its key, which the former cannot have.
+    """
+
+    def __init__(self, path: str, keeps_space: bool, limit: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,22 +52,48 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.keeps_space, self.limit = keeps_space, limit
-        self.known: dict[str, bytes] = {}
+        self.known = Store()
+        self.waiting: list[str] = []
         self.ends = None
         if not keeps_space:
             self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, dtype=bool)
             for token, i in self.library.get_vocab().items():
                 self.ends[i] = token.endswith("</w>")
 
-    def _chunks(self, text: str) -> list[str]:
-        if "<|" in text or ODD_SPACE.search(text):
-            return [text]
+    def _keys(self, text: str) -> list[str]:
+        odd = "<|" in text or ODD_SPACE.search(text)
         if not self.keeps_space:
-            return text.split()
+            return [text] if odd else text.split()
+        if odd:
+            return [text + " "]
         if SPACE_RUN.search(text):
-            return SPACED.findall(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
+            return [c + " " for c in SPACED.findall(text)]
+        keys = text.split(" ")
+        keys[0] += " "
+        return keys
+
+    def _learn(self, keys: list[str]) -> None:
+        """Words with a point or comma behind them are put together from both; the library encodes the rest."""
+        known, ends_in = self.known, " " if self.keeps_space else ""
+        joined = [k for k in keys if PLAIN.fullmatch(k)]
+        rest = dict.fromkeys(keys)
+        for k in joined:
+            del rest[k]
+        for k in joined:
+            for part in (k[:-1], k[-1] + ends_in):
+                if part not in known:
+                    rest[part] = None
+        rest = list(rest)
+        if self.ends is not None:
+            rest = self._words([k for k in rest if k.isalpha()]) + [k for k in rest if not k.isalpha()]
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            texts = [k[:-1] if k[-1:] == " " else " " + k for k in part] if self.keeps_space else part
+            for key, found in zip(part, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = found.ids
+                known[key] = pack(f"<{len(ids)}I", *ids)
+        for k in joined:
+            known[k] = known[k[:-1]] + known[k[-1] + ends_in]
 
     def _words(self, words: list[str]) -> list[str]:
         """Learn chunks of letters many at a time: each is one word, and its last id carries the word end.
@@ -69,18 +113,25 @@ class ChunkEncoder:
         return left
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._chunks(t) if t else [] for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        missing = list(set().union(*cut).difference(self.known))
-        if self.ends is not None:
-            missing = self._words([c for c in missing if c.isalpha()]) + [c for c in missing if not c.isalpha()]
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for chunk, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-        known = self.known.__getitem__
-        return [b"".join(map(known, c)) for c in cut]
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+        look, new, out, open_ = known.__getitem__, known.new, [], []
+        for i, t in enumerate(texts):
+            found = list(map(look, self._keys(t))) if t else []
+            if new:  # answers that are still keys
+                open_.append((i, found))
+                out.append(b"")
+                self.waiting += new
+                new.clear()
+            else:
+                out.append(b"".join(found))
+        if open_:
+            self._learn(list(dict.fromkeys(self.waiting)))
+            self.waiting.clear()
+            for i, found in open_:
+                out[i] = b"".join([known[x] if type(x) is str else x for x in found])
+        return out
 
 
 @lru_cache(maxsize=2)
