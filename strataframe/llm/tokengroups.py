@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.llm.chunked import blocks
@@ -240,29 +240,33 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
         known = spark.createDataFrame([], "sig binary, comp binary")
 
     # Groups: by least hash; in hot buckets by component first if that has enough sets for groups of its own.
-    sets = front.select("sig", "n", "least", "index", "front").join(known, "sig", "left")
-    one = sets.groupBy("sig").agg(F.first("least").alias("least"), F.first("comp").alias("comp"))
+    one = front.groupBy("sig").agg(F.first("least").alias("least")).join(known, "sig", "left")
     by_comp = one.where(F.col("comp").isNotNull()).groupBy("least", "comp").agg(F.count(F.lit(1)).alias("in_comp")).where(
         F.col("in_comp") >= CELL // 3)
     crowded = one.groupBy("least").agg(F.count(F.lit(1)).alias("in_bucket")).where(F.col("in_bucket") > CELL)
-    sets = sets.join(by_comp, ["least", "comp"], "left").join(crowded, "least", "left")
     own = F.col("in_comp").isNotNull()
     deal = lambda size: F.pmod(F.xxhash64("sig", F.lit(3)), F.ceil(F.coalesce(size, F.lit(1)) / CELL))
-    sets = sets.select(
-        "sig", "n", "index", "front", F.when(own, F.col("comp")).alias("comp"),
+    dealt = one.join(by_comp, ["least", "comp"], "left").join(crowded, "least", "left").select(
+        "sig", F.when(own, F.xxhash64("comp")).alias("comp"),
         F.when(own, F.xxhash64("least", "comp", deal(F.col("in_comp")))).otherwise(
             F.xxhash64("least", deal(F.col("in_bucket")))).alias("gid"))
-    groups = settle(sets, "groups")
-
-    size = lambda f, c: F.col(c) if f is None else F.when(f, F.col(c))
-    exploded = groups.select("gid", "comp", "n", "index", F.posexplode("front").alias("at", "token"))
-    first = F.col("at") < F.col("index")
-    postings = exploded.repartition(F.col("token")).groupBy("token", "gid", "comp").agg(
-        F.min(size(first, "n")).alias("lo_i"), F.max(size(first, "n")).alias("hi_i"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    shared = postings.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
-        F.sum("c").alias("total"), F.max(F.when(F.col("comp").isNotNull(), F.struct("c", "comp"))).alias("lead")).where(
-        F.col("total") > 1).select("token", F.col("lead.comp").alias("lead"))
-    right = postings.join(shared, "token")
+    groups = settle(dealt, "groups")
+
+    # Postings of tokens that several groups have, without those whose groups are of one component.
+    said = front.select("sig", "n", "index", "front").join(groups, "sig").select(
+        "gid", "comp", "n", "index", F.posexplode("front").alias("at", "token"))
+    place = said.select("token", "gid", "comp", F.when(F.col("at") < F.col("index"), F.col("n")).otherwise(-F.col("n")).alias("n"))
+    index_n = F.when(F.col("n") > 0, F.col("n"))
+    postings = place.repartition(F.col("token")).groupBy("token", "gid", "comp").agg(
+        F.min(index_n).alias("lo_i"), F.max(index_n).alias("hi_i"), F.min(F.abs("n")).alias("lo"), F.max(F.abs("n")).alias("hi"))
+    of_token = Window.partitionBy("token")
+    counted = postings.withColumn("total", F.count(F.lit(1)).over(of_token)).withColumn("named", F.count("comp").over(of_token)).withColumn(
+        "c1", F.min("comp").over(of_token)).withColumn("c2", F.max("comp").over(of_token))
+    several = counted.where((F.col("total") > 1) & ((F.col("named") < F.col("total")) | (F.col("c1") != F.col("c2"))))
+    shared = settle(several.drop("total", "named", "c1", "c2"), "postings")
+    lead = shared.where(F.col("comp").isNotNull()).groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
+        F.max(F.struct("c", "comp"))["comp"].alias("lead"))
+    right = shared.join(lead, "token", "left")
     left = right.where(F.col("comp").isNull() | F.col("lead").isNull() | (F.col("comp") != F.col("lead")))
     x, y = left.alias("x"), right.alias("y")
     fits = lambda p, q: (F.col(f"{p}.lo_i") <= F.col(f"{q}.hi")) & (100 * F.col(f"{p}.hi_i") >= percent * F.col(f"{q}.lo"))
@@ -277,7 +281,7 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
     tasks = max(1, -(-pairs.count() // PAIRS_AT_ONCE))
     pairs = pairs.select(F.pmod(F.xxhash64("ga", "gb"), F.lit(tasks)).alias("task"), "ga", "gb")
     wanted = pairs.select("task", F.col("ga").alias("gid")).union(pairs.select("task", F.col("gb").alias("gid"))).distinct()
-    needed = groups.select("gid", "sig").distinct().join(wanted.select("gid").distinct(), "gid", "left_semi")
+    needed = groups.select("gid", "sig").join(wanted.select("gid").distinct(), "gid", "left_semi")
     spoken = rows.where(F.col("n") > 0).groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("sig", "r.*")
     fetched = source.join(spoken.join(needed, "sig"), ["doc_id", "text_hash"]).select("gid", "sig", "text")
 
