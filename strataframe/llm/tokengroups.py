@@ -5,8 +5,10 @@ groups of bounded size; the matrix keeps each group's sets and the union of thei
 
 * Candidates: in a fixed order of all tokens (frequent ones last) two sets that link share a token in their prefixes, so
   a group is asked about another only if they share a prefix token, with sizes that allow a link.
-* Bound: of a candidate group, a set can link only if enough of its tokens are in the union of the other.
-* Opening: what passes is compared with the other group's sets.
+* Bound: the matrix holds each group's union as a bitmap of hashed tokens, and each set's. Every bit of a set that the
+  union lacks is a token that no set of the group has; a set with too many of them links with nothing there. The bitmaps
+  of the sets tell the same of single pairs.
+* Opening: what passes is compared with the other group's sets, token by token.
 
 A large family of near copies would still make all its groups meet. Therefore large buckets of equal least hash are first
 joined in groups dealt at random, twice; groups whose sets are connected already are never asked about each other, and
@@ -35,6 +37,7 @@ PAIRS_AT_ONCE = 60
 FREQUENT = 200_000  # tokens whose frequency is known to all tasks; only the order of tokens depends on them
 HOT = 50_000  # buckets joined beforehand; those beyond are joined like all others
 BLOCK = 1_000_000
+BITS = 4096  # of a bitmap
 SECOND = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,6 +90,8 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
 def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, rank: np.ndarray, hot: np.ndarray) -> DataFrame:
     """A row per set and task: digest, size, least hashes, prefix in the order of tokens, and all tokens if it is in a hot bucket."""
 
+    names = ["sig", "n", "least", "second", "index", "front", "bits", "full"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
         for _, sets in _sets(batches, words):
@@ -104,18 +109,25 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, ra
                 least = x[0]
                 is_hot = len(hot) and hot[min(np.searchsorted(hot, least), len(hot) - 1)] == least
                 rows.append((sig, n, _signed(least), _signed(mix(x * SECOND).min()), n + (-2 * percent * n // (100 + percent)) + 1,
-                             front, x.tobytes() if is_hot else None))
+                             front, bitmap(x), x.tobytes() if is_hot else None))
             if len(met) > 500_000:
                 met.clear()
             if rows:
-                sig, n, least, second, index, front, full = zip(*rows)
+                sig, n, least, second, index, front, bits, full = zip(*rows)
                 ends = np.concatenate(([0], np.cumsum([len(f) for f in front])))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(least, pa.int64()), pa.array(second, pa.int64()),
                     pa.array(index, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(front))),
-                    pa.array(full, pa.binary())], names=["sig", "n", "least", "second", "index", "front", "full"])
+                    pa.array(bits, pa.binary()), pa.array(full, pa.binary())], names=names)
+
+    return docs.select("text").mapInArrow(
+        run, "sig binary, n int, least long, second long, index int, front array<long>, bits binary, full binary")
+
 
-    return docs.select("text").mapInArrow(run, "sig binary, n int, least long, second long, index int, front array<long>, full binary")
+def bitmap(tokens: np.ndarray) -> bytes:
+    marks = np.zeros(BITS, dtype=bool)
+    marks[(tokens >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -162,12 +174,49 @@ def join_cells(sets: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy("cell").applyInPandas(run, "a binary, b binary")
 
 
+def bound_groups(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs of groups in which some sets may link, by the bitmaps of each task's `members` (`task, gid, n, bits`)."""
+
+    def may(a: tuple, b: tuple) -> np.ndarray:
+        missing = np.bitwise_count(a[1][:, None, :] & ~b[1][None, :, :]).sum(axis=2, dtype=np.int64)
+        return 100 * (a[0][:, None] - missing) >= percent * np.maximum(a[0][:, None], b[0][None, :])
+
+    def run(todo: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        groups = {}
+        for gid, g in rows.groupby("gid", sort=False):
+            bits = np.stack([np.frombuffer(x, np.uint64) for x in g["bits"]])
+            groups[gid] = (g["n"].to_numpy(np.int64), bits, np.bitwise_or.reduce(bits, axis=0)[None, :])
+        keep = []
+        for ga, gb in zip(todo["ga"], todo["gb"]):
+            a, b = groups[ga], groups[gb]
+            if ga == gb:
+                found = may(a, a)
+                np.fill_diagonal(found, False)
+            else:
+                lack = np.bitwise_count(a[1] & ~b[2]).sum(axis=1, dtype=np.int64)
+                some = 100 * (a[0] - lack) >= percent * a[0]
+                a = (a[0][some], a[1][some])
+                found = may(a, b) & may(b, a).T if some.any() else np.zeros(1, bool)
+            keep.append(found.any())
+        return todo.loc[keep, ["ga", "gb"]]
+
+    return pairs.groupBy("task").cogroup(members.groupBy("task")).applyInPandas(run, "ga long, gb long")
+
+
+def dealt_pairs(pairs: DataFrame, at_once: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs with the task that takes them, about `at_once` each, and the groups that every task needs."""
+    tasks = max(1, -(-pairs.count() // at_once))
+    pairs = pairs.select(F.pmod(F.xxhash64("ga", "gb"), F.lit(tasks)).alias("task"), "ga", "gb")
+    wanted = pairs.select("task", F.col("ga").alias("gid")).union(pairs.select("task", F.col("gb").alias("gid"))).distinct()
+    return pairs, wanted
+
+
 def open_groups(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Edges from pairs of groups (`task`, `ga`, `gb`), given each task's `members` (`task, gid, sig, full`)."""
 
     def run(todo: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         groups: dict[int, tuple] = {}
-        for gid, g in rows.groupby("gid", sort=False):
+        for gid, g in rows.drop_duplicates("sig").groupby("gid", sort=False):
             sets_ = _bytes(g["full"])
             groups[gid] = (g["sig"].tolist(), sets_, np.array([len(x) for x in sets_]), np.unique(np.concatenate(sets_)))
         out = []
@@ -272,26 +321,33 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
     fits = lambda p, q: (F.col(f"{p}.lo_i") <= F.col(f"{q}.hi")) & (100 * F.col(f"{p}.hi_i") >= percent * F.col(f"{q}.lo"))
     apart = F.col("x.comp").isNull() | F.col("y.comp").isNull() | (F.col("x.comp") != F.col("y.comp"))
     once_only = (F.col("x.gid") < F.col("y.gid")) | ((F.col("x.gid") > F.col("y.gid")) & (F.col("y.comp") == F.col("y.lead")))
-    asked = x.join(y, (F.col("x.token") == F.col("y.token")) & once_only & apart & (fits("x", "y") | fits("y", "x")))
-    pairs = asked.select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & once_only & apart & (fits("x", "y") | fits("y", "x")))
+    pairs = met.select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb"))
     inside = groups.groupBy("gid").agg(F.min("sig").alias("u"), F.max("sig").alias("w"), F.count("comp").alias("c")).where(
         (F.col("u") != F.col("w")) & (F.col("c") == 0)).select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     pairs = settle(pairs.union(inside).distinct(), "pairs")
 
-    tasks = max(1, -(-pairs.count() // PAIRS_AT_ONCE))
-    pairs = pairs.select(F.pmod(F.xxhash64("ga", "gb"), F.lit(tasks)).alias("task"), "ga", "gb")
-    wanted = pairs.select("task", F.col("ga").alias("gid")).union(pairs.select("task", F.col("gb").alias("gid"))).distinct()
+    asked, wanted = dealt_pairs(pairs, 8 * PAIRS_AT_ONCE)
+    drawn = front.select("sig", "n", "bits").join(groups.select("sig", "gid"), "sig").join(wanted, "gid").select("task", "gid", "sig", "n", "bits")
+    pairs = settle(bound_groups(asked, drawn.toDF("task", "gid", "sig", "n", "bits"), percent), "bounded")
+
+    asked, wanted = dealt_pairs(pairs, PAIRS_AT_ONCE)
     needed = groups.select("gid", "sig").join(wanted.select("gid").distinct(), "gid", "left_semi")
     spoken = rows.where(F.col("n") > 0).groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("sig", "r.*")
-    fetched = source.join(spoken.join(needed, "sig"), ["doc_id", "text_hash"]).select("gid", "sig", "text")
+    named = spoken.join(needed, "sig")
+    same = source["doc_id"].eqNullSafe(named["doc_id"]) & (source["text_hash"] == named["text_hash"])
+    fetched = source.join(named, same).select("gid", "sig", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()  # repeated rows meet in one task
         for (gid, sig), found in _sets(batches, words):
-            yield pa.RecordBatch.from_arrays([gid, sig, pa.array([x.tobytes() for x in found], pa.binary())], names=["gid", "sig", "full"])
+            new = [k for k, x in enumerate(sig.to_pylist()) if not (x in met or met.add(x))]
+            yield pa.RecordBatch.from_arrays([gid.take(pa.array(new, pa.int32())), sig.take(pa.array(new, pa.int32())),
+                                              pa.array([found[k].tobytes() for k in new], pa.binary())], names=["gid", "sig", "full"])
 
     matrix = settle(fetched.mapInArrow(full, "gid long, sig binary, full binary"), "matrix")
-    members = matrix.dropDuplicates(["gid", "sig"]).join(wanted, "gid").select("task", "gid", "sig", "full").toDF("task", "gid", "sig", "full")
-    links = open_groups(pairs, members, percent).union(before)
+    members = matrix.join(wanted, "gid").select("task", "gid", "sig", "full").toDF("task", "gid", "sig", "full")
+    links = settle(open_groups(asked, members, percent).union(before), "links")
     roots = connected(links).select(F.col("node").alias("sig"), "root")
 
     marked = settle(rows.join(roots, "sig", "left").select(
