@@ -175,7 +175,10 @@ def join_cells(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def bound_groups(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs of groups in which some sets may link, by the bitmaps of each task's `members` (`task, gid, n, bits`)."""
+    """For each pair of groups the sets that may link across (`ga, gb, gid, sig`), by the bitmaps of the sets.
+
+    `members` has for every task its groups once (`task, gid, sets` of sig, n and bits).
+    """
 
     def may(a: tuple, b: tuple) -> np.ndarray:
         missing = np.bitwise_count(a[1][:, None, :] & ~b[1][None, :, :]).sum(axis=2, dtype=np.int64)
@@ -183,24 +186,28 @@ def bound_groups(pairs: DataFrame, members: DataFrame, percent: int) -> DataFram
 
     def run(todo: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         groups = {}
-        for gid, g in rows.groupby("gid", sort=False):
-            bits = np.stack([np.frombuffer(x, np.uint64) for x in g["bits"]])
-            groups[gid] = (g["n"].to_numpy(np.int64), bits, np.bitwise_or.reduce(bits, axis=0)[None, :])
-        keep = []
+        for gid, sets_ in zip(rows["gid"], rows["sets"]):
+            bits = np.stack([np.frombuffer(x["bits"], np.uint64) for x in sets_])
+            groups[gid] = (np.array([x["n"] for x in sets_], np.int64), bits, np.bitwise_or.reduce(bits, axis=0), [x["sig"] for x in sets_])
+        out = []
         for ga, gb in zip(todo["ga"], todo["gb"]):
             a, b = groups[ga], groups[gb]
             if ga == gb:
                 found = may(a, a)
                 np.fill_diagonal(found, False)
-            else:
-                lack = np.bitwise_count(a[1] & ~b[2]).sum(axis=1, dtype=np.int64)
-                some = 100 * (a[0] - lack) >= percent * a[0]
-                a = (a[0][some], a[1][some])
-                found = may(a, b) & may(b, a).T if some.any() else np.zeros(1, bool)
-            keep.append(found.any())
-        return todo.loc[keep, ["ga", "gb"]]
+                found &= found.T
+                out += [(ga, gb, ga, a[3][i]) for i in np.flatnonzero(found.any(axis=1))]
+                continue
+            lack = np.bitwise_count(a[1] & ~b[2]).sum(axis=1, dtype=np.int64)
+            some = np.flatnonzero(100 * (a[0] - lack) >= percent * a[0])
+            if len(some):
+                part = (a[0][some], a[1][some])
+                found = may(part, b) & may(b, part).T
+                out += [(ga, gb, ga, a[3][some[i]]) for i in np.flatnonzero(found.any(axis=1))]
+                out += [(ga, gb, gb, b[3][j]) for j in np.flatnonzero(found.any(axis=0))]
+        return pd.DataFrame(out, columns=["ga", "gb", "gid", "sig"])
 
-    return pairs.groupBy("task").cogroup(members.groupBy("task")).applyInPandas(run, "ga long, gb long")
+    return pairs.groupBy("task").cogroup(members.groupBy("task")).applyInPandas(run, "ga long, gb long, gid long, sig binary")
 
 
 def dealt_pairs(pairs: DataFrame, at_once: int) -> tuple[DataFrame, DataFrame]:
@@ -328,11 +335,14 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
     pairs = settle(pairs.union(inside).distinct(), "pairs")
 
     asked, wanted = dealt_pairs(pairs, 8 * PAIRS_AT_ONCE)
-    drawn = front.select("sig", "n", "bits").join(groups.select("sig", "gid"), "sig").join(wanted, "gid").select("task", "gid", "sig", "n", "bits")
-    pairs = settle(bound_groups(asked, drawn.toDF("task", "gid", "sig", "n", "bits"), percent), "bounded")
-
-    asked, wanted = dealt_pairs(pairs, PAIRS_AT_ONCE)
-    needed = groups.select("gid", "sig").join(wanted.select("gid").distinct(), "gid", "left_semi")
+    drawn = front.select("sig", "n", "bits").dropDuplicates(["sig"]).join(groups.select("sig", "gid"), "sig").join(
+        wanted.select("gid").distinct(), "gid", "left_semi").groupBy("gid").agg(F.collect_list(F.struct("sig", "n", "bits")).alias("sets"))
+    drawn = drawn.join(wanted, "gid").select("task", "gid", "sets").toDF("task", "gid", "sets")
+    bounded = settle(bound_groups(asked, drawn, percent), "bounded")
+
+    asked, _ = dealt_pairs(bounded.select("ga", "gb").distinct(), PAIRS_AT_ONCE)
+    wanted = bounded.join(asked, ["ga", "gb"]).select("task", "gid", "sig").distinct()
+    needed = wanted.select("gid", "sig").distinct()
     spoken = rows.where(F.col("n") > 0).groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("sig", "r.*")
     named = spoken.join(needed, "sig")
     same = source["doc_id"].eqNullSafe(named["doc_id"]) & (source["text_hash"] == named["text_hash"])
@@ -346,7 +356,7 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
                                               pa.array([found[k].tobytes() for k in new], pa.binary())], names=["gid", "sig", "full"])
 
     matrix = settle(fetched.mapInArrow(full, "gid long, sig binary, full binary"), "matrix")
-    members = matrix.join(wanted, "gid").select("task", "gid", "sig", "full").toDF("task", "gid", "sig", "full")
+    members = matrix.join(wanted, ["gid", "sig"]).select("task", "gid", "sig", "full").toDF("task", "gid", "sig", "full")
     links = settle(open_groups(asked, members, percent).union(before), "links")
     roots = connected(links).select(F.col("node").alias("sig"), "root")
 
