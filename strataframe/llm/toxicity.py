@@ -12,7 +12,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import ahocorasick
@@ -60,39 +59,54 @@ def keys_of(words: set[str]) -> set[str]:
     return keys
 
 
-def standing_out(shown: list[set[str]], labels: np.ndarray, most: int) -> list[str]:
-    """Features whose smoothed odds between the classes are largest.
+def indexed(texts: list[str], labels: np.ndarray) -> tuple[list[str], list[np.ndarray]]:
+    """Features of the toxic texts and of the lexicon, and their numbers in every text."""
+    place = {f" {w} ": i for i, w in enumerate(LEXICON)}
+    shown: list = [None] * len(texts)
+    for i in [*np.flatnonzero(labels == 1), *np.flatnonzero(labels != 1)]:
+        keys = keys_of(words_of(texts[i]))
+        ids = [place.setdefault(k, len(place)) for k in keys] if labels[i] == 1 else [place[k] for k in keys if k in place]
+        shown[i] = np.array(sorted(ids), dtype=np.int32)
+    return list(place), shown
+
+
+def standing_out(names: list[str], shown: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of the features whose smoothed odds between the classes are largest.
 
     A long toxic text says little about each of its words: a text counts the less the more features it shows, and a
     feature needs the support of two short texts at least, of more long ones, and of more in a larger sample.
     """
-    seen, support = {1: Counter(), 0: Counter()}, Counter()
-    for keys, y in zip(shown, labels):
-        seen[int(y)].update(keys)
-        if y:
-            share = 1 / (1 + len(keys) / 500)
-            for key in keys:
-                support[key] += share
-    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    found = []
-    for key, k in support.items():
-        if k >= 1.25 + 0.002 * n1 and seen[1][key] >= 2:
-            odds = np.log((k + 0.5) / (n1 + 1)) - np.log((seen[0][key] + 0.5) / (n0 + 1))
-            if odds > 1.5:
-                found.append((-odds * np.sqrt(k), key))
-    return [key for _, key in sorted(found)[:most]]
-
-
-def ballots(texts: list[str], shown: list[set[str]], keys: list[str], gold: np.ndarray | None) -> np.ndarray:
+    size = np.array([len(s) for s in shown])
+    flat, owner = np.concatenate(shown), np.repeat(np.arange(len(shown)), size)
+    toxic = labels[owner] == 1
+    seen1, seen0 = (np.bincount(flat[m], minlength=len(names)) for m in (toxic, ~toxic))
+    support = np.bincount(flat[toxic], 1 / (1 + size[owner[toxic]] / 500), len(names))
+    n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels != 1).sum()))
+    odds = np.log((support + 0.5) / (n1 + 1)) - np.log((seen0 + 0.5) / (n0 + 1))
+    fine = np.flatnonzero((support >= 1.25 + 0.002 * n1) & (seen1 >= 2) & (odds > 1.5))
+    strength = odds[fine] * np.sqrt(support[fine])
+    return np.array([k for _, _, k in sorted((-x, names[k], k) for x, k in zip(strength, fine))[:most]], dtype=np.int64)
+
+
+def marks(shown: list[np.ndarray], keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (text, column) of the features `keys` that texts show."""
+    column = np.full(n, -1)
+    column[keys] = np.arange(len(keys))
+    flat, owner = np.concatenate(shown), np.repeat(np.arange(len(shown)), [len(s) for s in shown])
+    at = column[flat]
+    return owner[at >= 0], at[at >= 0]
+
+
+def ballots(texts: list[str], names: list[str], shown: list[np.ndarray], keys: np.ndarray, gold: np.ndarray) -> np.ndarray:
     """Votes, texts x voters: 1, 0, or -1 for an abstention."""
-    columns = [np.array([1 if f" {w} " in s else -1 for s in shown]) for w in LEXICON]
-    columns += [np.array([1 if k in s else -1 for s in shown]) for k in keys]
-    columns += [np.array([1 if p.search(t.lower()) else -1 for t in texts]) for p in PATTERNS.values()]
-    hits = np.array([sum(k in s for k in keys) + sum(f" {w} " in s for w in LEXICON) for s in shown])
-    columns.append(np.where(hits == 0, 0, -1))  # nothing stands out: a vote for a clean text
-    if gold is not None:
-        columns.append(gold)
-    return np.stack(columns, axis=1)
+    keys = np.array(list(dict.fromkeys([*range(len(LEXICON)), *keys.tolist()])))
+    votes = np.full((len(texts), len(keys) + len(PATTERNS) + 2), -1)
+    votes[marks(shown, keys, len(names))] = 1
+    for j, p in enumerate(PATTERNS.values()):
+        votes[[bool(p.search(t.lower())) for t in texts], len(keys) + j] = 1
+    votes[(votes[:, : len(keys)] == -1).all(axis=1), -2] = 0  # nothing stands out: a vote for a clean text
+    votes[:, -1] = gold
+    return votes
 
 
 def label_model(votes: np.ndarray, weights: np.ndarray, rounds: int = 25, prior: float = 0.1) -> np.ndarray:
@@ -132,13 +146,14 @@ def fit(texts: list[str], labels: list[int], weights: list[float], steps: int =
     if not texts:
         return Classifier({f" {w} ": 4.0 for w in LEXICON}, -2.5)
     y, weight = np.array(labels), np.array(weights)
-    shown = [keys_of(words_of(t)) for t in texts]
-    keys = standing_out(shown, y, VOTERS)
-    post = label_model(ballots(texts, shown, keys, y), weight)
-    vocabulary = list(dict.fromkeys(standing_out(shown, (post > 0.5).astype(int), FEATURES) + [f" {w} " for w in LEXICON]))
-    place = {k: i for i, k in enumerate(vocabulary)}
-    rows = [np.array([place[k] for k in s if k in place], dtype=np.int64) for s in shown]
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    names, shown = indexed(texts, y)
+    keys = standing_out(names, shown, y, VOTERS)
+    post = label_model(ballots(texts, names, shown, keys, y), weight)
+    chosen = standing_out(names, shown, (post > 0.5).astype(int), FEATURES)
+    chosen = np.array(list(dict.fromkeys([*chosen.tolist(), *range(len(LEXICON))])))
+    vocabulary = [names[k] for k in chosen]
+    owner, flat = marks(shown, chosen, len(names))
+    rows = shown
     w, shift = np.zeros(len(vocabulary)), -2.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
