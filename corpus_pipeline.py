@@ -43,8 +43,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = found.where(F.col("n_shingles") > 0).groupBy("root").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("r")).select("r.doc_id", "r.text_hash")
     kept = first.unionByName(alone).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
-    match = F.col("d.doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("d.text") == F.col("kept_hash"))
-    rows = docs.alias("d").join(kept, match, "left_semi")
+    match = F.col("d.doc_id").eqNullSafe(F.col("k.kept_id")) & (F.xxhash64("d.text") == F.col("k.kept_hash"))
+    rows = docs.alias("d").join(kept.alias("k"), match, "left_semi")
     return rows.dropDuplicates(["doc_id", "text"])
 
 
