@@ -126,7 +126,7 @@ def t8b(spark, sf):
     return s.select("well_id", "status", F.unix_micros("since").alias("since_us"), "transitions")
 
 
-@query("t9_effectiveness", f"""WITH {ALERTS}, ev AS (SELECT event_id AS eid, user_id AS well_id, epoch_us(ts)/1e6 AS at FROM events WHERE event_type='error' AND value > 100),
+@query("t9_effectiveness", f"""WITH {ALERTS}, ev AS (SELECT event_id AS eid, user_id AS well_id, epoch_us(ts)/1e6 AS at FROM events WHERE event_type='error'),
 a AS (SELECT rule, well_id, us/1e6 AS at FROM al),
 x AS (SELECT rule, count(*) AS alerts, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM ev WHERE ev.well_id=a.well_id AND ev.at BETWEEN a.at AND a.at + 86400)) AS useful FROM a GROUP BY rule),
 y AS (SELECT rule, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM a WHERE a.rule=r.rule AND a.well_id=ev.well_id AND ev.at BETWEEN a.at AND a.at + 86400)) AS told
@@ -135,7 +135,7 @@ SELECT rule, alerts, useful AS useful_alerts, n AS events_n, told AS events_anno
 def t9(spark, sf):
     sec = (F.unix_micros("ts") / 1e6).alias("at")
     a = alerts(spark, sf).select("event_id", "rule", "well_id", sec)
-    ev = samples(spark, sf).where("event_type = 'error' AND value > 100").select(F.col("event_id").alias("eid"), "well_id", sec.alias("event_at"))
+    ev = samples(spark, sf).where("event_type = 'error'").select(F.col("event_id").alias("eid"), "well_id", sec.alias("event_at"))
     return B.effectiveness(a, ev, ["well_id"], "at", "event_at", "eid", 86_400.0, "rule")
 
 

@@ -308,11 +308,11 @@ def m28(spark, sf):
 
 def _trainings(spark, sf):
     """Training runs: every priority's orders of large value, in date order."""
-    o = read_table(spark, sf, "orders").where("o_totalprice > 300000")
+    o = read_table(spark, sf, "orders")
     return o.select(F.col("o_orderpriority").alias("name"), F.col("o_orderdate").cast("timestamp").alias("trained_at"), F.col("o_orderkey").alias("id"))
 
 
-_VERSIONS = """WITH o AS (SELECT o_orderpriority AS name, o_orderdate AS t, o_orderkey AS id FROM orders WHERE o_totalprice > 300000),
+_VERSIONS = """WITH o AS (SELECT o_orderpriority AS name, o_orderdate AS t, o_orderkey AS id FROM orders),
 f AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR date_trunc('month', t) <> date_trunc('month', lag(t) OVER w) THEN 1 ELSE 0 END AS m,
  CASE WHEN date_trunc('month', t) = date_trunc('month', lag(t) OVER w) AND CAST(t AS DATE) <> CAST(lag(t) OVER w AS DATE) THEN 1 ELSE 0 END AS d
  FROM o WINDOW w AS (PARTITION BY name ORDER BY t, id)),
