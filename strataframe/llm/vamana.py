@@ -159,7 +159,8 @@ def build_index(points: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
                              "ids": [g["point"].to_numpy().astype("<i8").tobytes()], "vectors": [v.astype("<f8").tobytes()],
                              "graph": [graph.astype("<i4").tobytes()]})
 
-    made = dealt.groupBy("dim", "shard").applyInPandas(
+    tasks = sizes.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]  # a shard is much work on few bytes: no merging of tasks
+    made = dealt.repartition(int(tasks), "dim", "shard").groupBy("dim", "shard").applyInPandas(
         run, "dim int, shard long, n int, start int, ids binary, vectors binary, graph binary")
     return settle(made, "vamana")
 
