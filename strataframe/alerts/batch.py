@@ -99,7 +99,7 @@ def effectiveness(alerts: DataFrame, events: DataFrame, by: list[str], at: str,
                   ahead: float, rule: str) -> DataFrame:
     """Per rule: alerts, alerts followed by an event within `ahead`, precision, and events announced by an alert.
 
-    Recall counts, for each rule, the events of the places where the rule raised alerts.
+    Recall counts all of `events` for each rule, also those of places where the rule never fired.
     """
     half = ahead / 2
     a = alerts.withColumn("_mid", F.col(at) + half)
@@ -108,8 +108,9 @@ def effectiveness(alerts: DataFrame, events: DataFrame, by: list[str], at: str,
     reach = alerts.select(rule, *by).distinct().join(events, by)
     told = exists_within(reach.withColumn("_back", F.col(event_at) - half), alerts.select(rule, *by, at), [rule, *by],
                          "_back", at, half, "announced")
-    ev = told.groupBy(rule).agg(F.count(F.lit(1)).alias("events_n"), F.sum("announced").alias("events_announced"))
-    out = per.join(ev, rule, "left").fillna(0, ["events_n", "events_announced"])
+    ev = told.groupBy(rule).agg(F.sum("announced").alias("events_announced"))
+    out = per.join(ev, rule, "left").fillna(0, ["events_announced"])
+    out = out.withColumn("events_n", events.agg(F.count(F.lit(1))).scalar())
     return out.withColumns({
         "precision": round_half_up(F.col("useful_alerts") / F.col("alerts"), 4),
         "recall": F.when(F.col("events_n") > 0, round_half_up(F.col("events_announced") / F.col("events_n"), 4)),

@@ -121,18 +121,13 @@ def look_ahead(events: DataFrame, col: str, at: float, reach: float, n: int, tie
     return events.where(F.col(col).between(at, at + reach)).orderBy(col, *tie).limit(n)
 
 
-def with_children(parent: DataFrame, child: DataFrame, key: str, fields: list[str], k: int, out: str = "children"
-                  ) -> DataFrame:
-    """Parent rows with their children's count and their first k children by `fields` order as a nested list.
+def with_children(parent: DataFrame, child: DataFrame, key: str, fields: list[str], out: str = "children") -> DataFrame:
+    """A row per child with its parent's columns and the number of children; a parent without any has one row of nulls.
 
-    The list is bounded: a parent with very many children must not become one very wide row. Read all children of one
-    parent with a plain filter on the key.
+    Children stay rows, so a parent with very many of them makes no wide row and none is cut off.
     """
-    from strataframe.operators.topk import topk_list
-
     counts = child.groupBy(key).agg(F.count(F.lit(1)).alias(f"{out}_count"))
-    lists = topk_list(child, [key], fields, k, fields, out)
-    joined = parent.join(counts, key, "left").join(lists, key, "left")
+    joined = parent.join(counts, key, "left").join(child.select(key, *fields), key, "left")
     return joined.withColumn(f"{out}_count", F.coalesce(f"{out}_count", F.lit(0).cast("bigint")))
 
 

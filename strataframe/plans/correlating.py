@@ -119,9 +119,8 @@ def c3(spark, sf):
 
 
 def _points(spark, sf):
-    """Every large line item is a point to score, its channels standing in for live telemetry."""
-    s = series(spark, sf).where("quantity >= 48")
-    return s.select(
+    """Every line item is a point to score, its channels standing in for live telemetry."""
+    return series(spark, sf).select(
         (F.col("well_id") * 10_000_000 + F.col("pos")).alias("point_id"), "well_id", "depth",
         F.concat(F.lit("Formation "), F.when(F.col("line_no") % 2 == 0, "X").otherwise("Y")).alias("formation"),
         (17 + F.col("discount") * 80).alias("torque"), (21 - F.col("tax") * 100).alias("rop"),
@@ -145,14 +144,15 @@ def risk_sql(tail: str) -> str:
     z = "CASE r " + " ".join(
         f"WHEN '{r}' THEN {C.INTERCEPTS[r]}e0 + " + " + ".join(f"({vals[f]})*({w}e0)" for f, w in C.WEIGHTS[r].items())
         for r in C.INTERCEPTS) + " END"
-    types = " OR ".join(f"(r='{r}' AND i.event_type IN ({', '.join(repr(e) for e in es)}))" for r, es in C.EVIDENCE.items())
+    types = ", ".join(f"('{r}', '{e}')" for r, es in C.EVIDENCE.items() for e in es)
     risks = "[" + ", ".join(f"'{r}'" for r in C.INTERCEPTS) + "]"
     return with_sql("series incidents", f""", pts AS (SELECT well_id*10000000+pos AS point_id, well_id, depth, line_no % 2 = 0 AS isx, 17 + discount*80 AS torque,
- 21 - tax*100 AS rop, 2850 + price/200 AS pressure, 1.1e0 + discount/2 AS mud_weight FROM series WHERE quantity >= 48),
+ 21 - tax*100 AS rop, 2850 + price/200 AS pressure, 1.1e0 + discount/2 AS mud_weight FROM series),
 g AS (SELECT *, unnest({risks}) AS r FROM pts),
-n AS (SELECT point_id, r, abs(i.start_md - depth) AS d, CASE WHEN severity <= 1 THEN 25 WHEN severity <= 3 THEN 55 WHEN severity <= 4 THEN 90 ELSE 35 END AS w
- FROM g JOIN incidents i ON i.well_id=g.well_id AND i.start_md BETWEEN depth-120 AND depth+160 AND ({types})
- QUALIFY row_number() OVER (PARTITION BY point_id, r ORDER BY abs(i.start_md - depth),
+ei AS (SELECT i.*, r FROM incidents i JOIN (VALUES {types}) t(r, kind) ON kind=event_type),
+n AS (SELECT point_id, g.r, abs(i.start_md - depth) AS d, CASE WHEN severity <= 1 THEN 25 WHEN severity <= 3 THEN 55 WHEN severity <= 4 THEN 90 ELSE 35 END AS w
+ FROM g JOIN ei i ON i.well_id=g.well_id AND i.r=g.r AND i.start_md BETWEEN depth-120 AND depth+160
+ QUALIFY row_number() OVER (PARTITION BY point_id, g.r ORDER BY abs(i.start_md - depth),
    CASE WHEN severity <= 1 THEN 'Low' WHEN severity <= 3 THEN 'Medium' WHEN severity <= 4 THEN 'High' ELSE 'None' END DESC, event_id) <= 6),
 e AS (SELECT point_id, r, sum(w) AS w, min(d) AS nearest, count(*) AS evidence_n FROM n GROUP BY 1, 2),
 zz AS (SELECT g.*, coalesce(evidence_n, 0) AS evidence_n, {half_up_sql(z, 9)} AS z FROM g LEFT JOIN e USING (point_id, r)),

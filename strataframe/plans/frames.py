@@ -13,7 +13,6 @@ SERIES_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quan
                 "l_tax", "l_returnflag", "l_linestatus"]
 CATEGORIES = ["MUD_LOSS", "KICK", "STUCK_PIPE", "TORQUE_SPIKE"]
 EVENT_TYPES = ["Mud Loss", "Kick", "Stuck Pipe", "High Torque"]
-INCIDENT_QUANTITY = 49
 
 
 def places(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,8 +40,8 @@ def pick(names: list[str], i) -> F.Column:
 
 
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
-    """Returned large line items as recorded events of a well."""
-    s = series(spark, sf).where((F.col("flag") == "R") & (F.col("quantity") >= INCIDENT_QUANTITY))
+    """Returned line items as recorded events of a well."""
+    s = series(spark, sf).where(F.col("flag") == "R")
     kind = F.col("line_no") % 4
     sev = 1 + F.col("order_id") % 5
     return s.select(
@@ -105,7 +104,7 @@ CTE = {
         {_CASE4(EVENT_TYPES, 'line_no % 4')} AS event_type, depth AS start_md, depth + line_no*10 AS end_md,
         1 + order_id % 5 AS severity, {half_up_sql('discount*100', 1)} AS npt_hours,
         'Formation ' || CAST(CAST(floor((depth - well_id % 100)/500) AS BIGINT) AS VARCHAR) AS formation
-        FROM series WHERE flag='R' AND quantity >= {INCIDENT_QUANTITY}"""),
+        FROM series WHERE flag='R'"""),
     "tops": (
         [], """SELECT s AS well_id, i AS formation_no, 'Formation ' || CAST(i AS VARCHAR) AS formation,
         CAST(i*500 + s % 100 AS DOUBLE) AS top_md, CAST(i*500 + s % 100 + 400 AS DOUBLE) AS base_md, pp AS pp_ppg,

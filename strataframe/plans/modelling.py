@@ -38,7 +38,6 @@ def pixels(spark, sf):
 
 
 PIXELS = [f"e{i}" for i in range(64)]
-LEADING = PIXELS[:16]
 
 
 @query("m4_standardise", f"""WITH s AS (SELECT avg(l_quantity) AS m1, greatest(1e-6, stddev_pop(l_quantity)) AS d1, avg(l_extendedprice) AS m2,
@@ -55,7 +54,7 @@ def m4(spark, sf):
 
 @query("m5_fit_logistic")
 def m5(spark, sf):
-    m = MD.fit_logistic(pixels(spark, sf), PIXELS, "label", 1.0, iters=50)
+    m = MD.fit_logistic(pixels(spark, sf), PIXELS, "label", 1.0)
     fit = pixels(spark, sf).withColumn("score", m.score())
     return M.roc_auc(fit, "score", "label").withColumns({"n_weights": F.lit(len(m.weights)), "bias": F.lit(m.bias)})
 
@@ -81,7 +80,7 @@ def m7(spark, sf):
 @query("m7_platt_fit")
 def m7b(spark, sf):
     df = matrix(spark, sf).withColumn("score", STORED.score())
-    p = MD.fit_platt(df, "score", "label", 50)
+    p = MD.fit_platt(df, "score", "label")
     return df.withColumn("c", p.apply(F.col("score"))).groupBy("label").agg(round_half_up(F.avg("c"), 3).alias("mean_calibrated"))
 
 
@@ -119,7 +118,7 @@ def m10b(spark, sf):
 @query("m11_isolation_forest")
 def m11(spark, sf):
     df = matrix(spark, sf)
-    forest = IF.fit_iforest(df, FEATURES, "row_id", trees=30, sample=256)
+    forest = IF.fit_iforest(df, FEATURES, "row_id")
     return E.anomaly_report(IF.score_iforest(df, forest, "score"), "score")
 
 
@@ -234,24 +233,24 @@ def m22(spark, sf):
 
 @query("m23_bootstrap_interval")
 def m23(spark, sf):
-    return M.bootstrap_ci(scored(spark, sf), "score", "label", 200)
+    return M.bootstrap_ci(scored(spark, sf), "score", "label")
 
 
 def _candidates(rounds=5, iters=20):
-    return {"logistic_regression": E.logistic_candidate(LEADING, "label", iters=iters),
-            "gradient_boosted_trees": E.boosted_candidate(LEADING, "label", rounds)}
+    return {"logistic_regression": E.logistic_candidate(PIXELS, "label", iters=iters),
+            "gradient_boosted_trees": E.boosted_candidate(PIXELS, "label", rounds)}
 
 
 @query("m24_evaluate_classifier")
 def m24(spark, sf):
-    report, _ = E.evaluate_classifier(pixels(spark, sf), LEADING, "label", "grp", "vec_id", 2, _candidates())
+    report, _ = E.evaluate_classifier(pixels(spark, sf), PIXELS, "label", "grp", "vec_id", 2, _candidates())
     return report.select("algorithm", "rows_scored", "groups", "positives", "folds", "roc_auc", "average_precision", "brier",
                          "ece", "threshold", "precision", "recall", "f1", "usable")
 
 
 @query("m24_fold_report")
 def m24b(spark, sf):
-    oof = settle(E.out_of_fold(pixels(spark, sf), "grp", "label", 2, E.logistic_candidate(LEADING, "label", iters=20)))
+    oof = settle(E.out_of_fold(pixels(spark, sf), "grp", "label", 2, E.logistic_candidate(PIXELS, "label", iters=20)))
     return E.fold_report(oof, "label", "vec_id")
 
 
@@ -264,7 +263,7 @@ def m25(spark, sf):
 @query("m26_evaluate_anomaly")
 def m26(spark, sf):
     df = matrix(spark, sf)
-    forest = IF.fit_iforest(df, FEATURES, "row_id", trees=30)
+    forest = IF.fit_iforest(df, FEATURES, "row_id")
     s = settle(IF.smoothed_scores(IF.score_iforest(df, forest), ["well_id"], ["pos"]).select("well_id", "pos", "depth", "score"))
     return E.anomaly_enrichment(s, incidents(spark, sf), ["well_id"], "depth", "start_md", "score", "pos")
 
@@ -280,7 +279,7 @@ def m26b(spark, sf):
 
 @query("m27_train_and_choose")
 def m27(spark, sf):
-    best, model = E.train_classifier(pixels(spark, sf), LEADING, "label", "grp", "vec_id", 2, 1.0, 5, 20)
+    best, model = E.train_classifier(pixels(spark, sf), PIXELS, "label", "grp", "vec_id", 2, 1.0, 5, 20)
     keep = {k: best.get(k) for k in ("algorithm", "roc_auc", "average_precision", "threshold", "runner_up", "runner_up_auc", "activated")}
     return spark.createDataFrame(
         [(*keep.values(), RG.model_json(model) if model else None)],
@@ -415,14 +414,14 @@ def m34(spark, sf):
 _RULES = [("KICK", 1, "quantity", "<", 5.0), ("KICK", 2, "price", ">", 90000.0), ("MUD_LOSS", 3, "discount", ">", 0.08), ("MUD_LOSS", 4, "static_minutes", ">", 45.0)]
 
 
-@query("m35_guidance", with_sql("series", ", g AS (SELECT well_id, pos, CASE WHEN line_no % 2 = 0 THEN 'KICK' ELSE 'MUD_LOSS' END AS risk_type, quantity, price, discount FROM series WHERE flag='R')" + " UNION ALL ".join(
+@query("m35_guidance", with_sql("series", ", g AS (SELECT well_id, pos, CASE WHEN line_no % 2 = 0 THEN 'KICK' ELSE 'MUD_LOSS' END AS risk_type, quantity, price, discount FROM series)" + " UNION ALL ".join(
     f""" SELECT well_id, pos, {n} AS rule_no, """ + (
         f"""CASE WHEN {f} {o} {t}e0 THEN 'matched' ELSE 'unmatched' END AS status, {R4(f)} AS value, {half_up_sql(f'1 - least(1e0, abs({f}-{t}e0)/greatest(1e0, {t}e0))', 6)} AS closeness"""
         if f != "static_minutes" else "'unevaluable' AS status, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS closeness") + f" FROM g WHERE risk_type='{r}'"
     for r, n, f, o, t in _RULES)))
 def m35(spark, sf):
     rules = X.guidance_table(spark, [(r, [(f, o, t)], "x") for r, _, f, o, t in _RULES])
-    s = series(spark, sf).where("flag = 'R'").select(
+    s = series(spark, sf).select(
         "well_id", "pos", F.when(F.col("line_no") % 2 == 0, "KICK").otherwise("MUD_LOSS").alias("risk_type"),
         F.create_map(*[x for c in ("quantity", "price", "discount") for x in (F.lit(c), F.col(c))]).alias("values"))
     return X.recommend(s, "values", rules).select("well_id", "pos", "rule_no", "status", "value", "closeness")

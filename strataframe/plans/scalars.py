@@ -32,17 +32,46 @@ def f2(spark, sf):
     return w.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word", T.stem("word").alias("stem"), "n")
 
 
-@query("f3_chunk_text")
+def _walk_sql(units: str, joint: int, slack: int, again: str) -> str:
+    """Fold over the lengths of `units`: `heads` holds the number and offset of the first unit of every group."""
+    full = f"a.i > 0 AND a.held + x.n + {slack} > 900"
+    gap = f"CASE WHEN a.i = 0 THEN 0 WHEN {full} THEN 1 ELSE {joint} END"
+    state = "{{'i': {}, 'n': {}, 'total': {}, 'held': {}, 'heads': {}}}"
+    none = state.format("0::BIGINT", "0::BIGINT", "0::BIGINT", "0::BIGINT", "[{'unit': 0::BIGINT, 'at': 0::BIGINT}]")
+    one = state.format("0::BIGINT", "length(u)::BIGINT", "0::BIGINT", "0::BIGINT", "[{'unit': 0::BIGINT, 'at': 0::BIGINT}]")
+    new = state.format("a.i + 1", "x.n", f"a.total + {gap} + x.n", f"CASE WHEN {full} THEN {again} ELSE a.held + {gap} + x.n END",
+                       f"CASE WHEN {full} THEN list_append(a.heads, {{'unit': a.i, 'at': a.total + 1}}) ELSE a.heads END")
+    return f"list_reduce(list_transform({units}, lambda u: {one}), lambda a, x: {new}, {none}).heads"
+
+
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("f3_chunk_text", f"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda t: {_STRIP.format('t')}), lambda t: t <> '') AS ps FROM documents),
+h AS (SELECT *, {_walk_sql('ps', 2, 2, 'least(140, a.total) + 1 + x.n')} AS hs FROM p WHERE len(ps) > 0),
+j AS (SELECT *, array_to_string(list_transform(ps, lambda t, i: CASE WHEN i = 1 THEN '' WHEN list_contains(list_transform(hs, lambda z: z.unit), i - 1)
+  THEN chr(10) ELSE chr(10) || chr(10) END || t), '') AS f FROM h),
+c AS (SELECT doc_id, unnest(range(1, len(hs) + 1)) AS k, hs, f FROM j),
+d AS (SELECT doc_id, k, greatest(0, hs[k].at - 141) AS b, coalesce(hs[k+1].at - 1, length(f)) AS e, f FROM c),
+t AS (SELECT doc_id, k, {_STRIP.format("substring(f, CAST(b + 1 AS BIGINT), CAST(e - b AS BIGINT))")} AS chunk FROM d),
+s AS (SELECT *, CASE WHEN length(chunk) <= 1620 THEN [chunk] ELSE string_split(regexp_replace(chunk, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS ss FROM t),
+g AS (SELECT *, {_walk_sql('ss', 1, 0, 'x.n')} AS gs FROM s),
+u AS (SELECT doc_id, k, unnest(range(1, len(gs) + 1)) AS m, gs, ss FROM g),
+o AS (SELECT doc_id, k, m, array_to_string(ss[gs[m].unit + 1 : coalesce(gs[m+1].unit, len(ss))], ' ') AS chunk FROM u)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, m) AS chunk_no, length(chunk) AS n_chars, md5(chunk) AS chunk_md5,
+ len(list_filter(regexp_split_to_array(chunk, '\\s+'), lambda w: w <> '')) AS token_count FROM o""")
 def f3(spark, sf):
     c = T.chunk_text(read_table(spark, sf, "documents"), "doc_id", "text")
-    return c.select("doc_id", "chunk_no", F.length("text").alias("n_chars"), F.size(F.filter(F.split("text", r"\s+"), lambda t: t != "")).alias("token_count"))
+    return c.select("doc_id", "chunk_no", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("chunk_md5"),
+                    F.size(F.filter(F.split("text", r"\s+"), lambda t: t != "")).cast("bigint").alias("token_count"))
 
 
 @query("f4_snippet", """
 WITH q AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, 'the Ention ouaile' AS query FROM documents),
 h AS (SELECT *, list_transform(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: length(w) >= 3),
   lambda w: instr(lower(t), w) - 1) AS hits FROM q),
-b AS (SELECT *, list_reduce(hits, lambda a, i: CASE WHEN i >= 0 AND (a = 0 OR i < a) THEN i ELSE a END, 0) AS best FROM h),
+b AS (SELECT *, coalesce(list_min(list_filter(hits, lambda i: i >= 0)), 0) AS best FROM h),
 s AS (SELECT *, greatest(0, best - 106) AS st FROM b)
 SELECT doc_id, CASE WHEN length(t) <= 320 THEN t ELSE
   CASE WHEN st > 0 THEN '…' ELSE '' END || substring(t, st + 1, 320) || CASE WHEN st + 320 < length(t) THEN '…' ELSE '' END
