@@ -166,18 +166,32 @@ def recall_at_k(df: DataFrame, score: str, label: str, tie: str, ks: list[int],
 
 
 def bootstrap_ci(df: DataFrame, score: str, label: str, resamples: int = RESAMPLES, alpha: float = ALPHA,
-                 seed: int = 7, digits: int = 4) -> DataFrame:
+                 seed: int = 7) -> DataFrame:
     """Interval of the ROC AUC over resampled row counts.
 
-    Rows are counted per (rounded score, label); each replicate redraws every count as a Poisson variable, the
+    Rows are counted per (score, label); each replicate redraws every count as a Poisson variable, the
     standard distributed form of resampling with replacement. Work grows with distinct scores, not with rows.
     """
-    cells = df.groupBy(round_half_up(score, digits).alias("score"), (F.col(label) == 1).cast("int").alias("y")).agg(
+    cells = df.groupBy(F.col(score).cast("double").alias("score"), (F.col(label) == 1).cast("int").alias("y")).agg(
         F.count(F.lit(1)).alias("c"))
 
     @F.pandas_udf("bigint")
     def redraw(c: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([int(np.random.default_rng(int(s) & (2**63 - 1)).poisson(n)) for n, s in zip(c, h)])
+        mean, bits = c.to_numpy(np.float64), h.to_numpy(np.int64).view(np.uint64)
+        u, out = (bits >> np.uint64(11)) * 2.0**-53, np.zeros(len(mean), np.int64)
+        part = np.exp(-np.minimum(mean, 30))
+        upto = part.copy()
+        left = (mean <= 30) & (u >= upto)  # inverse distribution function for small counts
+        for k in range(1, 200):
+            if not left.any():
+                break
+            out[left] = k
+            part = part * mean / k
+            upto += part
+            left &= u >= upto
+        for i in np.flatnonzero(mean > 30):
+            out[i] = np.random.default_rng(int(bits[i])).poisson(mean[i])
+        return pd.Series(out)
 
     reps = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"))
     drawn = reps.withColumn("w", redraw("c", F.xxhash64("score", "y", "rep", F.lit(seed)))).where("w > 0")

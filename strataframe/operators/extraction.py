@@ -64,21 +64,27 @@ def resolve_names(df: DataFrame, name: str, wells: DataFrame, well_name: str, we
 
 
 def fuzzy_names(df: DataFrame, name: str, wells: DataFrame, well_name: str, well_id: str, edits: int = 1) -> DataFrame:
-    """As `resolve_names`, also allowing one wrong character: keys that agree on one half are compared by edit distance.
+    """As `resolve_names`, also allowing up to `edits` wrong, missing or extra characters; the nearest name wins.
 
-    One edit leaves the first or the second half of the key as it was, so the join stays an equi join.
+    Keys that many edits apart agree on some form with that many characters left out, so the join is an equi join on
+    these forms.
     """
     from strataframe.operators.joins import first_match_join
 
-    def halves(k: Column) -> Column:
-        n = F.floor(F.length(k) / 2).cast("int")
-        return F.array(F.concat(F.lit("a"), F.substring(k, F.lit(1), n)),
-                       F.concat(F.lit("b"), F.substring(k, n + 1, F.length(k))))
+    def shorter(forms: Column) -> Column:
+        drop = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(k))), lambda i: F.concat(
+            F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k))))
+        return F.array_distinct(F.concat(forms, F.flatten(F.transform(forms, drop))))
 
-    known = wells.select(F.col(well_id), name_key(well_name).alias("_wk"))
-    known = known.withColumn("_half", F.explode(halves(F.col("_wk"))))
+    def forms(df: DataFrame, key: str) -> DataFrame:
+        out = F.array(F.col(key))
+        for _ in range(edits):
+            out = shorter(out)
+        return df.withColumn("_form", F.explode(out))
+
+    known = forms(wells.select(F.col(well_id), name_key(well_name).alias("_wk")), "_wk")
     asked = df.select(name).distinct().withColumn("_key", name_key(name))
-    cand = asked.withColumn("_half", F.explode(halves(F.col("_key")))).join(known, "_half")
+    cand = forms(asked, "_key").join(known, "_form")
     cand = cand.withColumn("_d", F.levenshtein("_key", "_wk")).where(F.col("_d") <= edits)
     return first_match_join(df, cand.select(name, well_id, "_d"), [name], ["_d", well_id], [well_id])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions.geo import RADIUS_KM, chord_km, haversine_km, unit_xyz
-from strataframe.operators.series import has_hot_key, hot_limit, join_keyed, over_limit, position, running
+from strataframe.operators.series import has_hot_key, hot_limit, join_keyed, position, running
 
 
 def first_match_join(left: DataFrame, right: DataFrame, key: list[str], order: list[str], take: list[str],
@@ -21,36 +21,9 @@ def first_match_join(left: DataFrame, right: DataFrame, key: list[str], order: l
 
 
 def _edge(right: DataFrame, by: list[str], at: str, take: list[str], which: str) -> DataFrame:
-    pick = F.min_by if which == "first" else F.max_by
-    return right.groupBy(*by).agg(pick(F.struct(*take), F.col(at)).alias("_edge"))
-
-
-# Lookup tables with at most this many rows per key travel as one sorted list per key; longer ones are joined.
-LIST_LIMIT = 1000
-
-
-def fits_lists(df: DataFrame, by: list[str], limit: int) -> bool:
-    """No key of a lookup table has more than `limit` rows."""
-    return over_limit(df.select(*by), by, limit).isEmpty()
-
-
-def _with_lists(left: DataFrame, right: DataFrame, by: list[str], fields: list[Column]) -> DataFrame:
-    lists = right.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_list"))
-    return join_keyed(left, lists, by)
-
-
-def _asof_from_list(left, right, by, left_on, right_on, take, back, fallback):
-    """As-of against short per-key lists: the list joins on the key, the match is picked inside the row."""
-    out = _with_lists(left, right, by, [F.col(right_on).cast("double").alias("_at"), F.struct(*take).alias("_r")])
-    at = F.col(left_on).cast("double")
-    if back:
-        best = F.array_max(F.filter("_list", lambda r: r["_at"] <= at))
-    else:
-        best = F.array_min(F.filter("_list", lambda r: r["_at"] >= at))
-    if fallback:
-        best = F.coalesce(best, F.array_min("_list") if fallback == "first" else F.array_max("_list"))
-    out = out.withColumn("_m", best)
-    return out.select(*left.columns, *[F.col(f"_m._r.{c}").alias(c) for c in take])
+    pick = F.min if which == "first" else F.max
+    return right.groupBy(*by).agg(pick(F.struct(F.col(at).alias("at"), F.struct(*take).alias("r"))).alias("_edge")).select(
+        *by, F.col("_edge.r").alias("_edge"))
 
 
 def asof_join(
@@ -63,28 +36,24 @@ def asof_join(
     direction: str = "backward",
     fallback: str | None = None,
     limit: float | None = None,
-    list_limit: int = LIST_LIMIT,
 ) -> DataFrame:
     """Left rows with the nearest right row at or before (`backward`) or at or after (`forward`) them.
 
-    A right side with few rows per key joins as one list per key. Otherwise both sides are laid on one axis and the
-    last right row seen is carried along: one shuffle, no pairs. `fallback` = `first` | `last` fills rows without a
-    match with that edge row of the key.
+    Both sides are laid on one axis and the last right row seen is carried along: one shuffle, no pairs. Of right rows
+    at one place the largest `take` wins backward, the smallest forward. Rows without a place match nothing; a null key
+    is a key. `fallback` = `first` | `last` fills rows without a match with that edge row of the key.
     """
     back = direction == "backward"
-    if fits_lists(right, by, list_limit):
-        return _asof_from_list(left, right, by, left_on, right_on, take, back, fallback)
     side_left, side_right = (1, 0) if back else (0, 1)
-    lrow = F.struct(*left.columns)
-    rrow = F.struct(*take)
+    right = right.where(F.col(right_on).isNotNull())
     lhs = left.select(*by, F.col(left_on).cast("double").alias("_at"), F.lit(side_left).alias("_side"),
-                      lrow.alias("_l"))
+                      F.struct(*left.columns).alias("_l"))
     rhs = right.select(*by, F.col(right_on).cast("double").alias("_at"), F.lit(side_right).alias("_side"),
-                       rrow.alias("_r"))
+                       F.struct(*take).alias("_r"))
     both = lhs.unionByName(rhs, allowMissingColumns=True)
-    order = ["_at", "_side"] if back else ["-_at", "-_side"]
-    out = running(both, by, order, {"_m": ("last", F.col("_r"))}, limit=limit).where(F.col("_l").isNotNull())
-    out = out.select("_l.*", "_m")
+    order = ["_at", "_side", "_r"] if back else ["-_at", "-_side", "-_r"]
+    seen = running(both, by, order, {"_m": ("last", F.col("_r"))}, limit=limit).where(F.col("_l").isNotNull())
+    out = seen.select("_l.*", F.when(F.col("_at").isNotNull(), F.col("_m")).alias("_m"))
     if fallback:
         out = join_keyed(out, _edge(right, by, right_on, take, fallback), by)
         out = out.withColumn("_m", F.coalesce("_m", "_edge")).drop("_edge")
@@ -103,7 +72,8 @@ def interval_join(
 ) -> DataFrame:
     """Pairs with `lo <= point <= hi` on equal `by`: an equi join on key and bucket plus the exact range test.
 
-    Each interval is copied to the (hi - lo) / width + 1 buckets it touches; pick `width` near the usual length.
+    Each interval is copied to the (hi - lo) / width + 1 buckets it touches; pick `width` near the usual length. A null
+    key is a key.
     """
     p = points.withColumn("_b", F.floor(F.col(point) / width))
     i = intervals.select(
@@ -112,7 +82,7 @@ def interval_join(
     )
     on = (F.col("_b") == F.col("_ib")) & (F.col(point) >= F.col(lo)) & (F.col(point) <= F.col(hi))
     for c in by:
-        on = on & (p[c] == i[f"_i_{c}"])
+        on = on & p[c].eqNullSafe(i[f"_i_{c}"])
     return p.join(i, on, how).drop("_b", "_ib", *[f"_i_{c}" for c in by])
 
 
@@ -128,33 +98,23 @@ def interval_lookup(
     width: float,
     fallback: bool = False,
     limit: float | None = None,
-    list_limit: int = LIST_LIMIT,
 ) -> DataFrame:
     """Each point with the first interval (in `order`) that contains it, null columns when none does.
 
     With `fallback`, a point outside every interval takes the next interval whose `hi` is at or beyond it, else the
-    last one of the key. Keys with few intervals are answered from one list per key; beyond `list_limit` intervals by
-    the bucketed join, for which `points` must hold no duplicate rows.
+    last one of the key. Equal points are looked up once and come back as often as they were given.
     """
-    if fits_lists(intervals, by, list_limit):
-        fields = [F.struct(*order).alias("_o"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.struct(*take).alias("_r")]
-        listed = _with_lists(points, intervals, by, fields)
-        at = F.col(point)
-        hit = F.get(F.filter("_list", lambda r: (r["_lo"] <= at) & (at <= r["_hi"])), F.lit(0))["_r"]
-        if fallback:
-            ends = F.transform("_list", lambda r: F.struct(r["_hi"].alias("_hi"), r["_o"].alias("_o"), r["_r"].alias("_r")))
-            hit = F.coalesce(hit, F.array_min(F.filter(ends, lambda r: r["_hi"] >= at))["_r"], F.array_max(ends)["_r"])
-        return listed.withColumn("_hit", hit).select(*points.columns, *[F.col(f"_hit.{c}").alias(c) for c in take])
-    inner = [*dict.fromkeys([lo, hi, *take, *order])]
-    hits = interval_join(points, intervals.select(*by, *inner), by, point, lo, hi, width, "left")
-    found = hits.groupBy(*points.columns).agg(
-        F.min_by(F.struct(*take), F.when(F.col(lo).isNotNull(), F.struct(*order))).alias("_hit")
-    )
+    once = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    first = F.struct(F.struct(*order).alias("o"), F.struct(*take).alias("r"))
+    rows = intervals.select(*by, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), first.alias("_iv"))
+    hits = interval_join(once, rows, by, point, "_lo", "_hi", width, "left")
+    found = hits.groupBy(*once.columns).agg(F.min("_iv").alias("_hit"))
     if fallback:
-        nxt = asof_join(found, intervals.select(*by, *inner), by, point, hi, take, "forward", "last", limit, list_limit)
-        prior = [F.coalesce(F.col(f"_hit.{c}"), F.col(c)).alias(c) for c in take]
-        return nxt.select(*points.columns, *prior)
-    return found.select(*points.columns, *[F.col(f"_hit.{c}").alias(c) for c in take])
+        ends = rows.select(*by, "_hi", F.col("_iv").alias("_next"))
+        found = asof_join(found, ends, by, point, "_hi", ["_next"], "forward", "last", limit)
+        found = found.withColumn("_hit", F.coalesce("_hit", "_next"))
+    again = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+    return again.select(*points.columns, *[F.col(f"_hit.r.{c}").alias(c) for c in take])
 
 
 def band_join(
@@ -170,7 +130,7 @@ def band_join(
     """Pairs with `left - below <= right <= left + above` on equal `by`.
 
     Buckets are one band wide, so a right row is copied to two buckets at most. Right key columns are dropped; other
-    column names must differ between the sides.
+    column names must differ between the sides. A null key is a key.
     """
     width = float(below + above) or 1.0
     l = left.withColumn("_b", F.floor(F.col(left_on) / width))
@@ -182,7 +142,7 @@ def band_join(
     )
     on = (F.col("_b") == F.col("_rb")) & F.col(right_on).between(F.col(left_on) - below, F.col(left_on) + above)
     for c in by:
-        on = on & (l[c] == r[f"_r_{c}"])
+        on = on & l[c].eqNullSafe(r[f"_r_{c}"])
     return l.join(r, on, how).drop("_b", "_rb", *[f"_r_{c}" for c in by])
 
 

@@ -112,3 +112,22 @@ def test_chunks_cover_paragraphs(spark):
     assert [r["text"] for r in got if r["id"] == 3] == ["short"]
     mine = [r["text"] for r in got if r["id"] == 1]
     assert all(f"Paragraph {i}." in " ".join(mine) for i in range(6)) and max(map(len, mine)) <= 900 * 1.8
+
+
+def test_chunks_repeat_what_came_before(spark):
+    text = "one.\n\n" + "b" * 30 + "\n \n" + "c" * 25 + "\n\n" + "D e. " * 20
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    got = [r["text"] for r in sorted(T.chunk_text(df, "id", "text", 40, 6).collect(), key=lambda r: r["chunk_no"])]
+    tail = " ".join(["D e."] * 7)  # 41 characters with the head: the seventh still fits when it is added
+    assert got[0] == "one.\n\n" + "b" * 30 and got[1] == "b" * 6 + "\n" + "c" * 25
+    assert got[2] == "c" * 6 + "\n" + tail and all(len(c) <= 45 for c in got[2:]) and sum(c.count("D e.") for c in got) == 20
+
+
+@pytest.mark.parametrize("edits,asked,found", [(1, "XABCD", 1), (1, "AXBCD", 1), (1, "ABD", 1), (1, "ABXD", 1), (1, "AXXD", None),
+                                               (2, "AXXD", 1), (2, "XABCDX", 1), (2, "AB", 1), (1, "", None)])
+def test_fuzzy_names_within_edits(spark, edits, asked, found):
+    from strataframe.operators.extraction import fuzzy_names
+
+    wells = spark.createDataFrame([("ABCD", 1), ("QRSTU", 2)], "well string, wid int")
+    got = fuzzy_names(spark.createDataFrame([(asked,)], "name string"), "name", wells, "well", "wid", edits).collect()
+    assert [r["wid"] for r in got] == [found]

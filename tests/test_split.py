@@ -69,17 +69,49 @@ def test_claims_match_when_islands_are_cut(skewed):
     assert last
 
 
-def test_lookup_lists_match_joins(spark):
-    pts = spark.range(200).select((F.col("id") % 4).alias("k"), (F.col("id") * 7 % 500).cast("double").alias("x"), "id")
-    iv = spark.range(40).select((F.col("id") % 4).alias("k"), (F.col("id") * 11 % 400).cast("double").alias("lo"),
-                                (F.col("id") * 11 % 400 + 15 + F.col("id") % 30).cast("double").alias("hi"), F.col("id").alias("no"))
-    for fallback in (False, True):
-        got = [rows(J.interval_lookup(pts, iv, ["k"], "x", "lo", "hi", ["no"], ["no"], 40.0, fallback, list_limit=n))
-               for n in (0, 1000)]
-        assert got[0] == got[1]
-    for way, fill in (("backward", "first"), ("forward", "last"), ("backward", None)):
-        got = [rows(J.asof_join(pts, iv, ["k"], "x", "lo", ["lo"], way, fill, list_limit=n)) for n in (0, 1000)]
-        assert got[0] == got[1]
+@pytest.fixture(scope="module")
+def tied(spark):
+    """Points and intervals with repeated rows, ties, null places and a null key."""
+    key = lambda i: F.when(i % 4 != 3, i % 4)
+    i = F.col("id")
+    pts = spark.range(200).select(key(i).alias("k"), F.when(i % 19 != 0, i * 7 % 500).cast("double").alias("x"), (i % 90).alias("pid"))
+    pts = pts.unionByName(pts.where("pid < 5"))
+    iv = spark.range(60).select(key(i).alias("k"), F.when(i % 23 != 0, i % 40 * 11 % 400).cast("double").alias("lo"),
+                                (i % 40 * 11 % 400 + 15 + i % 30).cast("double").alias("hi"), i.alias("no"))
+    return pts, iv.unionByName(iv.where("no < 8"))
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_interval_lookup_against_brute_force(tied, fallback):
+    pts, iv = tied
+    wins, want = iv.collect(), []
+    for r in pts.collect():
+        mine = [w for w in wins if w["k"] == r["k"]]
+        inside = [w["no"] for w in mine if None not in (r["x"], w["lo"]) and w["lo"] <= r["x"] <= w["hi"]]
+        no = min(inside, default=None)
+        if no is None and fallback:
+            ahead = [(w["hi"], w["no"]) for w in mine if r["x"] is not None and w["hi"] >= r["x"]]
+            no = min(ahead)[1] if ahead else max((w["hi"], w["no"]) for w in mine)[1]
+        want.append((r["k"], r["x"], r["pid"], no))
+    for lim in (10, float("inf")):
+        got = J.interval_lookup(pts, iv, ["k"], "x", "lo", "hi", ["no"], ["no"], 40.0, fallback, lim)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("way,fill", [("backward", "first"), ("forward", "last"), ("backward", None), ("forward", None)])
+def test_asof_join_against_brute_force(tied, way, fill):
+    pts, iv = tied
+    wins, want = [w for w in iv.collect() if w["lo"] is not None], []
+    for r in pts.collect():
+        mine = [(w["lo"], w["no"]) for w in wins if w["k"] == r["k"]]
+        near = [w for w in mine if r["x"] is not None and (w[0] <= r["x"] if way == "backward" else w[0] >= r["x"])]
+        best = (max(near) if way == "backward" else min(near)) if near else None
+        if best is None and fill:
+            best = min(mine) if fill == "first" else max(mine)
+        want.append((r["k"], r["x"], r["pid"], best and best[1]))
+    for lim in (10, float("inf")):
+        got = J.asof_join(pts, iv, ["k"], "x", "lo", ["no"], way, fill, lim)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
 def test_cover_against_brute_force(skewed):
