@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions.numeric import circular, finite, round_half_up
 from strataframe.operators.joins import asof_join, first_match_join, interval_lookup
-from strataframe.operators.series import checked_limit, position, row_frames
+from strataframe.operators.series import checked_limit, join_keyed, position, row_frames
 from strataframe.operators.windows import (
     EPS, MIN_HISTORY, MIN_PIT_HISTORY, ROLLING_ROWS, SLOPE_ROWS, SLOPE_SCALE, baselines, local_ratio, slope_frames,
     trailing_deficit, trailing_slope,
@@ -81,7 +81,8 @@ def build_features(samples: DataFrame, wells: DataFrame, sections: DataFrame, mu
     limit = checked_limit(samples, by)
     sized = sections.where(F.col("hole_size_in").isNotNull() & (F.col("hole_size_in") > 0)).withColumn(
         "_start", F.coalesce("top_md", F.lit(0.0)))
-    df = series_features(samples, by, ["depth"], limit)
+    # Lookups run on narrow rows; wide ones would be grouped and sorted by each of them.
+    df = samples.select(*by, "depth")
     df = asof_join(df, sized, by, "depth", "_start", ["section_no", "hole_size_in"], fallback="first", limit=limit)
     rock = ["formation", "formation_top", "pp_ppg", "fg_ppg", "pp_gradient", "fg_gradient", "instability"]
     df = interval_lookup(df, tops.withColumn("formation_top", F.col("top_md")), by, "depth", "top_md", "base_md", rock,
@@ -89,6 +90,7 @@ def build_features(samples: DataFrame, wells: DataFrame, sections: DataFrame, mu
     programme = ["density_ppg", "system", "lcm_type", "lcm_ppb"]
     df = interval_lookup(df, mud.withColumn("_known", F.lit(1)), by, "depth", "from_md", "to_md", [*programme, "_known"],
                          ["from_md"], width)
+    df = join_keyed(series_features(samples, by, ["depth"], limit), df, [*by, "depth"])
     last = mud.groupBy(*by).agg(F.max_by(F.struct(*programme), F.col("from_md")).alias("_last"))
     df = df.join(last, by, "left").withColumns(
         {c: F.when(F.col("_known").isNull(), F.col(f"_last.{c}")).otherwise(F.col(c)) for c in programme})
