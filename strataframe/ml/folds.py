@@ -6,28 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.operators.series import join_keyed, position
+from strataframe.session import settle
 
-GREEDY_GROUPS = 100_000
 
+def turns_of_size(load: list[int], size: int, count: int) -> list[tuple[int, list[int]]]:
+    """How `count` groups of one size go to the emptiest fold, as (first position, folds that take turns from there).
 
-def fold_of_groups(df: DataFrame, group: str, k: int, greedy_groups: int = GREEDY_GROUPS) -> DataFrame:
-    """(group, fold): the largest group goes to the emptiest fold, size ties by key.
+    The emptiest fold takes groups until the next one is as empty, then both take turns, and so on: at most one entry per
+    fold, whatever the count. `load` is brought up to date. Ties go to the lower fold.
+    """
+    key = lambda f: (load[f], f)
+    waiting, active, out, at = sorted(range(len(load)), key=key), [], [], 0
+    while at < count:
+        active = sorted([*active, waiting.pop(0)], key=key)
+        turns = count - at
+        if waiting:
+            f = waiting[0]
+            gaps = [(load[f] - load[a], a) for a in active]
+            turns = min(turns, sum(gap // size + (1 if gap % size or a < f else 0) for gap, a in gaps if gap >= 0))
+        if turns:
+            out.append((at, list(active)))
+            for i, a in enumerate(active):
+                load[a] += size * (turns // len(active) + (i < turns % len(active)))
+            at += turns
+    return out
+
+
+def fold_of_groups(df: DataFrame, group: str, k: int) -> DataFrame:
+    """(group, fold): the largest group goes to the emptiest fold, size ties by key. A null group is a group.
 
-    The greedy walk needs the group sizes only and is used up to `greedy_groups` of them; beyond that groups are dealt
-    out back and forth in order of size, which balances as well when no group is large.
+    The driver walks the distinct sizes, of which n rows have at most sqrt(2n); groups find their fold by position.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    spark = df.sparkSession
-    head = sizes.orderBy(F.col("_n").desc(), group).limit(greedy_groups + 1).collect()
-    if len(head) <= greedy_groups:
-        load, rows = [0] * k, []
-        for r in head:
-            f = min(range(k), key=lambda i: (load[i], i))
-            load[f] += r["_n"]
-            rows.append((r[group], f))
-        kind = df.schema[group].dataType.simpleString()
-        return spark.createDataFrame(rows, f"{group} {kind}, fold int")
-    ranked = position(sizes, [], ["-_n", group], "_p")
+    sizes = settle(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    load, plan = [0] * k, []
+    for r in sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("_n")).collect():
+        plan.append((r["_n"], turns_of_size(load, r["_n"], r["c"])))
+    turns = df.sparkSession.createDataFrame(plan, "_n long, _turns array<struct<start: long, folds: array<int>>>")
+    placed = position(sizes, ["_n"], [group], "_p").join(turns, "_n")
+    at = F.col("_p") - 1
+    mine = F.element_at(F.filter("_turns", lambda t: t["start"] <= at), -1)
+    fold = F.get(mine["folds"], ((at - mine["start"]) % F.size(mine["folds"])).cast("int"))
+    return placed.select(group, fold.alias("fold"))
+
+
+def deal_groups(df: DataFrame, group: str, k: int) -> DataFrame:
+    """(group, fold): groups are dealt out back and forth in order of size, size ties by key."""
+    ranked = position(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), [], ["-_n", group], "_p")
     turn = (F.col("_p") - 1) % (2 * k)
     return ranked.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import bisect
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.operators.series import has_hot_key, hot_limit, join_keyed, position
@@ -22,24 +22,28 @@ NEVER = float("-inf")
 
 
 def _with_opens(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """One streaming pass per partition over rows sorted by group and time; state is the end of the last claim."""
+    """One streaming pass per partition over rows sorted by group and time; state is the end of the last claim.
+
+    The window marks the first row of each group, null keys included, and leaves the rows in the order of the pass.
+    """
     cols = df.columns
+    first = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1
+    marked = df.withColumn("_first", first)
 
     def run(batches):
-        last, until = None, NEVER
+        until = NEVER
         for pdf in batches:
-            keys = list(zip(*[pdf[g] for g in group]))
             opened = []
-            for key, at, length, entry in zip(keys, pdf["_at"], pdf["_len"], pdf["_entry"]):
-                if key != last:
-                    last, until = key, entry
+            for new, at, length, entry in zip(pdf["_first"], pdf["_at"], pdf["_len"], pdf["_entry"]):
+                if new:
+                    until = entry
                 opened.append(bool(at >= until))
                 if opened[-1]:
                     until = at + length
             yield pdf.assign(opened=opened)
 
-    schema = df.select("*", F.lit(True).alias("opened")).schema
-    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema).select(*cols, "opened")
+    schema = marked.select("*", F.lit(True).alias("opened")).schema
+    return marked.mapInPandas(run, schema).select(*cols, "opened")
 
 
 def _exits(df: DataFrame, block: list[str], longest: float) -> DataFrame:

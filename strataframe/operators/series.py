@@ -2,9 +2,9 @@
 
 A plain keyed window sorts a whole key in one task. That is the right plan until some key outgrows a task, so every
 primitive here first checks key sizes. Below `spark.strataframe.hotRows` rows per key (default 4 million) the plain
-window is used: one shuffle, one sort. Above it the key is cut into ranges of its leading order column at approximate
-quantiles; ranges are processed in parallel and joined up by a prefix over per-range summaries (`running`) or by
-repeating a few border rows (`row_frames`). Where the cuts fall never changes the result.
+window is used: one shuffle, one sort. Above it rows are cut into ranges of the key and all order columns, of any type;
+ranges are processed in parallel and joined up by a prefix over per-range summaries (`running`) or by repeating a few
+border rows (`row_frames`). Where the cuts fall changes no result but the last digits of running sums of doubles.
 """
 
 from __future__ import annotations
@@ -13,12 +13,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strataframe.session import settle
 
 HOT_ROWS = 4_000_000
-SEGMENTS = 512
 NEVER_HOT = float("inf")
 
 
@@ -73,25 +71,15 @@ def checked_limit(df: DataFrame, by: list[str]) -> float:
     return limit if has_hot_key(df, by, limit) else NEVER_HOT
 
 
-def _as_number(df: DataFrame, col: str) -> Column:
-    dt = df.schema[col].dataType
-    if isinstance(dt, T.NumericType):
-        return F.col(col).cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.col(col).cast("timestamp").cast("double")
-    raise TypeError(f"cannot cut a series ordered by {col}: {dt.simpleString()}")
+def with_segments(df: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
+    """Adds `_seg`: ranges of the rows in order of key and `order`, of about half of `limit` rows, numbered in that order.
 
-
-def with_segments(df: DataFrame, by: list[str], order: list[str], limit: int, segments: int = SEGMENTS) -> DataFrame:
-    """Adds `_seg`: 0 on ordinary keys, the quantile range of the leading order column on keys over `limit` rows."""
-    lead, desc = _name(order[0])
-    num = _as_number(df, lead)
-    shares = [i / segments for i in range(1, segments)]
-    source = join_keyed(df.select(*by, lead), over_limit(df.select(*by), by, limit), by, "left_semi") if by else df
-    cuts = source.groupBy(*by).agg(F.percentile_approx(num, F.lit(shares), F.lit(10_000)).alias("_cuts"))
-    at = F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < num)), F.lit(0))
-    held = join_keyed(df, cuts, by, "left") if by else df.withColumn("_cuts", cuts.scalar())
-    return held.withColumn("_seg", -at if desc else at).drop("_cuts")
+    Rows that tie on the key and all order columns share a range. The numbers are written, so later jobs see the same.
+    """
+    written = settle(df, "series")
+    ranges = max(2, -(-2 * written.count() // int(limit)))
+    dealt = written.repartitionByRange(ranges, *[F.col(b) for b in by], *order_cols(order))
+    return settle(dealt.withColumn("_seg", F.spark_partition_id()), "ranges")
 
 
 _MERGE = {
@@ -128,23 +116,17 @@ def running(
         w = keyed(by, order).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumns({o: _apply(k, c).over(w) for o, (k, c) in aggs.items()})
 
-    # Three passes follow; the input is written once so that operators in a row do not repeat each other's work.
-    cut = with_segments(settle(df, "series"), by, order, limit).withColumns({f"_v_{o}": c for o, (_, c) in aggs.items()})
+    cut = with_segments(df, by, order, limit).withColumns({f"_v_{o}": c for o, (_, c) in aggs.items()})
     parts = [*by, "_seg"]
     w = keyed(parts, order).rowsBetween(Window.unboundedPreceding, end)
     here = cut.withColumns({f"_h_{o}": _apply(k, F.col(f"_v_{o}")).over(w) for o, (k, _) in aggs.items()})
-
-    desc = [d for _, d in map(_name, order)]
-    if len(set(desc)) > 1 and any(k == "last" for k, _ in aggs.values()):
-        raise ValueError("`last` over a split series needs all order columns in one direction")
-    rank = F.struct(*[F.col(_name(o)[0]) for o in order])
-    pick = F.min_by if desc[0] else F.max_by
+    ranked = cut.withColumn("_row", F.row_number().over(keyed(parts, order)))
 
     def total(o, kind):
         v = F.col(f"_v_{o}")
-        return pick(v, F.when(v.isNotNull(), rank)) if kind == "last" else _apply(kind, v)
+        return F.max_by(v, F.when(v.isNotNull(), F.col("_row"))) if kind == "last" else _apply(kind, v)
 
-    totals = cut.groupBy(*parts).agg(*[total(o, k).alias(f"_t_{o}") for o, (k, _) in aggs.items()])
+    totals = ranked.groupBy(*parts).agg(*[total(o, k).alias(f"_t_{o}") for o, (k, _) in aggs.items()])
     before = Window.partitionBy(*by).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
         *parts, *[_apply("sum" if k == "count" else k, F.col(f"_t_{o}")).over(before).alias(f"_b_{o}")

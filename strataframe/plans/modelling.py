@@ -12,7 +12,7 @@ from strataframe.ml import metrics as M
 from strataframe.ml import models as MD
 from strataframe.ml import registry as RG
 from strataframe.ml import serving as SV
-from strataframe.ml.folds import fold_of_groups, group_holdout
+from strataframe.ml.folds import deal_groups, fold_of_groups, group_holdout
 from strataframe.operators.windows import smoothed
 from strataframe.plans.frames import half_up_sql, incidents, scored, series, with_sql
 from strataframe.plans.registry import query
@@ -144,7 +144,7 @@ def m13(spark, sf):
 @query("m13_group_kfold_dealt", with_sql("scored", """SELECT grp, CAST(CASE WHEN t < 4 THEN t ELSE 7 - t END AS INTEGER) AS fold FROM (
  SELECT grp, (row_number() OVER (ORDER BY count(*) DESC, grp) - 1) % 8 AS t FROM scored GROUP BY grp)"""))
 def m13b(spark, sf):
-    return fold_of_groups(scored(spark, sf), "grp", 4, greedy_groups=2)
+    return deal_groups(scored(spark, sf), "grp", 4)
 
 
 @query("m14_group_holdout", with_sql("scored", """, g AS (SELECT grp, row_number() OVER (ORDER BY CAST(('0x' || left(md5(grp || '|7'), 12)) AS BIGINT)::DOUBLE, grp) AS r, count(*) OVER () AS n

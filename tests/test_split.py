@@ -40,6 +40,17 @@ def test_running_without_key(skewed):
     assert a == b and sorted(r[-1] for r in a) == list(range(1, 601))
 
 
+def test_running_orders_by_any_type_and_in_mixed_directions(spark):
+    """Few distinct leading values, strings, nulls in key and order."""
+    i = F.col("id")
+    src = spark.range(400).select(F.when(i % 5 != 0, i % 2).alias("k"), F.when(i % 7 != 0, F.concat(F.lit("s"), (i % 3).cast("string"))).alias("name"),
+                                  i.alias("id"), F.when(i % 4 != 0, i * 37 % 101).alias("v"))
+    aggs = {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")), "l": ("last", F.col("v"))}
+    for order in (["name", "id"], ["-name", "id"], ["name", "-id"]):
+        a, b = both(lambda lim: S.running(src, ["k"], order, aggs, limit=lim))  # noqa: B023
+        assert a == b
+
+
 def test_row_frames_match_plain_window(skewed):
     def fn(lim):
         return S.row_frames(skewed, ["k"], ["at", "id"], lambda w: {
@@ -69,6 +80,32 @@ def test_claims_match_when_islands_are_cut(skewed):
     assert last
 
 
+def test_claims_of_a_null_key_are_one_key(spark):
+    src = spark.range(12).select(F.when(F.col("id") % 2 == 0, F.col("id") % 4).alias("k"), F.col("id").cast("double").alias("at"), "id")
+    want, until = [], {}
+    for r in src.orderBy("at").collect():
+        opened = r["at"] >= until.get(r["k"], float("-inf"))
+        until[r["k"]] = r["at"] + 5 if opened else until[r["k"]]
+        want.append((r["k"], r["at"], r["id"], opened))
+    for lim in (2, S.NEVER_HOT):
+        assert rows(claim(src, ["k"], "at", 5.0, ["id"], 5.0, lim)) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("k", [1, 3, 7])
+def test_greedy_folds_against_a_walk_over_all_groups(spark, k):
+    from strataframe.ml.folds import fold_of_groups
+
+    g = spark.range(120).select(F.when(F.col("id") > 0, F.concat(F.lit("g"), F.col("id").cast("string"))).alias("g"),
+                                (1 + F.pmod(F.hash("id"), F.lit(9)) * F.pmod(F.hash("id", F.lit(2)), F.lit(4))).alias("n"))
+    df = g.select("g", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("row"))
+    load, want = [0] * k, []
+    for r in sorted(g.collect(), key=lambda r: (-r["n"], r["g"] is not None, r["g"] or "")):
+        f = min(range(k), key=lambda i: (load[i], i))
+        load[f] += r["n"]
+        want.append((r["g"], f))
+    assert rows(fold_of_groups(df, "g", k)) == sorted(want, key=repr)
+
+
 @pytest.fixture(scope="module")
 def tied(spark):
     """Points and intervals with repeated rows, ties, null places and a null key."""
