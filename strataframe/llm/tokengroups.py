@@ -211,9 +211,24 @@ def bound_groups(pairs: DataFrame, members: DataFrame, percent: int) -> DataFram
 
 
 def dealt_pairs(pairs: DataFrame, at_once: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs with the task that takes them, about `at_once` each, and the groups that every task needs."""
+    """Pairs with the task that takes them, about `at_once` each, and the groups that every task needs.
+
+    Pairs around one group, its least neighbour's or its own id, stay together, so that a task needs few groups. Many such
+    pairs are dealt as tiles, parts of the groups against parts of the groups, and crowded tiles once more by pair.
+    """
     tasks = max(1, -(-pairs.count() // at_once))
-    pairs = pairs.select(F.pmod(F.xxhash64("ga", "gb"), F.lit(tasks)).alias("task"), "ga", "gb")
+    ends = pairs.select("ga", "gb").union(pairs.select("gb", "ga")).toDF("g", "other")
+    heads = ends.groupBy("g").agg(F.least("g", F.min("other")).alias("head"))
+    headed = pairs.join(heads.toDF("ga", "ha"), "ga").join(heads.toDF("gb", "hb"), "gb").select(
+        "ga", "gb", F.least("ha", "hb").alias("head"))
+    sides = headed.groupBy("head").agg(F.ceil(F.sqrt(2 * F.count(F.lit(1)) / at_once)).alias("side"))
+    part = lambda g: F.pmod(F.xxhash64(g, F.lit(5)), F.col("side"))
+    tiled = headed.join(sides, "head").select(
+        "ga", "gb", F.xxhash64("head", F.least(part("ga"), part("gb")), F.greatest(part("ga"), part("gb"))).alias("tile"))
+    crowds = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / (2 * at_once)).alias("pieces"))
+    piece = F.pmod(F.xxhash64("ga", "gb"), F.col("pieces"))
+    pairs = settle(tiled.join(crowds, "tile").select(
+        F.pmod(F.xxhash64("tile", piece), F.lit(tasks)).alias("task"), "ga", "gb"), "asked")
     wanted = pairs.select("task", F.col("ga").alias("gid")).union(pairs.select("task", F.col("gb").alias("gid"))).distinct()
     return pairs, wanted
 
