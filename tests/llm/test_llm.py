@@ -289,6 +289,14 @@ def test_wrappers(spark):
     assert wrappers.extract_main(frame(spark, [], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize("code", [
+    "<script>for(i=0;i<n;i++){}</script>", "<script>if (a<b) x = '<!-- '</script>", "<style>a<b <!-- </style >", "<textarea><b x='</textarea>",
+    "<SCRIPT>'</scripted>' <p</Script\n>"])
+def test_tags_in_code_are_no_tags(code):
+    page = f"<html><body>{code}<article><h1>One</h1><p>a &lt; b</p></article>{code}</body></html>"
+    assert wrappers.extract(page, None) == "One a < b"
+
+
 def test_wrapper_folds_and_options():
     w = wrappers.infer(["<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>b</h1><p>z</p><em>q</em></div>"])
     (div,) = w[1]
