@@ -294,7 +294,20 @@ def test_wrappers(spark):
     "<SCRIPT>'</scripted>' <p</Script\n>"])
 def test_tags_in_code_are_no_tags(code):
     page = f"<html><body>{code}<article><h1>One</h1><p>a &lt; b</p></article>{code}</body></html>"
-    assert wrappers.extract(page, None) == "One a < b"
+    assert wrappers.extract(page) == "One a < b"
+
+
+WORDY = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("body, want", [
+    (f"<article class=teaser>short</article><div class=text><p>{WORDY}</p></div>", f"short {WORDY}"),
+    (f"<article class=a><p>{WORDY}</p></article><article class=b><p>the other one</p></article>", f"{WORDY} the other one"),
+    (f"<div class=content-intro><p>{WORDY}</p></div>" + f"<div class=section><p>{WORDY}</p></div>" * 2, " ".join([WORDY] * 3)),
+    (f"<div><h1>T</h1><div class=content>{WORDY}</div></div>", f"T {WORDY}"),
+    (f"<div><div class=content><p>{WORDY}</p></div><span>by</span></div>", WORDY)])
+def test_region_keeps_the_whole_article(body, want):
+    assert wrappers.extract(f"<html><body><nav>menu</nav>{body}<footer>f</footer></body></html>") == want
 
 
 def test_wrapper_folds_and_options():
