@@ -310,6 +310,14 @@ def test_region_keeps_the_whole_article(body, want):
     assert wrappers.extract(f"<html><body><nav>menu</nav>{body}<footer>f</footer></body></html>") == want
 
 
+@pytest.mark.parametrize("n", [250, 20_000])
+def test_depth_has_no_limit(n):
+    deep = "<div>" * n + "<script>if (a<b) x()</script><nav>menu</nav><p>in</p>" + "</div>" * n
+    page = f"<html><body><article><p>{WORDY}</p>{deep}<p>after</p></article><footer>f</footer></body></html>"
+    assert wrappers.extract(page) == f"{WORDY} in after"
+    assert wrappers.infer([page])[0] == ""
+
+
 def test_wrapper_folds_and_options():
     w = wrappers.infer(["<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>b</h1><p>z</p><em>q</em></div>"])
     (div,) = w[1]
