@@ -318,6 +318,18 @@ def test_depth_has_no_limit(n):
     assert wrappers.infer([page])[0] == ""
 
 
+def test_wrappers_come_from_all_pages(spark):
+    rows = [(f"http://h.example/{i}", f"<title>t{i}</title><body><article><h1>h{i}</h1><p>x{i}</p></article></body>") for i in range(60)]
+    rows += [(f"http://h.example/b{i}", f"<title>b{i}</title><body><div><main><em>{'all' * (i < 3)}{i}</em></main></div></body>") for i in range(3)]
+    rows += [(f"http://h.example/{60 + i}", f"<title>u{i}</title><body><article><h1>h</h1><p>x</p><hr></article></body>") for i in range(2)]
+    pages = frame(spark, rows, "url string, html string").repartition(7)
+    got = {r["layout"]: wrappers.read_wrapper(r["wrapper"]) for r in wrappers.infer_wrappers(pages).collect()}
+    kinds = sorted(tuple(n[0] for n in wrappers.nodes_of(w) if n[0] not in ("#", "", "title", "body")) for w in got.values())
+    assert kinds == [("article", "hr", "p", "h1"), ("div", "main", "em")]
+    deep = wrappers.infer(["<b><i>x</i>" * 5000, "<b><i>y</i>" * 5000])
+    assert wrappers.write_wrapper(wrappers.read_wrapper(wrappers.write_wrapper(deep))) == wrappers.write_wrapper(deep)
+
+
 def test_wrapper_folds_and_options():
     w = wrappers.infer(["<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>b</h1><p>z</p><em>q</em></div>"])
     (div,) = w[1]
