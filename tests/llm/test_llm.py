@@ -330,6 +330,28 @@ def test_wrappers_come_from_all_pages(spark):
     assert wrappers.write_wrapper(wrappers.read_wrapper(wrappers.write_wrapper(deep))) == wrappers.write_wrapper(deep)
 
 
+@pytest.mark.parametrize("mark", ["class='article-body no-sidebar'", "class='ad-free'", "id='legal-analysis'", "class=related", "id=tags"])
+def test_words_in_names_do_not_drop_the_article(mark):
+    page = f"<body><nav>menu</nav><div {mark}><p>{WORDY}</p></div><div class=comments>nice</div></body>"
+    assert wrappers.extract(page) == WORDY
+    assert wrappers.extract(f"<body><article><div {mark}><p>{WORDY}</p></div><div class=ad>buy</div></article></body>") == WORDY
+    assert wrappers.extract("<body><div class=ad>longer than the article</div><article>short</article></body>") == "short"
+
+
+def test_constant_texts_are_template(spark):
+    def page(title, text, note="call us, we are open all week long"):
+        return f"<html><head><title>{title}</title></head><body><article><h1>{title}</h1><div class=box9>{note}</div><p>{text}</p><p>end</p></article></body></html>"
+
+    rows = [(i, f"http://h.example/{i}", page(f"t{i}", f"about {i}")) for i in range(5)]
+    rows += [(10 + i, f"http://copies.example/{i}", page("same", "same")) for i in range(5)]
+    rows += [(20 + i, f"http://two.example/{i}", page(f"t{i}", f"about {i}")) for i in range(2)]
+    rows += [(30 + i, f"http://h.example/x{i}", f"<title>x{i}</title><body><main><p>one{i}</p></main><div><i>bottom line</i></div></body>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_main(frame(spark, rows, "page_id long, url string, html string").repartition(5)).collect()}
+    note = "call us, we are open all week long"
+    assert got == {**{i: f"t{i} about {i} end" for i in range(5)}, **{10 + i: f"same {note} same end" for i in range(5)},
+                   **{20 + i: f"t{i} {note} about {i} end" for i in range(2)}, **{30 + i: f"one{i}" for i in range(3)}}
+
+
 def test_wrapper_folds_and_options():
     w = wrappers.infer(["<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>b</h1><p>z</p><em>q</em></div>"])
     (div,) = w[1]
