@@ -87,14 +87,14 @@ def m7b(spark, sf):
 @query("m8_fit_boosted")
 def m8(spark, sf):
     df = pixels(spark, sf)
-    m = MD.fit_boosted(df, PIXELS, "label", 8)
+    m = MD.fit_boosted(df, PIXELS, "label")
     return M.roc_auc(MD.score_boosted(df, m, PIXELS), "score", "label")
 
 
 @query("m9_fit_boosted_regressor")
 def m9(spark, sf):
     df = matrix(spark, sf).withColumn("hours", F.col("discount") * 100 + F.col("quantity") / 10)
-    m = MD.fit_boosted_regressor(df, FEATURES, "hours", 8)
+    m = MD.fit_boosted_regressor(df, FEATURES, "hours")
     return M.regression_metrics(MD.score_boosted_regressor(df, m, FEATURES), "predicted", "hours")
 
 
@@ -110,7 +110,7 @@ def m10(spark, sf):
 
 @query("m10_split_usage")
 def m10b(spark, sf):
-    m = MD.fit_boosted(pixels(spark, sf), PIXELS, "label", 8)
+    m = MD.fit_boosted(pixels(spark, sf), PIXELS, "label")
     nodes = MD.tree_nodes(spark, m)
     return MD.split_usage(nodes, PIXELS)
 
@@ -236,28 +236,23 @@ def m23(spark, sf):
     return M.bootstrap_ci(scored(spark, sf), "score", "label")
 
 
-def _candidates(rounds=5, iters=20):
-    return {"logistic_regression": E.logistic_candidate(PIXELS, "label", iters=iters),
-            "gradient_boosted_trees": E.boosted_candidate(PIXELS, "label", rounds)}
-
-
 @query("m24_evaluate_classifier")
 def m24(spark, sf):
-    report, _ = E.evaluate_classifier(pixels(spark, sf), PIXELS, "label", "grp", "vec_id", 2, _candidates())
+    report, _ = E.evaluate_classifier(pixels(spark, sf), PIXELS, "label", "grp", "vec_id")
     return report.select("algorithm", "rows_scored", "groups", "positives", "folds", "roc_auc", "average_precision", "brier",
                          "ece", "threshold", "precision", "recall", "f1", "usable")
 
 
 @query("m24_fold_report")
 def m24b(spark, sf):
-    oof = settle(E.out_of_fold(pixels(spark, sf), "grp", "label", 2, E.logistic_candidate(PIXELS, "label", iters=20)))
+    oof = settle(E.out_of_fold(pixels(spark, sf), "grp", "label", 5, E.logistic_candidate(PIXELS, "label")))
     return E.fold_report(oof, "label", "vec_id")
 
 
 @query("m25_evaluate_regressor")
 def m25(spark, sf):
     df = matrix(spark, sf).withColumn("hours", F.col("discount") * 100 + F.col("quantity") / 10)
-    return E.evaluate_regressor(df, FEATURES, "hours", "well_id", "row_id", 2, 4)[0]
+    return E.evaluate_regressor(df, FEATURES, "hours", "well_id", "row_id")[0]
 
 
 @query("m26_evaluate_anomaly")
@@ -279,7 +274,7 @@ def m26b(spark, sf):
 
 @query("m27_train_and_choose")
 def m27(spark, sf):
-    best, model = E.train_classifier(pixels(spark, sf), PIXELS, "label", "grp", "vec_id", 2, 1.0, 5, 20)
+    best, model = E.train_classifier(pixels(spark, sf), PIXELS, "label", "grp", "vec_id")
     keep = {k: best.get(k) for k in ("algorithm", "roc_auc", "average_precision", "threshold", "runner_up", "runner_up_auc", "activated")}
     return spark.createDataFrame(
         [(*keep.values(), RG.model_json(model) if model else None)],
@@ -389,7 +384,7 @@ def m32b(spark, sf):
 @query("m33_explain_boosted")
 def m33(spark, sf):
     df = pixels(spark, sf)
-    m = MD.fit_boosted(df, PIXELS, "label", 8)
+    m = MD.fit_boosted(df, PIXELS, "label")
     return X.explain_boosted(df, m, PIXELS, ["vec_id"], 3)
 
 

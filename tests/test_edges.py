@@ -131,3 +131,43 @@ def test_fuzzy_names_within_edits(spark, edits, asked, found):
     wells = spark.createDataFrame([("ABCD", 1), ("QRSTU", 2)], "well string, wid int")
     got = fuzzy_names(spark.createDataFrame([(asked,)], "name string"), "name", wells, "well", "wid", edits).collect()
     assert [r["wid"] for r in got] == [found]
+
+
+@pytest.mark.parametrize("name, calls", [
+    ("m8_fit_boosted", {"rounds": 120}), ("m10_split_usage", {"rounds": 120}), ("m33_explain_boosted", {"rounds": 120}),
+    ("m9_fit_boosted_regressor", {"rounds": 100}), ("m25_evaluate_regressor", {"k": 5, "rounds": 100}),
+    ("m24_evaluate_classifier", {"k": 5, "candidates": None}), ("m24_fold_report", {"iters": 400, "k": 5}),
+    ("m27_train_and_choose", {"k": 5, "rounds": 120, "iters": 400, "positive_weight": 1.0})])
+def test_model_queries_run_the_defaults(spark, monkeypatch, name, calls):
+    import inspect
+    from unittest.mock import MagicMock
+
+    from strataframe.plans import modelling
+    from strataframe.plans.registry import QUERIES, load_all
+
+    load_all()
+    seen = {}
+
+    def watch(module, f):
+        shape = inspect.signature(getattr(module, f))
+
+        def noted(*args, **kwargs):
+            bound = shape.bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen.update(bound.arguments)
+            return MagicMock() if f == "logistic_candidate" else stop()
+
+        monkeypatch.setattr(module, f, noted)
+
+    def stop():
+        raise InterruptedError
+
+    for f in ("fit_boosted", "fit_boosted_regressor"):
+        watch(modelling.MD, f)
+    for f in ("logistic_candidate", "out_of_fold", "evaluate_classifier", "evaluate_regressor", "train_classifier"):
+        watch(modelling.E, f)
+    for f in ("pixels", "matrix"):
+        monkeypatch.setattr(modelling, f, MagicMock())
+    with pytest.raises(InterruptedError):
+        QUERIES[name](spark, "")
+    assert {k: seen[k] for k in calls} == calls
