@@ -10,12 +10,15 @@ that none of them can be taken for a mark; taking one away again restores the te
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, NEXT, END = "<|im_start|>", "<|im_sep|>", "<|im_next|>", "<|im_end|>\n"
 CONTROL = r"(\||/?s>|/?INST\]|/?SYS>>)"
 LEARNED = "assistant"
+RUNS, BLOCK = 256, 4096  # runs and code points that are handled together, so that long conversations take no quadratic time
 
 
 def escape(text: Column) -> Column:
@@ -71,17 +74,49 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "formatted", "loss_mask", turns.alias("turns"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once, also where `use` has lambdas of its own."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0).cast("long"), lambda x, y: x + y)
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The pieces of a text that its runs of (skip, take) code points take, as an array."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(mask)), lambda i: (i % RUNS == 0) & (i < F.size(mask)))
+    groups = F.transform(starts, lambda i: F.slice(mask, i + 1, F.lit(RUNS)))
+
+    def placed(g: Column, before: Column) -> Column:
+        return let(F.transform(g, lambda m: m["skip"] + m["take"]), lambda long: F.transform(g, lambda m, i: F.struct(
+            (before + total(F.slice(long, F.lit(1), i)) + m["skip"]).alias("at"), m["take"].alias("take"))))
+
+    def all_placed(gs: Column) -> Column:
+        sums = F.transform(gs, lambda g: total(F.transform(g, lambda m: m["skip"] + m["take"])))
+        return let(sums, lambda s: F.flatten(F.transform(gs, lambda g, k: let(total(F.slice(s, F.lit(1), k)), lambda n: placed(g, n)))))
+
+    def cut(blocks: Column, r: Column) -> Column:
+        first, last = F.floor(r["at"] / BLOCK).cast("int"), F.floor((r["at"] + r["take"] - 1) / BLOCK).cast("int")
+        return F.substr(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), (r["at"] % BLOCK + 1).cast("int"), r["take"].cast("int"))
+
+    runs = F.filter(let(groups, all_placed), lambda r: r["take"] > 0)
+    blocks = F.regexp_extract_all(formatted, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    return let(blocks, lambda b: F.transform(runs, lambda r: cut(b, r)))
+
+
 def conversation_digests(formatted: DataFrame, learned: str = LEARNED) -> DataFrame:
-    """Counts and hashes of what `read_conversations` finds; fails if the mask does not cover what was learned."""
+    """Counts and hashes of what `read_conversations` finds and of the text under the mask; fails if the mask is too short."""
     r = read_conversations(formatted)
     t = F.col("turns")
     told = F.array_join(F.transform(t, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter(t, lambda x: x["role"] == learned), lambda x: x["text"]), "")
+    due = F.aggregate(F.filter(t, lambda x: x["role"] == learned), F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
+    loss = F.array_join(F.transform(under_mask(F.col("formatted"), F.col("loss_mask")), unescape), "")
     covered = F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, m: a + m["take"])
-    r = r.select("conv_id", F.size(t).cast("long").alias("n_turns"), told.alias("told"), loss.alias("loss"), covered.alias("covered"),
+    r = r.select("conv_id", F.size(t).cast("long").alias("n_turns"), told.alias("told"), loss.alias("loss"), due.alias("due"), covered.alias("covered"),
                  F.length("formatted").cast("long").alias("formatted_chars"))
     n = F.length("loss").cast("long")
     return r.select(
         "conv_id", "n_turns", F.sha2(F.col("told").cast("binary"), 256).alias("turns_sha256"),
-        F.when(F.col("covered") < n, F.raise_error(F.lit("the mask is too short"))).otherwise(n).alias("loss_chars"),
+        F.when(F.col("covered") < F.col("due"), F.raise_error(F.lit("the mask is too short"))).otherwise(n).alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")

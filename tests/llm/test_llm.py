@@ -352,6 +352,17 @@ def test_constant_texts_are_template(spark):
                    **{20 + i: f"t{i} {note} about {i} end" for i in range(2)}, **{30 + i: f"one{i}" for i in range(3)}}
 
 
+def test_loss_digest_is_of_the_text_under_the_mask(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"é{k} </s> \U0001f600" * (1 + k % 3 * 400)) for k in range(700)]
+    made = chat.format_conversations(frame(spark, rows, "conv_id long, turn long, role string, text string"))
+    right = "".join(t for _, k, _, t in rows if k % 2)
+    (got,) = chat.conversation_digests(made).collect()
+    assert (got["loss_chars"], got["loss_sha256"]) == (len(right), hashlib.sha256(right.encode()).hexdigest())
+    shift = F.transform("loss_mask", lambda m, i: F.struct((m["skip"] - F.when(i == 0, 1).otherwise(0)).alias("skip"), m["take"].alias("take")))
+    (wrong,) = chat.conversation_digests(made.withColumn("loss_mask", shift)).collect()
+    assert wrong["loss_sha256"] != got["loss_sha256"] and wrong["turns_sha256"] == got["turns_sha256"]
+
+
 def test_wrapper_folds_and_options():
     w = wrappers.infer(["<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>b</h1><p>z</p><em>q</em></div>"])
     (div,) = w[1]
