@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions.numeric import round_half_up
 from strataframe.functions.text import token_rows
-from strataframe.operators.aggregates import document_frequency
+from strataframe.operators.topk import topk
 from strataframe.plans.frames import half_up_sql
 from strataframe.plans.registry import query
 from strataframe.plans.text_sql import QUERY_TOKENS_SQL, TOKENS_SQL, WORDS_SQL
 from strataframe.retrieval import index as I
 from strataframe.retrieval import search as S
+from strataframe.retrieval.segments import SearchIndex, build, update
 from strataframe.session import fresh_path
 from strataframe.sources.tables import read_table
 
@@ -39,11 +43,21 @@ lexical AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY raw_score
   QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY raw_score, ref) <= 30)"""
 
 
+_BUILT: dict[tuple, SearchIndex] = {}
+
+
+def indexed(spark, sf) -> SearchIndex:
+    """The index over `documents`: written once per application and state of the files, then opened by every query."""
+    files = spark.read.format("binaryFile").load(f"{sf}/documents.parquet").select("path", "length", "modificationTime")
+    state = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime") % 1_000_003), F.count(F.lit(1))).first()
+    key = (spark.sparkContext.applicationId, sf, *state)
+    if key not in _BUILT:
+        _BUILT[key] = build(docs(spark, sf), "ref", F.col("text"), fresh_path(spark, "search-index"))
+    return _BUILT[key]
+
+
 def lexical(spark, sf, k=30):
-    posts = I.postings(docs(spark, sf), "ref", F.col("text"))
-    length = I.lengths(posts, "ref")
-    return S.bm25(posts, S.query_terms(asks(spark, sf), "item_id", "text"), "ref", "item_id", k, length,
-                  length.agg(F.count(F.lit(1))).scalar(), length.agg(F.avg("len")).scalar())
+    return S.lexical_topk(indexed(spark, sf), S.query_terms(asks(spark, sf), "item_id", "text"), "item_id", k)
 
 
 @query("r1_bm25", f"WITH {_BM25} SELECT item_id, ref, raw_score, rank, {R6('score')} AS score FROM lexical")
@@ -69,50 +83,30 @@ semantic AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DE
   QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, ref) <= 30)"""
 
 
-def stems(spark, sf):
-    return I.postings(docs(spark, sf), "ref", F.col("text"), exact_words=False)
-
-
-def lexicon(spark, sf):
-    size = docs(spark, sf).agg(F.count(F.lit(1))).scalar()
-    return I.idf_weights(document_frequency(stems(spark, sf), "ref", "term"), size)
-
-
-def vectors(spark, sf):
-    return I.tfidf(stems(spark, sf), lexicon(spark, sf), "ref")
-
-
-def query_vectors(spark, sf):
-    size = docs(spark, sf).agg(F.count(F.lit(1))).scalar()
-    q = I.postings(asks(spark, sf), "item_id", F.col("text"), exact_words=False)
-    return I.tfidf(q, lexicon(spark, sf), "item_id", I.QUERY_TOP_TERMS, F.log(size + F.lit(1.0)) + 1)
-
-
 @query("r2_smoothed_idf", f"WITH {_STEMS}, {_IDF} SELECT term, df, {R6('idf')} AS idf FROM idf")
 def r2(spark, sf):
-    return lexicon(spark, sf).select("term", "df", round_half_up("idf", 6).alias("idf"))
+    return indexed(spark, sf).idf().select("term", "df", round_half_up("idf", 6).alias("idf"))
 
 
 @query("r3_tfidf_vectors", f"WITH {_STEMS}, {_IDF}, {_VEC} SELECT ref, term, weight, {R6('norm')} AS norm FROM vec JOIN nrm USING (ref)")
 def r3(spark, sf):
-    v = vectors(spark, sf)
-    return v.join(I.norms(v, "ref"), "ref").select("ref", "term", "weight", round_half_up("norm", 6).alias("norm"))
+    index = indexed(spark, sf)
+    return index.rows("vectors").join(index.rows("items").select("ref", "norm"), "ref").select(
+        "ref", "term", "weight", round_half_up("norm", 6).alias("norm"))
 
 
 @query("r4_reindex", f"""WITH t AS (SELECT doc_id AS ref, unnest({TOKENS_SQL("CASE WHEN lang='en' THEN source || ' replaced' ELSE text END")}) AS term
  FROM documents WHERE lang <> 'de') SELECT term, count(DISTINCT ref) AS df, count(*) AS tf FROM t GROUP BY 1""")
 def r4(spark, sf):
     d = docs(spark, sf)
-    posts = stems(spark, sf)
     changed = d.where("lang = 'en'").select("ref", F.concat("source", F.lit(" replaced")).alias("text"))
-    removed = d.where("lang = 'de'").select("ref")
-    new, lex = I.reindex(posts, document_frequency(posts, "ref", "term"), changed, "ref", F.col("text"), removed)
-    return new.groupBy("term").agg(F.sum("tf").alias("tf")).join(lex, "term").select("term", "df", "tf")
+    after = update(indexed(spark, sf), changed, "ref", F.col("text"), d.where("lang = 'de'"))
+    return after.lexicon("stem").select("term", "df", "tf")
 
 
 def semantic(spark, sf, k=30):
-    v = vectors(spark, sf)
-    return S.cosine_topk(v, I.norms(v, "ref"), query_vectors(spark, sf), "ref", "item_id", k)
+    index = indexed(spark, sf)
+    return S.semantic_topk(index, S.query_vectors(index, asks(spark, sf), "item_id", "text"), "item_id", k)
 
 
 @query("r5_cosine_topk", f"WITH {_STEMS}, {_IDF}, {_VEC}, {_QVEC} SELECT item_id, ref, score, rank FROM semantic")
@@ -170,7 +164,7 @@ def r8(spark, sf):
 
 @query("r9_diversify")
 def r9(spark, sf):
-    v = vectors(spark, sf).groupBy("ref").agg(F.collect_list("term").alias("terms"))
+    v = indexed(spark, sf).rows("vectors").groupBy("ref").agg(F.collect_list("term").alias("terms"))
     hits = fuse(spark, sf).join(docs(spark, sf).select("ref", F.lit("document_chunk").alias("kind")), "ref").join(v, "ref")
     kept = S.diversify(hits.select("item_id", "ref", "kind", "terms", "fused"), "item_id", "ref", "kind", "terms", ["-fused", "ref"])
     return kept.select("item_id", "ref", round_half_up("fused", 8).alias("fused"), F.size("merged_refs").alias("stands_for"))
@@ -182,16 +176,9 @@ def _items(spark, sf):
         F.col("source").alias("title"), F.col("text").alias("body"), F.col("n_chars").cast("double").alias("depth"))
 
 
-def _index(spark, sf):
-    where = I.build_index(docs(spark, sf), "ref", F.col("text"), fresh_path(spark, "search-index"))
-    read = {n: spark.read.parquet(p) for n, p in where.items()}
-    size = docs(spark, sf).agg(F.count(F.lit(1))).scalar()
-    return {**read, "lexicon": I.idf_weights(read["lexicon"], size)}
-
-
 @query("r7_hybrid_search")
 def r7(spark, sf):
-    out = S.hybrid_search(_items(spark, sf), _index(spark, sf), asks(spark, sf), "item_id", "text",
+    out = S.hybrid_search(_items(spark, sf), indexed(spark, sf), asks(spark, sf), "item_id", "text",
                           S.SearchSpec(limit=10, target_depth=2000.0, active_place=3))
     return out.select("item_id", "rank", "ref", "kind", "title", "snippet", "fused", "lexical_rank", "semantic_rank",
                       F.size("merged_refs").alias("stands_for"))
@@ -201,10 +188,10 @@ def r7(spark, sf):
 SELECT 'words' AS part, count(*) AS n FROM posts UNION ALL SELECT 'lexicon', count(*) FROM idf
 UNION ALL SELECT 'vectors', count(*) FROM vec UNION ALL SELECT 'norms', count(*) FROM nrm""")
 def s7(spark, sf):
-    from functools import reduce
-
-    parts = _index(spark, sf)
-    return reduce(lambda a, b: a.unionByName(b), [
+    index = indexed(spark, sf)
+    norms = index.rows("items").where("norm is not null")
+    parts = {"words": index.rows("words"), "lexicon": index.idf(), "vectors": index.rows("vectors"), "norms": norms}
+    return reduce(DataFrame.unionByName, [
         p.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n") for n, p in parts.items()])
 
 
@@ -212,12 +199,13 @@ def s7(spark, sf):
 SELECT 'kind:' || lang AS measure, count(*) AS n FROM documents GROUP BY lang
 UNION ALL SELECT 'vectors', count(DISTINCT ref) FROM vec UNION ALL SELECT 'lexicon_terms', count(*) FROM idf""")
 def r10(spark, sf):
-    return I.index_stats(docs(spark, sf), vectors(spark, sf), lexicon(spark, sf), "ref", "lang")
+    index = indexed(spark, sf)
+    return I.index_stats(docs(spark, sf), index.rows("vectors"), index.idf(), "ref", "lang")
 
 
 @query("k4_top_terms", f"""WITH {_STEMS}, {_IDF}, {_VEC} SELECT ref, term, weight FROM vec
 QUALIFY row_number() OVER (PARTITION BY ref ORDER BY weight DESC, term) <= 10""")
 def k4(spark, sf):
-    return I.tfidf(stems(spark, sf), lexicon(spark, sf), "ref", 10)
+    return topk(indexed(spark, sf).rows("vectors"), ["ref"], ["-weight", "term"], 10).drop("rank")
 
 

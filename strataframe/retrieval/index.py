@@ -1,4 +1,4 @@
-"""Postings, statistics, document frequencies, sparse vectors, and their upkeep."""
+"""Postings, statistics, document frequencies and sparse vectors."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from strataframe.functions.numeric import round_half_up
 from strataframe.functions.text import token_rows, word_rows
-from strataframe.operators.aggregates import document_frequency, update_df
 from strataframe.operators.topk import topk
 from strataframe.sources.tables import spread
 
@@ -50,30 +49,6 @@ def norms(vectors: DataFrame, ref: str) -> DataFrame:
     return vectors.groupBy(ref).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
 
-def build_index(items: DataFrame, ref: str, text: Column, path: str) -> dict[str, str]:
-    """Drop and rebuild: words, lexicon, vectors and norms as parquet below `path`; returns their folders."""
-    where = {n: f"{path}/{n}" for n in ("words", "lexicon", "vectors", "norms")}
-    spark = items.sparkSession
-    postings(items, ref, text).write.mode("overwrite").parquet(where["words"])
-    stems = postings(items, ref, text, exact_words=False)
-    document_frequency(stems, ref, "term").write.mode("overwrite").parquet(where["lexicon"])
-    size = items.agg(F.count(F.lit(1))).scalar()
-    idf = idf_weights(spark.read.parquet(where["lexicon"]), size)
-    tfidf(stems, idf, ref).write.mode("overwrite").parquet(where["vectors"])
-    norms(spark.read.parquet(where["vectors"]), ref).write.mode("overwrite").parquet(where["norms"])
-    return where
-
-
-def reindex(posts: DataFrame, lexicon: DataFrame, changed: DataFrame, ref: str, text: Column,
-            removed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(postings, lexicon) after replacing the changed items and taking out the removed ones."""
-    gone = changed.select(ref) if removed is None else changed.select(ref).unionByName(removed.select(ref))
-    old = posts.join(gone.distinct(), ref, "left_semi")
-    new = postings(changed, ref, text, exact_words=False)
-    kept = posts.join(gone.distinct(), ref, "left_anti").unionByName(new)
-    return kept, update_df(lexicon, old.select(ref, "term"), new.select(ref, "term")).where("df > 0")
-
-
 def index_stats(items: DataFrame, vectors: DataFrame, lexicon: DataFrame, ref: str, kind: str) -> DataFrame:
     """Counts by kind plus totals of vectors and lexicon terms, as (measure, n)."""
     by_kind = items.groupBy(kind).agg(F.count(F.lit(1)).alias("n")).select(

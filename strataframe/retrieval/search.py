@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,8 @@ from strataframe.functions.text import query_tokens, snippet, words
 from strataframe.operators.filters import retrieval_filter
 from strataframe.operators.topk import topk
 from strataframe.retrieval.index import QUERY_TOP_TERMS, postings, tfidf
+from strataframe.retrieval.ranked import block_topk
+from strataframe.retrieval.segments import SearchIndex
 
 # BM25 constants, the display scale, fusion constant and weights, rerank bonuses, thresholds.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -32,34 +34,44 @@ def query_terms(queries: DataFrame, qid: str, text: str) -> DataFrame:
     return queries.select(qid, F.explode(F.array_distinct(toks)).alias("term"))
 
 
-def bm25(posts: DataFrame, terms: DataFrame, ref: str, qid: str, k: int, length: DataFrame, n_docs: Column,
-         avg_len: Column) -> DataFrame:
-    """Top k items per query by BM25 with idf ln((N - n + .5) / (n + .5)) floored at 1e-6.
+def bm25_impact(value, size, avg_len: float):
+    """What one occurrence count adds at weight 1; grows with the count, falls with the length."""
+    return value * (K1 + 1) / (value + K1 * (1 - B + B * size / avg_len))
 
-    `raw_score` is negative and smaller is better; `score` maps it to (0, 1) for display. Terms meet postings first,
-    so only query terms reach the document statistics.
+
+def lexical_topk(index: SearchIndex, terms: DataFrame, qid: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """Top k items per query by BM25 with idf ln((N - n + .5) / (n + .5)) floored at 1e-6; `terms` is (qid, term).
+
+    `raw_score` is negative and smaller is better; `score` maps it to (0, 1) for display. `allowed` (ref) restricts the
+    items ranked, not the statistics.
     """
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    used = terms.join(df, "term").select(
-        qid, "term", F.greatest(F.lit(MIN_IDF), F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("_idf"))
-    hit = posts.join(used, "term").join(length, ref)
-    tf = F.col("tf").cast("double")
-    part = F.col("_idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / avg_len))
-    scored = hit.groupBy(qid, ref).agg((-F.sum(part)).alias("_raw"))
-    scored = scored.withColumn("raw_score", round_half_up("_raw", 6)).drop("_raw")
-    ranked = topk(scored, [qid], ["raw_score", ref], k)
+    df = index.lexicon("word").join(terms.select("term").distinct(), "term", "left_semi").select("term", "df")
+    idf = F.greatest(F.lit(MIN_IDF), F.log((F.lit(float(index.docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    used = terms.join(df, "term").select(qid, "term", idf.alias("weight"))
+    found = block_topk(index.parts("lexical", "len", allowed), used, qid, "ref", k,
+                       partial(bm25_impact, avg_len=index.avg_len), negative=True)
+    ranked = topk(found.select(qid, "ref", (-F.col("score")).alias("raw_score")), [qid], ["raw_score", "ref"], k)
     return ranked.withColumn("score", 1 / (1 + F.exp(F.col("raw_score") / DISPLAY_SCALE)))
 
 
-def cosine_topk(vectors: DataFrame, norms: DataFrame, queries: DataFrame, ref: str, qid: str, k: int,
-                floor: float = MIN_COSINE) -> DataFrame:
-    """Top k items per query by cosine of sparse vectors; `queries` is (qid, term, weight)."""
-    qnorm = queries.groupBy(qid).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_qn"))
-    q = queries.select(qid, "term", F.col("weight").alias("_qw"))
-    dots = vectors.join(q, "term").groupBy(qid, ref).agg(F.sum(F.col("weight") * F.col("_qw")).alias("_dot"))
-    scored = dots.join(norms, ref).join(qnorm, qid)
-    scored = scored.select(qid, ref, round_half_up(F.col("_dot") / (F.col("norm") * F.col("_qn")), 6).alias("score"))
-    return topk(scored.where(F.col("score") > floor), [qid], ["-score", ref], k)
+def share(value, size):
+    return value / size
+
+
+def semantic_topk(index: SearchIndex, queries: DataFrame, qid: str, k: int, floor: float = MIN_COSINE,
+                  allowed: DataFrame | None = None) -> DataFrame:
+    """Top k items per query by cosine of sparse vectors, above `floor`; `queries` is (qid, term, weight)."""
+    norm = queries.groupBy(qid).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_qn"))
+    used = queries.join(norm, qid).select(qid, "term", (F.col("weight") / F.col("_qn")).alias("weight"))
+    found = block_topk(index.parts("semantic", "norm", allowed), used, qid, "ref", k, share, floor)
+    return topk(found, [qid], ["-score", "ref"], k)
+
+
+def query_vectors(index: SearchIndex, queries: DataFrame, qid: str, text: str) -> DataFrame:
+    """(qid, term, weight) of query texts, weighted by the index's frequencies; unseen stems count as in no item."""
+    unseen = F.log(F.lit(index.items + 1.0)) + 1
+    posts = postings(queries, qid, F.col(text), exact_words=False)
+    return tfidf(posts, index.idf(), qid, QUERY_TOP_TERMS, unseen)
 
 
 def rrf(lists: dict[str, tuple[DataFrame, float]], qid: str, ref: str, k: int = RRF_K) -> DataFrame:
@@ -137,35 +149,23 @@ class SearchSpec:
     active_place: int | None = None
 
 
-def hybrid_search(items: DataFrame, index: dict[str, DataFrame], queries: DataFrame, qid: str, text: str,
+def hybrid_search(items: DataFrame, index: SearchIndex, queries: DataFrame, qid: str, text: str,
                   spec: SearchSpec = SearchSpec()) -> DataFrame:
     """Retrieve lexically and by vectors, fuse, attach items, rerank, drop near copies, cut, add snippets.
 
-    `items` has ref, kind, place_id, title, body, depth; `index` holds words, lexicon (with idf), vectors and norms.
+    `items` has ref, kind, place_id, title, body, depth; of it only the hits' rows, and the filter's columns, are used.
     """
-    allowed = retrieval_filter(items, spec.place, spec.kinds, spec.depth, spec.places).select("ref")
     filtered = bool(spec.place is not None or spec.kinds or any(d is not None for d in spec.depth) or spec.places)
-
-    def keep(df: DataFrame) -> DataFrame:
-        return df.join(allowed, "ref", "left_semi") if filtered else df
-
+    allowed = retrieval_filter(items, spec.place, spec.kinds, spec.depth, spec.places).select("ref") if filtered else None
     fetch = spec.limit * OVER_FETCH
-    posts = index["words"]
-    length = posts.groupBy("ref").agg(F.sum("tf").alias("len"))
-    n_docs = length.agg(F.count(F.lit(1))).scalar()
-    avg_len = length.agg(F.avg("len")).scalar()
-    lexical = bm25(posts, query_terms(queries, qid, text), "ref", qid, fetch * OVER_FETCH, keep(length), n_docs, avg_len)
-
-    size = items.agg(F.count(F.lit(1))).scalar()
-    unseen = F.log(size + F.lit(1.0)) + 1
-    qvec = tfidf(postings(queries, qid, F.col(text), exact_words=False), index["lexicon"], qid, QUERY_TOP_TERMS, unseen)
-    semantic = cosine_topk(keep(index["vectors"]), index["norms"], qvec, "ref", qid, fetch)
+    lexical = lexical_topk(index, query_terms(queries, qid, text), qid, fetch * OVER_FETCH, allowed)
+    semantic = semantic_topk(index, query_vectors(index, queries, qid, text), qid, fetch, allowed=allowed)
 
     fused = rrf({"lexical": (lexical, LEXICAL_WEIGHT), "semantic": (semantic, SEMANTIC_WEIGHT)}, qid, "ref")
     hits = fused.join(items, "ref")
     ranked = rerank(hits, target_depth=F.lit(spec.target_depth) if spec.target_depth is not None else None,
                     active_place=F.lit(spec.active_place) if spec.active_place is not None else None)
-    terms = index["vectors"].join(fused.select("ref").distinct(), "ref", "left_semi").groupBy("ref").agg(
+    terms = index.rows("vectors").join(fused.select("ref").distinct(), "ref", "left_semi").groupBy("ref").agg(
         F.collect_list("term").alias("_terms"))
     ranked = ranked.join(terms, "ref", "left").withColumn("fused", round_half_up("rerank_score", 6))
     kept = diversify(ranked.drop("rerank_score"), qid, "ref", "kind", "_terms", ["-fused", "ref"])
