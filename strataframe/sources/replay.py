@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strataframe.sources.tables import schema_of
 
@@ -18,5 +19,17 @@ def replay_stream(spark: SparkSession, folder: str, schema: str, glob: str | Non
     return reader.format(fmt).load(folder)
 
 
-def replay_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return replay_stream(spark, folder, schema_of(name), f"{name}.parquet")
+def replay_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
+    """A table of the folder, be it one file or a folder of part files."""
+    return replay_stream(spark, f"{folder}/{name}.parque[t]", schema_of(name), files_per_trigger=files_per_trigger)
+
+
+def record_deliveries(rows: DataFrame, number: Column, deliveries: int, path: str, files: int = 1) -> None:
+    """Write the rows of delivery 0, 1, ... below `path`, one after the other, each in up to `files` files.
+
+    Read back `files` at a time they arrive as they were delivered; rows keep no order inside a delivery.
+    """
+    numbered = rows.withColumn("_delivery", number.cast("int"))
+    for k in range(deliveries):
+        part = numbered.where(F.col("_delivery") == k).drop("_delivery")
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)

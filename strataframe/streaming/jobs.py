@@ -6,28 +6,36 @@ stateful results; `split_late` sends them to a side output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
 from strataframe.alerts.batch import COOLDOWN_MIN, STALE_SECONDS, rule_alerts
 from strataframe.functions.numeric import round_half_up
+from strataframe.operators.windows import EPS, MIN_HISTORY, ROLLING_ROWS
 from strataframe.session import fresh_path
+from strataframe.streaming.ordered import in_order, keyed_state
 
 WATERMARK = "10 minutes"
 
 
-def drain(stream: DataFrame, label: str = "stream", mode: str = "append") -> DataFrame:
-    """Run a stream over everything available now into a parquet folder of the shared directory and read it back."""
+def drain(stream: DataFrame, label: str = "stream", mode: str = "append", out: str | None = None,
+          checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over everything available now into a parquet folder of the shared directory and read it back.
+
+    With the `out` and `checkpoint` of an earlier run it goes on where that one ended.
+    """
     spark = stream.sparkSession
-    out = fresh_path(spark, label)
-    q = (stream.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", fresh_path(spark, f"{label}-checkpoint")).outputMode(mode)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    out = out or fresh_path(spark, label)
+    with keyed_state(spark):
+        q = (stream.writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", checkpoint or fresh_path(spark, f"{label}-checkpoint")).outputMode(mode)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -65,106 +73,86 @@ def findings_stream(alerts: DataFrame, key: str, ts: str, gap: str, watermark: s
     return out.select(key, F.col("w.start").alias("first_ts"), F.col("w.end").alias("window_end"), "alerts", "top_score")
 
 
-def suppress_stream(alerts: DataFrame, key: str, ts: str, tie: str, minutes: float = COOLDOWN_MIN) -> DataFrame:
-    """(key, ts, tie) of the alerts that open. State per key is the instant of the last open alert.
-
-    Rows of a micro-batch arrive in chunks; each chunk is put in time order before the rule is applied, and the state
-    carries over, so chunks must not be larger than the disorder the source allows.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in alerts.schema}
+def suppress_stream(alerts: DataFrame, key: list[str], ts: str, tie: str, minutes: float = COOLDOWN_MIN,
+                    watermark: str = WATERMARK) -> DataFrame:
+    """(key, ts, tie) of the alerts that open; what is kept of a key is the instant of its last open alert."""
     limit = int(minutes * 60_000_000)
 
-    def run(k, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for pdf in _in_time_order(chunks, "_us", tie):
-            keep = []
-            for us in pdf["_us"]:
-                opened = last is None or us - last >= limit
-                keep.append(opened)
-                last = int(us) if opened else last
-            yield pdf.loc[keep, ["_us", tie]].assign(**{key: k[0]})[[key, "_us", tie]]
-        if last is not None:
-            state.update((last,))
-
-    src = alerts.select(key, F.unix_micros(F.col(ts)).alias("_us"), tie)
-    out = src.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kinds[key]}, _us bigint, {tie} {kinds[tie]}", "last_us bigint", "append",
-        GroupStateTimeout.NoTimeout)
-    return out.select(key, F.timestamp_micros("_us").alias(ts), tie)
-
-
-def _in_time_order(chunks: Iterator[pd.DataFrame], us: str, tie: str) -> Iterator[pd.DataFrame]:
-    """Chunks of one key sorted by time. One micro-batch of one key is bounded by the source's rate limit."""
-    held = [c for c in chunks if len(c)]
-    if held:
-        yield pd.concat(held).sort_values([us, tie], kind="stable")
-
-
-def gap_stream(stream: DataFrame, key: str, ts: str, tie: str, gap_seconds: float) -> DataFrame:
-    """(key, gap_from, gap_to, gap_seconds) for steps over `gap_seconds`. State per key is the last instant seen."""
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    def step(kept: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        us = rows["at_us"].to_numpy()
+        opened, at = [], int(np.searchsorted(us, kept["last_us"].iloc[0] + limit)) if len(kept) else 0
+        while at < len(us):  # from one open alert to the next
+            opened.append(at)
+            at = max(at + 1, int(np.searchsorted(us, us[at] + limit)))
+        made = rows.iloc[opened][["at_us", tie]]
+        return (made[["at_us"]].tail(1).set_axis(["last_us"], axis=1) if opened else kept), made
+
+    kind = alerts.schema[tie].dataType.simpleString()
+    out = in_order(alerts, key, ts, [tie], [], "last_us bigint", step, f"at_us bigint, {tie} {kind}", watermark)
+    return out.select(*key, F.timestamp_micros("at_us").alias(ts), tie)
+
+
+def gap_stream(stream: DataFrame, key: list[str], ts: str, tie: str, gap_seconds: float, watermark: str = WATERMARK) -> DataFrame:
+    """(key, gap_from, gap_to, gap_seconds) for steps over `gap_seconds`; the last instant of a key is kept."""
     limit = gap_seconds * 1e6
 
-    def run(k, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for pdf in _in_time_order(chunks, "_us", tie):
-            at = pdf["_us"].reset_index(drop=True)
-            before = at.shift(1)
-            if last is not None:
-                before.iloc[0] = last
-            wide = (at - before) > limit
-            last = int(at.iloc[-1])
-            yield pd.DataFrame({key: k[0], "_from": before[wide].astype("int64"), "_to": at[wide].astype("int64")})
-        if last is not None:
-            state.update((last,))
-
-    out = stream.select(key, F.unix_micros(F.col(ts)).alias("_us"), tie).groupBy(key).applyInPandasWithState(
-        run, f"{key} {kinds[key]}, _from bigint, _to bigint", "last_us bigint", "append", GroupStateTimeout.NoTimeout)
-    return out.select(key, F.timestamp_micros("_from").alias("gap_from"), F.timestamp_micros("_to").alias("gap_to"),
-                      ((F.col("_to") - F.col("_from")) / F.lit(1e6)).alias("gap_seconds"))
-
-
-def stale_stream(stream: DataFrame, key: str, ts: str, watermark: str = WATERMARK, seconds: float = STALE_SECONDS
-                 ) -> DataFrame:
-    """(key, last_us, stale_us): emitted when the watermark passes the last sample by `seconds`; an event-time timer."""
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-
-    def run(k, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "last_us": [last], "stale_us": [last + int(seconds * 1e6)]})
-            return
-        last = state.get[0] if state.exists else 0
-        for pdf in chunks:
-            if len(pdf):
-                last = max(last, int(pdf["_us"].max()))
-        state.update((last,))
-        due = last // 1000 + int(seconds * 1000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [], "last_us": [], "stale_us": []}).astype({"last_us": "int64", "stale_us": "int64"})
-
-    src = stream.withWatermark(ts, watermark).select(key, ts, F.unix_micros(F.col(ts)).alias("_us"))
-    return src.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kinds[key]}, last_us bigint, stale_us bigint", "last_us bigint", "append",
-        GroupStateTimeout.EventTimeTimeout)
-
-
-def split_late(stream: DataFrame, ts: str, accept: Callable[[DataFrame], None], late: Callable[[DataFrame], None],
-               delay_seconds: float = 600) -> None:
-    """Route rows older than the newest instant of earlier batches minus the delay to `late`, the rest to `accept`."""
-    seen = {"max": None}
+    def step(kept: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        us = np.concatenate((kept["last_us"].to_numpy(np.int64), rows["at_us"].to_numpy(np.int64)))
+        wide = np.flatnonzero(np.diff(us) > limit)
+        return pd.DataFrame({"last_us": us[-1:]}), pd.DataFrame({"from_us": us[wide], "to_us": us[wide + 1]})
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        bound = seen["max"]
-        us = F.unix_micros(F.col(ts))
-        old = us < F.lit(bound) - F.lit(int(delay_seconds * 1e6)) if bound is not None else F.lit(False)
-        accept(batch.where(~old))
-        late(batch.where(old))
-        top = batch.agg(F.max(us)).first()[0]
-        seen["max"] = top if bound is None else max(bound, top if top is not None else bound)
+    out = in_order(stream, key, ts, [tie], [], "last_us bigint", step, "from_us bigint, to_us bigint", watermark)
+    return out.select(*key, F.timestamp_micros("from_us").alias("gap_from"), F.timestamp_micros("to_us").alias("gap_to"),
+                      ((F.col("to_us") - F.col("from_us")) / F.lit(1e6)).alias("gap_seconds"))
+
+
+def stale_stream(stream: DataFrame, key: list[str], ts: str, watermark: str = WATERMARK, seconds: float = STALE_SECONDS) -> DataFrame:
+    """(key, last_us, stale_us): every silence over `seconds`, told once, at the latest when the watermark has passed it.
+
+    A silence that goes on is told by a timer; one that a later sample ends is told with that sample, if it was not yet.
+    """
+    limit = int(seconds * 1e6)
+
+    def told(last: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"last_us": last, "stale_us": last + limit})
+
+    def step(kept: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        us = np.concatenate((kept["last_us"].to_numpy(np.int64), rows["at_us"].to_numpy(np.int64)))
+        silent = np.flatnonzero(np.diff(us) > limit)
+        if len(kept) and kept["told"].iloc[0]:
+            silent = silent[silent > 0]
+        return pd.DataFrame({"last_us": us[-1:], "told": [False]}), told(us[silent])
+
+    def look(kept: pd.DataFrame, passed: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        due = len(kept) and not kept["told"].iloc[0] and kept["last_us"].iloc[0] + limit < passed
+        return (kept.assign(told=True), told(kept["last_us"].to_numpy(np.int64))) if due else (kept, told(np.zeros(0, np.int64)))
 
-    drain_batches(stream, step, "late")
+    def again(kept: pd.DataFrame) -> int | None:
+        return None if not len(kept) or kept["told"].iloc[0] else int(kept["last_us"].iloc[0]) + limit
+
+    return in_order(stream, key, ts, [], [], "last_us bigint, told boolean", step, "last_us bigint, stale_us bigint", watermark, (look, again))
+
+
+def split_late(stream: DataFrame, ts: str, state: str, accept: Callable[[DataFrame, int], None],
+               late: Callable[[DataFrame, int], None], delay_seconds: float = 600) -> None:
+    """Route rows older than the newest instant of earlier batches minus the delay to `late`, the rest to `accept`.
+
+    The newest instant after each epoch is written below `state`, the query's own folder, before its outputs. A restart
+    goes on from there, and a replayed epoch is split as the first time; sinks get the epoch and should overwrite by it.
+    """
+    spark: SparkSession = stream.sparkSession
+    us = F.unix_micros(F.col(ts))
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        newest = None if epoch == 0 else spark.read.schema("newest bigint").parquet(f"{state}/newest/{epoch - 1}").first()[0]
+        here = batch.agg(F.max(us).alias("newest")).withColumn("newest", F.greatest("newest", F.lit(newest).cast("bigint")))
+        here.write.mode("overwrite").parquet(f"{state}/newest/{epoch}")
+        old = F.lit(False) if newest is None else F.coalesce(us < F.lit(newest - int(delay_seconds * 1e6)), F.lit(False))
+        accept(batch.where(~old), epoch)
+        late(batch.where(old), epoch)
+
+    q = (stream.writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", f"{state}/checkpoint").start())
+    q.awaitTermination()
 
 
 def subscribe(stream: DataFrame, well: str, wells: list, sink: Callable[[DataFrame, int], None]) -> None:
@@ -172,26 +160,33 @@ def subscribe(stream: DataFrame, well: str, wells: list, sink: Callable[[DataFra
     drain_batches(stream.where(F.col(well).isin(wells)), sink, "subscription")
 
 
-def online_features(stream: DataFrame, by: list[str], order: list[str], history: int,
-                    features: Callable[[DataFrame], DataFrame], out: str) -> None:
-    """Feature rows per micro-batch, equal to a batch run over the whole series.
+def trailing_ratios(cols: list[str], history: int = ROLLING_ROWS, least: int = MIN_HISTORY) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Each value over the median of up to `history` values before it, as `local_ratios` has it in batch."""
+
+    def make(rows: pd.DataFrame) -> pd.DataFrame:
+        out = {}
+        for c in cols:
+            value = rows[c].astype(float)
+            base = value.where(np.isfinite(value)).shift(1).rolling(history, min_periods=least).median()
+            out[f"{c}_ratio"] = (value.fillna(0.0) / base).where(base.abs() >= EPS, 1.0)
+        return rows.assign(**out)
+
+    return make
+
 
-    Each batch is evaluated behind the last `history` rows kept per key. The kept rows are written per epoch, so a
-    replayed epoch starts from the same state. Batches must bring each key's rows in order.
+def online_features(stream: DataFrame, key: list[str], ts: str, tie: list[str], values: list[str], history: int,
+                    features: Callable[[pd.DataFrame], pd.DataFrame], out: str, watermark: str = WATERMARK) -> DataFrame:
+    """`key` and the columns `out` (DDL) that `features` adds to or keeps of a key's rows, as over its whole series.
+
+    A key keeps its last `history` rows in list state; features see them in front of the new rows. A batch or a replayed
+    epoch touches the state of its own keys only.
     """
-    from strataframe.operators.windows import latest_n
+    names = T.StructType.fromDDL(out).names
+    columns = ["at_us", *dict.fromkeys([*tie, *values])]
+    kept = ", ".join(["at_us bigint", *[f"{c} {stream.schema[c].dataType.simpleString()}" for c in columns[1:]]])
 
-    spark: SparkSession = stream.sparkSession
-    kept = f"{out}-state"
+    def step(past: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        both = pd.concat([past, rows[columns]], ignore_index=True) if len(past) else rows[columns].reset_index(drop=True)
+        return both.tail(history), features(both)[names].iloc[len(past):]
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        fresh = batch.withColumn("_new", F.lit(True))
-        both = fresh
-        if epoch > 0:
-            past = spark.read.schema(batch.schema).parquet(f"{kept}/{epoch - 1}").withColumn("_new", F.lit(False))
-            both = past.unionByName(fresh)
-        features(both).where("_new").drop("_new").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        newest = [f"-{o}" for o in order]
-        latest_n(both.drop("_new"), newest, history, by).write.mode("overwrite").parquet(f"{kept}/{epoch}")
-
-    drain_batches(stream, step, "features")
+    return in_order(stream, key, ts, tie, values, kept, step, out, watermark)
