@@ -219,12 +219,10 @@ def deployment_gate(df: DataFrame) -> DataFrame:
     inverted = F.col("roc_auc").isNotNull() & (F.col("roc_auc") < 0.5)
     pct = lambda c: F.format_string("%.1f", F.col(c) * 100)
     reasons = F.array_compact(F.array(
-        F.when(gain <= 0, F.concat(
-            F.lit("at its operating point the model reaches "), pct("precision"),
-            F.lit("% precision, which does not beat flagging every interval ("), pct("base_precision"), F.lit("%)"))),
-        F.when(inverted, F.concat(F.lit("held-out ROC AUC "), F.format_string("%.3f", round_half_up("roc_auc", 3)),
-                                  F.lit(" is below 0.5, so the ranking is inverted"))),
-        F.when(F.col("tp") == 0, F.lit("the operating threshold never fires, so the model would report no risk at all")),
+        F.when(gain <= 0, F.concat(F.lit("precision "), pct("precision"), F.lit("% is no better than the "), pct("base_precision"),
+                                   F.lit("% of alarming everywhere"))),
+        F.when(inverted, F.concat(F.lit("unseen groups are ranked backwards (ROC AUC "), F.format_string("%.3f", round_half_up("roc_auc", 3)), F.lit(")"))),
+        F.when(F.col("tp") == 0, F.lit("no true alarm at the chosen threshold")),
     ))
     return df.withColumns({"gain": gain, "usable": (gain > 0) & ~inverted, "beats_flag_all": gain > 0,
                            "not_inverted": ~inverted, "reasons": reasons})

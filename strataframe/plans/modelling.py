@@ -398,9 +398,9 @@ def _listed_sql(x: str) -> str:
 @query("m34_narrate", with_sql("series", _LONG + f""", o AS (SELECT well_id, pos, list({_TXT} ORDER BY abs(c) DESC, feature) FILTER (WHERE {R4('c')} > 0) AS up,
  list({_TXT} ORDER BY abs(c) DESC, feature) FILTER (WHERE {R4('c')} < 0) AS down FROM lf GROUP BY 1, 2),
 x AS (SELECT well_id, pos, coalesce(up, [])[1:3] AS up, coalesce(down, [])[1:2] AS down FROM o)
-SELECT x.well_id, x.pos, concat_ws(' ', CASE WHEN len(up) > 0 THEN 'Risk is driven up mainly by ' || {_listed_sql('up')} || '.' END,
- CASE WHEN len(down) > 0 THEN 'Working against it: ' || {_listed_sql('down')} || '.' END, CASE WHEN len(up) = 0 THEN 'No feature in this vector pushes the score up.' END,
- 'Combined, these give a score of ' || regexp_replace(printf('%.1f', {half_up_sql(f'{_P}*100', 1)}), '\\.?0+$', '') || '%.') AS narrative
+SELECT x.well_id, x.pos, concat_ws(' ', CASE WHEN len(up) > 0 THEN 'Raised by ' || {_listed_sql('up')} || '.' END,
+ CASE WHEN len(down) > 0 THEN 'Lowered by ' || {_listed_sql('down')} || '.' END, CASE WHEN len(up) = 0 THEN 'Nothing here raises the score.' END,
+ 'Score: ' || regexp_replace(printf('%.1f', {half_up_sql(f'{_P}*100', 1)}), '\\.?0+$', '') || '%.') AS narrative
 FROM x JOIN series s ON s.well_id=x.well_id AND s.pos=x.pos"""))
 def m34(spark, sf):
     return series(spark, sf).select("well_id", "pos", X.narrate(X.factors(STORED), STORED.score()).alias("narrative"))
