@@ -1,7 +1,9 @@
 """Exact Jaccard similarity join on word shingles with a token-group matrix.
 
-Equal sets are one set from the start. Sets that agree in their least hash, as similar sets mostly do, are put into
-groups of bounded size; the matrix keeps each group's sets and the union of their tokens.
+Equal sets are one set from the start. Sets that agree in a least hash, as similar sets mostly do, are put into groups of
+bounded size; the matrix keeps each group's sets and the union of their tokens. Four independent least hashes are taken: a
+set goes by the one that most sets share with it, so that a family of near copies fills few groups and leaves few members
+scattered over groups of their own.
 
 * Candidates: in a fixed order of all tokens (frequent ones last) two sets that link share a token in their prefixes, so
   a group is asked about another only if they share a prefix token, with sizes that allow a link.
@@ -10,8 +12,8 @@ groups of bounded size; the matrix keeps each group's sets and the union of thei
   of the sets tell the same of single pairs.
 * Opening: what passes is compared with the other group's sets, token by token.
 
-A large family of near copies would still make all its groups meet. Therefore large buckets of equal least hash are first
-joined in groups dealt at random, twice; groups whose sets are connected already are never asked about each other, and
+A large family of near copies would still make all its groups meet. Therefore the sets of large buckets are first joined in
+groups dealt at random, in the bucket they go by, and one set of each connected part in its next largest bucket; groups whose sets are connected already are never asked about each other, and
 per token the groups of one leading component are met by the others only. The result is the same: what is left out joins
 sets that are known to be in one component.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from strataframe.llm.chunked import blocks
 from strataframe.llm.components import connected
-from strataframe.llm.shingles import mix, shingle_sets
+from strataframe.llm.shingles import shingle_sets
 from strataframe.session import settle
 
 CELL = 48  # sets in a group, on average
@@ -38,7 +40,8 @@ FREQUENT = 200_000  # tokens whose frequency is known to all tasks; only the ord
 HOT = 50_000  # buckets joined beforehand; those beyond are joined like all others
 BLOCK = 1_000_000
 BITS = 4096  # of a bitmap
-SECOND = np.uint64(0x9E3779B97F4A7C15)
+# Tokens are random numbers, so the one nearest to a constant, by exclusive or, is a random choice for each constant.
+TURNS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x5851F42D4C957F2D], np.uint64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int):
@@ -58,8 +61,12 @@ def _signed(x) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def leasts(tokens: np.ndarray) -> list[int]:
+    return [_signed((tokens ^ t).min()) for t in TURNS]
+
+
 def describe(docs: DataFrame, words: int) -> DataFrame:
-    """A row per document (id, hash of the text, size and digest of its set, least hash), and rows of frequent tokens.
+    """A row per document (id, hash of the text, size and digest of its set, least hashes), and rows of frequent tokens.
 
     Every task counts its tokens and reports those met often; single ones are forgotten whenever the count grows large.
     """
@@ -69,7 +76,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
         for (ids, hashes), sets in _sets(batches, words):
             yield pa.RecordBatch.from_arrays([
                 ids, hashes, pa.array([len(x) for x in sets], pa.int32()), pa.array([_digest(x) if len(x) else None for x in sets], pa.binary()),
-                pa.array([_signed(x[0]) if len(x) else None for x in sets], pa.int64()), pa.nulls(len(sets), pa.int64()),
+                pa.array([leasts(x) if len(x) else None for x in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.int64()),
                 pa.nulls(len(sets), pa.int64())], names=names)
             one, n = np.unique(np.concatenate(sets), return_counts=True)
             tokens, back = np.unique(np.concatenate((tokens, one)), return_inverse=True)
@@ -80,17 +87,21 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
         if often.any():
             k = int(often.sum())
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()),
-                pa.array(tokens[often].astype(np.int64)), pa.array(counts[often])], names=names)
+                pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
+                pa.nulls(k, pa.list_(pa.int64())), pa.array(tokens[often].astype(np.int64)), pa.array(counts[often])], names=names)
 
-    names = ["doc_id", "text_hash", "n", "sig", "least", "token", "seen"]
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n int, sig binary, least long, token long, seen long")
+    names = ["doc_id", "text_hash", "n", "sig", "leasts", "token", "seen"]
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n int, sig binary, leasts array<long>, token long, seen long")
 
 
-def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, rank: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """A row per set and task: digest, size, least hashes, prefix in the order of tokens, and all tokens if it is in a hot bucket."""
+def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, rank: np.ndarray, hot: dict[tuple[int, int], int]) -> DataFrame:
+    """A row per set and task: digest, size, least hashes, prefix in the order of tokens; in a hot bucket all tokens too.
+
+    `turn` is the least hash that the set goes by: that of its largest hot bucket, else the first; `other` is that of the next
+    largest hot one, if any.
+    """
 
-    names = ["sig", "n", "least", "second", "index", "front", "bits", "full"]
+    names = ["sig", "n", "leasts", "turn", "other", "index", "front", "bits", "full"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
@@ -106,22 +117,24 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, ra
                     at = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
                     order = x[np.lexsort((x, np.where(frequent[at] == x, rank[at], 0)))]
                 front = order[: n + (-n * percent // 100) + 1].astype(np.int64)
-                least = x[0]
-                is_hot = len(hot) and hot[min(np.searchsorted(hot, least), len(hot) - 1)] == least
-                rows.append((sig, n, _signed(least), _signed(mix(x * SECOND).min()), n + (-2 * percent * n // (100 + percent)) + 1,
+                least = leasts(x)
+                crowd = [hot.get((k, h), 0) for k, h in enumerate(least)]
+                by_size = sorted(range(len(crowd)), key=lambda k: -crowd[k])
+                is_hot, other = crowd[by_size[0]], by_size[1] if crowd[by_size[1]] else None
+                rows.append((sig, n, least, by_size[0], other, n + (-2 * percent * n // (100 + percent)) + 1,
                              front, bitmap(x), x.tobytes() if is_hot else None))
             if len(met) > 500_000:
                 met.clear()
             if rows:
-                sig, n, least, second, index, front, bits, full = zip(*rows)
+                sig, n, least, turn, other, index, front, bits, full = zip(*rows)
                 ends = np.concatenate(([0], np.cumsum([len(f) for f in front])))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(least, pa.int64()), pa.array(second, pa.int64()),
+                    pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(least, pa.list_(pa.int64())), pa.array(turn, pa.int32()), pa.array(other, pa.int32()),
                     pa.array(index, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(front))),
                     pa.array(bits, pa.binary()), pa.array(full, pa.binary())], names=names)
 
     return docs.select("text").mapInArrow(
-        run, "sig binary, n int, least long, second long, index int, front array<long>, bits binary, full binary")
+        run, "sig binary, n int, leasts array<long>, turn int, other int, index int, front array<long>, bits binary, full binary")
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -163,9 +176,10 @@ def _bytes(column: pd.Series) -> list[np.ndarray]:
 
 
 def join_cells(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (`a`, `b`) that connect what links inside each `cell`; columns `cell, sig, full`."""
+    """Edges (`a`, `b`) from each set to the first of those it is connected with in its `cell`; columns `cell, sig, full`."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.drop_duplicates("sig")  # a set comes once from every task that met it
         sig, sets_ = g["sig"].tolist(), _bytes(g["full"])
         size = np.array([len(x) for x in sets_])
         root = local_roots(linked(overlaps(sets_, sets_), size, size, percent))
@@ -175,39 +189,55 @@ def join_cells(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def bound_groups(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """For each pair of groups the sets that may link across (`ga, gb, gid, sig`), by the bitmaps of the sets.
+    """What may link across groups, by the bitmaps of the sets: rows (`task, ga, gb`) of pairs of groups, and rows
+    (`task, gid, sig`) of the sets that a task needs for its pairs, each set once.
 
-    `members` has for every task its groups once (`task, gid, sets` of sig, n and bits).
+    `members` has for every task its groups once (`task, gid, sets` of sig, n and bits). The pairs that are left go to new
+    tasks of `PAIRS_AT_ONCE`, neighbours together, so that these need few sets.
     """
 
     def may(a: tuple, b: tuple) -> np.ndarray:
         missing = np.bitwise_count(a[1][:, None, :] & ~b[1][None, :, :]).sum(axis=2, dtype=np.int64)
         return 100 * (a[0][:, None] - missing) >= percent * np.maximum(a[0][:, None], b[0][None, :])
 
+    def across(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+        lack = np.bitwise_count(a[1] & ~b[2]).sum(axis=1, dtype=np.int64)
+        some = np.flatnonzero(100 * (a[0] - lack) >= percent * a[0])
+        part = (a[0][some], a[1][some])
+        found = may(part, b) & may(b, part).T
+        return some[found.any(axis=1)], np.flatnonzero(found.any(axis=0))
+
     def run(todo: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         groups = {}
         for gid, sets_ in zip(rows["gid"], rows["sets"]):
             bits = np.stack([np.frombuffer(x["bits"], np.uint64) for x in sets_])
             groups[gid] = (np.array([x["n"] for x in sets_], np.int64), bits, np.bitwise_or.reduce(bits, axis=0), [x["sig"] for x in sets_])
-        out = []
+        tile = lambda c: np.unique(todo[c].to_numpy(), return_inverse=True)[1] // 8
+        todo = todo.iloc[np.lexsort((tile("gb"), tile("ga")))] if len(todo) else todo
+        out, needs, task, k = [], set(), 0, 0
         for ga, gb in zip(todo["ga"], todo["gb"]):
             a, b = groups[ga], groups[gb]
             if ga == gb:
                 found = may(a, a)
                 np.fill_diagonal(found, False)
                 found &= found.T
-                out += [(ga, gb, ga, a[3][i]) for i in np.flatnonzero(found.any(axis=1))]
+                mine, theirs = np.flatnonzero(found.any(axis=1)), []
+            else:
+                mine, theirs = across(a, b)
+            if not len(mine):
                 continue
-            lack = np.bitwise_count(a[1] & ~b[2]).sum(axis=1, dtype=np.int64)
-            some = np.flatnonzero(100 * (a[0] - lack) >= percent * a[0])
-            if len(some):
-                part = (a[0][some], a[1][some])
-                found = may(part, b) & may(b, part).T
-                out += [(ga, gb, ga, a[3][some[i]]) for i in np.flatnonzero(found.any(axis=1))]
-                out += [(ga, gb, gb, b[3][j]) for j in np.flatnonzero(found.any(axis=0))]
-        return pd.DataFrame(out, columns=["ga", "gb", "gid", "sig"])
+            if k % PAIRS_AT_ONCE == 0:
+                task, needs = (int(todo["task"].iloc[0]) << 24) + k // PAIRS_AT_ONCE, set()
+            k += 1
+            out.append((task, ga, gb, None, None))
+            for gid, group, which in ((ga, a, mine), (gb, b, theirs)):
+                new = {(gid, group[3][i]) for i in which} - needs
+                needs |= new
+                out += [(task, None, None, *x) for x in new]
+        return pd.DataFrame(out, columns=["task", "ga", "gb", "gid", "sig"]).astype({c: "Int64" for c in ("task", "ga", "gb", "gid")})
 
-    return pairs.groupBy("task").cogroup(members.groupBy("task")).applyInPandas(run, "ga long, gb long, gid long, sig binary")
+    return pairs.groupBy("task").cogroup(members.groupBy("task")).applyInPandas(
+        run, "task long, ga long, gb long, gid long, sig binary")
 
 
 def dealt_pairs(pairs: DataFrame, at_once: int) -> tuple[DataFrame, DataFrame]:
@@ -283,35 +313,34 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"),
                          F.col(text).cast("string").alias("text"))
     told = settle(describe(source, words), "sets")
-    rows = told.where(F.col("n").isNotNull()).select("doc_id", "text_hash", "n", "sig", "least")
+    rows = told.where(F.col("n").isNotNull()).select("doc_id", "text_hash", "n", "sig", "leasts")
     frequent = told.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(
         F.desc("seen"), "token").limit(FREQUENT).collect()  # at most FREQUENT rows
     tokens = np.array([r["token"] for r in frequent], dtype=np.int64).astype(np.uint64)
     order = np.argsort(tokens)
     tokens, rank = tokens[order], np.array([r["seen"] for r in frequent], dtype=np.int64)[order]
-    distinct = rows.where(F.col("n") > 0).select("sig", "least").distinct()
-    buckets = distinct.groupBy("least").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CELL)
-    hottest = buckets.orderBy(F.desc("size"), "least").limit(HOT).collect()  # at most HOT rows
-    hot = np.sort(np.array([r["least"] for r in hottest], dtype=np.int64).astype(np.uint64))
+    distinct = rows.where(F.col("n") > 0).groupBy("sig").agg(F.first("leasts").alias("leasts")).select(F.posexplode("leasts").alias("turn", "least"))
+    buckets = distinct.groupBy("turn", "least").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CELL)
+    hottest = buckets.orderBy(F.desc("size"), "turn", "least").limit(HOT).collect()  # at most HOT rows
+    hot = {(r["turn"], r["least"]): r["size"] for r in hottest}
     front = settle(prefixes(source, words, percent, tokens, rank, hot), "prefixes")
 
-    once = front.where(F.col("full").isNotNull()).groupBy("sig").agg(
-        F.first("least").alias("least"), F.first("second").alias("second"), F.first("full").alias("full"))
     before = spark.createDataFrame([], "a binary, b binary")
-    if len(hot):
-        once = settle(once, "hot")
-        for column, seed in (("least", 1), ("second", 2)):
-            cells = once.groupBy(column).agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
-            dealt = once.join(cells, column).select(
-                F.xxhash64(column, F.pmod(F.xxhash64("sig", F.lit(seed)), F.col("cells"))).alias("cell"), "sig", "full")
-            before = before.union(join_cells(dealt, percent))
-        before = settle(before, "links")
+    if hot:
+        large = front.where(F.col("full").isNotNull()).select("sig", "full", *[F.col("leasts")[F.col(c)].alias(c) for c in ("turn", "other")])
+        for bucket in ("turn", "other"):
+            left = large.where(F.col(bucket).isNotNull()).join(before.select(F.col("a").alias("sig")), "sig", "left_anti")
+            cells = left.select(bucket, "sig").distinct().groupBy(bucket).agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
+            dealt = left.join(cells, bucket).select(
+                F.xxhash64(bucket, F.pmod(F.xxhash64("sig", F.lit(bucket)), F.col("cells"))).alias("cell"), "sig", "full")
+            before = settle(before.union(join_cells(dealt, percent)), "links")
         known = connected(before).select(F.col("node").alias("sig"), F.col("root").alias("comp"))
     else:
         known = spark.createDataFrame([], "sig binary, comp binary")
 
-    # Groups: by least hash; in hot buckets by component first if that has enough sets for groups of its own.
-    one = front.groupBy("sig").agg(F.first("least").alias("least")).join(known, "sig", "left")
+    # Groups: by the least hash that a set goes by; in hot buckets by component first if that has enough sets for groups of its own.
+    went_by = F.xxhash64("turn", F.col("leasts")[F.col("turn")])
+    one = front.groupBy("sig").agg(F.first(went_by).alias("least")).join(known, "sig", "left")
     by_comp = one.where(F.col("comp").isNotNull()).groupBy("least", "comp").agg(F.count(F.lit(1)).alias("in_comp")).where(
         F.col("in_comp") >= CELL // 3)
     crowded = one.groupBy("least").agg(F.count(F.lit(1)).alias("in_bucket")).where(F.col("in_bucket") > CELL)
@@ -355,8 +384,8 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
     drawn = drawn.join(wanted, "gid").select("task", "gid", "sets").toDF("task", "gid", "sets")
     bounded = settle(bound_groups(asked, drawn, percent), "bounded")
 
-    asked, _ = dealt_pairs(bounded.select("ga", "gb").distinct(), PAIRS_AT_ONCE)
-    wanted = bounded.join(asked, ["ga", "gb"]).select("task", "gid", "sig").distinct()
+    asked = bounded.where(F.col("ga").isNotNull()).select("task", "ga", "gb")
+    wanted = bounded.where(F.col("gid").isNotNull()).select("task", "gid", "sig")
     needed = wanted.select("gid", "sig").distinct()
     spoken = rows.where(F.col("n") > 0).groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("sig", "r.*")
     named = spoken.join(needed, "sig")
