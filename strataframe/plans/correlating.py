@@ -21,7 +21,7 @@ def _targets(spark, sf):
 def _rank(spark, sf, strategy):
     t = tops(spark, sf).withColumnRenamed("well_id", "place_id")
     ev = incidents(spark, sf).select(F.col("well_id").alias("place_id"), "event_id", F.col("start_md").alias("event_depth"))
-    spec = O.OffsetSpec(strategy=strategy, radius_km=2500.0, limit=12, tolerance=120.0)
+    spec = O.OffsetSpec(strategy=strategy, radius_km=50.0, limit=12, tolerance=120.0)
     out = O.rank_offsets(_targets(spark, sf), places(spark, sf), t, ev, spec)
     near = F.transform("nearby_events", lambda e: e["event_id"].cast("string"))
     return out.drop("depth").withColumn("nearby_events", F.coalesce(F.array_join(near, ","), F.lit("")))
@@ -37,7 +37,7 @@ def rank_sql(strategy: str) -> str:
     return with_sql("places tops incidents", f""", targets AS (SELECT place_id, lat, lng, CAST((place_id*53) % 2500 + 200 AS DOUBLE) AS depth FROM places),
 pairs AS (SELECT a.place_id, a.depth, b.place_id AS offset_id, {hav_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS km,
   {bearing_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS brg FROM targets a JOIN places b ON a.place_id <> b.place_id
-  AND {hav_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 2500),
+  AND {hav_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 50),
 own AS (SELECT place_id, coalesce(r1, r0) AS m FROM {pick.format(o='place_id', src='targets')}),
 away AS (SELECT place_id, who AS offset_id, coalesce(r1, r0) AS m FROM {pick.format(o='offset_id', src='pairs')}),
 near AS (SELECT p.place_id, p.offset_id, i.event_id, abs(i.start_md - p.depth) AS d FROM pairs p JOIN incidents i ON i.well_id=p.offset_id

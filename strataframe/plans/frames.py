@@ -15,12 +15,18 @@ CATEGORIES = ["MUD_LOSS", "KICK", "STUCK_PIPE", "TORQUE_SPIKE"]
 EVENT_TYPES = ["Mud Loss", "Kick", "Stuck Pipe", "High Torque"]
 
 
+def _spread(step: int, span: int, beside: float) -> F.Column:
+    """Coordinate of a place: six places a few kilometres apart, the sixes all over the globe."""
+    six = F.floor(F.col("s_suppkey") / 6)
+    return (six * step % span) / F.lit(1000.0) - F.lit(span / 2000.0) + (F.col("s_suppkey") % 6) * F.lit(beside)
+
+
 def places(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as places on the globe."""
     s = F.col("s_suppkey")
     return read_table(spark, sf, "supplier").select(
         s.alias("place_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation_id"),
-        ((s * 37) % 120 - 60).cast("double").alias("lat"), ((s * 71) % 360 - 180).cast("double").alias("lng"),
+        _spread(37_037, 120_000, 0.05).alias("lat"), _spread(71_071, 360_000, 0.07).alias("lng"),
         F.col("s_acctbal").alias("balance"))
 
 
@@ -92,7 +98,8 @@ _CASE4 = lambda names, i: f"CASE {i} " + " ".join(f"WHEN {k} THEN '{n}'" for k,
 CTE = {
     "places": (
         [], """SELECT s_suppkey AS place_id, s_name AS name, s_nationkey AS nation_id,
-        CAST((s_suppkey*37) % 120 - 60 AS DOUBLE) AS lat, CAST((s_suppkey*71) % 360 - 180 AS DOUBLE) AS lng,
+        ((s_suppkey//6)*37037 % 120000)/1000e0 - 60e0 + (s_suppkey % 6)*0.05e0 AS lat,
+        ((s_suppkey//6)*71071 % 360000)/1000e0 - 180e0 + (s_suppkey % 6)*0.07e0 AS lng,
         s_acctbal AS balance FROM supplier"""),
     "series": (
         [], f"""SELECT l_suppkey AS well_id, pos, pos*5.0::DOUBLE AS depth, l_quantity AS quantity,

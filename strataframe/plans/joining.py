@@ -109,17 +109,17 @@ def j10(spark, sf):
 
 
 @query("j11_quiet_samples", with_sql("series incidents", """SELECT s.well_id, s.pos FROM series s WHERE NOT EXISTS (SELECT 1 FROM incidents i
- WHERE i.well_id=s.well_id AND s.depth BETWEEN i.start_md - 60 AND i.end_md + 60)"""))
+ WHERE i.well_id=s.well_id AND s.depth BETWEEN i.start_md - 2 AND i.end_md + 2)"""))
 def j11(spark, sf):
     s = series(spark, sf).select("well_id", "pos", "depth")
-    return J.quiet_samples(s, incidents(spark, sf), ["well_id"], "depth", "start_md", "end_md", 60).drop("depth")
+    return J.quiet_samples(s, incidents(spark, sf), ["well_id"], "depth", "start_md", "end_md", 2).drop("depth")
 
 
 @query("j12_geo_neighbors", with_sql("places", f"""SELECT a.place_id, b.place_id AS near_place_id, {half_up_sql(hav_sql('a.lat', 'a.lng', 'b.lat', 'b.lng'), 3)} AS distance_km
-FROM places a JOIN places b ON a.place_id <> b.place_id AND {hav_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 1500"""))
+FROM places a JOIN places b ON a.place_id <> b.place_id AND {hav_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 50"""))
 def j12(spark, sf):
     p = places(spark, sf)
-    return J.geo_neighbors(p, p.select("place_id", "lat", "lng"), 1500.0).select(
+    return J.geo_neighbors(p, p.select("place_id", "lat", "lng"), 50.0).select(
         "place_id", "near_place_id", round_half_up("distance_km", 3).alias("distance_km"))
 
 
