@@ -41,6 +41,9 @@ def local_session(cores: str | int = 8, **conf) -> SparkSession:
     return build_session(master=f"local[{cores}]", conf=settings)
 
 
+_OWN: dict[str, str] = {}  # folders of local sessions without the setting
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, named by `spark.checkpoint.dir`.
 
@@ -51,9 +54,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    own = tempfile.mkdtemp(prefix="strataframe-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:  # a running session refuses the setting
+        _OWN[app] = tempfile.mkdtemp(prefix="strataframe-")
+    return _OWN[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
