@@ -401,8 +401,14 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
 
     matrix = settle(fetched.mapInArrow(full, "gid long, sig binary, full binary"), "matrix")
     members = matrix.join(wanted, ["gid", "sig"]).select("task", "gid", "sig", "full").toDF("task", "gid", "sig", "full")
-    links = settle(open_groups(asked, members, percent).union(before), "links")
-    roots = connected(links).select(F.col("node").alias("sig"), "root")
+    # Links found late join components known from before; only what is between these is walked once more.
+    found = open_groups(asked, members, percent)
+    for end in ("a", "b"):
+        found = found.join(known.select(F.col("sig").alias(end), F.col("comp").alias("known")), end, "left").withColumn(
+            end, F.coalesce("known", end)).drop("known")
+    late = connected(found.where("a <> b").distinct())
+    roots = known.select("sig", "comp").union(late.join(known.select(F.col("sig").alias("node")), "node", "left_anti").select("node", "node"))
+    roots = roots.join(late, F.col("comp") == F.col("node"), "left").select("sig", F.coalesce("root", "comp").alias("root"))
 
     marked = settle(rows.join(roots, "sig", "left").select(
         "doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "sig").alias("root")), "marked")
