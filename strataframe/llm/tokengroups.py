@@ -40,6 +40,7 @@ FREQUENT = 200_000  # tokens whose frequency is known to all tasks; only the ord
 HOT = 50_000  # buckets joined beforehand; those beyond are joined like all others
 BLOCK = 1_000_000
 BITS = 4096  # of a bitmap
+SLOTS = 1 << 18  # 64-bit words of the table that is broadcast before texts are fetched
 # Tokens are random numbers, so the one nearest to a constant, by exclusive or, is a random choice for each constant.
 TURNS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x5851F42D4C957F2D], np.uint64)
 
@@ -176,16 +177,26 @@ def _bytes(column: pd.Series) -> list[np.ndarray]:
 
 
 def join_cells(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (`a`, `b`) from each set to the first of those it is connected with in its `cell`; columns `cell, sig, full`."""
+    """From sets dealt to cells (`cell, sig, full, other`): edges (`a`, `b`) from each set to the first of those it is connected
+    with in its cell, and rows (`a, other, full`, no `b`) of these first ones, which go on to their `other` bucket if any."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates("sig")  # a set comes once from every task that met it
-        sig, sets_ = g["sig"].tolist(), _bytes(g["full"])
+        sig, sets_, other = g["sig"].tolist(), _bytes(g["full"]), g["other"].tolist()
         size = np.array([len(x) for x in sets_])
         root = local_roots(linked(overlaps(sets_, sets_), size, size, percent))
-        return pd.DataFrame([(sig[i], sig[r]) for i, r in enumerate(root) if i != r], columns=["a", "b"])
+        out = [(sig[i], sig[r], None, None) for i, r in enumerate(root) if i != r]
+        out += [(sig[i], None, other[i], sets_[i].tobytes()) for i, r in enumerate(root) if i == r and not pd.isna(other[i])]
+        return pd.DataFrame(out, columns=["a", "b", "other", "full"]).astype({"other": "Int64"})
 
-    return sets.groupBy("cell").applyInPandas(run, "a binary, b binary")
+    return sets.groupBy("cell").applyInPandas(run, "a binary, b binary, other long, full binary")
+
+
+def dealt_cells(sets: DataFrame, bucket: str) -> DataFrame:
+    """`sets` with the `cell` of its bucket that each goes to, by its digest; buckets are at most `HOT` for each least hash."""
+    cells = sets.groupBy(bucket).agg(F.ceil(F.count_distinct("sig") / CELL).alias("cells"))
+    return sets.join(F.broadcast(cells), bucket).withColumn(
+        "cell", F.xxhash64(bucket, F.pmod(F.xxhash64("sig", F.lit(bucket)), F.col("cells"))))
 
 
 def bound_groups(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -263,6 +274,17 @@ def dealt_pairs(pairs: DataFrame, at_once: int) -> tuple[DataFrame, DataFrame]:
     return pairs, wanted
 
 
+def may_be_among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """`rows` without most that are not in `keys`: a table of one bit per key hash, of at most `SLOTS` words, is broadcast.
+
+    An exact join has to follow. The more keys there are the more rows pass; all of `keys` pass always.
+    """
+    key = F.xxhash64(*columns)
+    place = [F.pmod(key, F.lit(SLOTS)).alias("_slot"), F.pmod(F.shiftrightunsigned(key, 40), F.lit(64)).cast("int").alias("_bit")]
+    words = keys.select(*place).groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_word"))
+    return rows.select("*", *place).join(F.broadcast(words), "_slot").where(F.getbit("_word", "_bit") == 1).drop("_slot", "_bit", "_word")
+
+
 def open_groups(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Edges from pairs of groups (`task`, `ga`, `gb`), given each task's `members` (`task, gid, sig, full`)."""
 
@@ -325,15 +347,15 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
     hot = {(r["turn"], r["least"]): r["size"] for r in hottest}
     front = settle(prefixes(source, words, percent, tokens, rank, hot), "prefixes")
 
-    before = spark.createDataFrame([], "a binary, b binary")
     if hot:
-        large = front.where(F.col("full").isNotNull()).select("sig", "full", *[F.col("leasts")[F.col(c)].alias(c) for c in ("turn", "other")])
-        for bucket in ("turn", "other"):
-            left = large.where(F.col(bucket).isNotNull()).join(before.select(F.col("a").alias("sig")), "sig", "left_anti")
-            cells = left.select(bucket, "sig").distinct().groupBy(bucket).agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
-            dealt = left.join(cells, bucket).select(
-                F.xxhash64(bucket, F.pmod(F.xxhash64("sig", F.lit(bucket)), F.col("cells"))).alias("cell"), "sig", "full")
-            before = settle(before.union(join_cells(dealt, percent)), "links")
+        turn, other = (F.xxhash64(c, F.col("leasts")[F.col(c)]) for c in ("turn", "other"))
+        large = front.where(F.col("full").isNotNull()).select(
+            "sig", "full", turn.alias("bucket"), F.when(F.col("other").isNotNull(), other).alias("other"))
+        first = settle(join_cells(dealt_cells(large, "bucket"), percent), "links")
+        again = first.where(F.col("b").isNull()).select(
+            F.col("a").alias("sig"), "full", F.col("other").alias("bucket"), F.lit(None).cast("long").alias("other"))
+        second = join_cells(dealt_cells(again, "bucket"), percent)
+        before = first.where(F.col("b").isNotNull()).select("a", "b").union(second.select("a", "b"))
         known = connected(before).select(F.col("node").alias("sig"), F.col("root").alias("comp"))
     else:
         known = spark.createDataFrame([], "sig binary, comp binary")
@@ -388,9 +410,10 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
     wanted = bounded.where(F.col("gid").isNotNull()).select("task", "gid", "sig")
     needed = wanted.select("gid", "sig").distinct()
     spoken = rows.where(F.col("n") > 0).groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("sig", "r.*")
-    named = spoken.join(needed, "sig")
-    same = source["doc_id"].eqNullSafe(named["doc_id"]) & (source["text_hash"] == named["text_hash"])
-    fetched = source.join(named, same).select("gid", "sig", "text")
+    named = settle(spoken.join(needed, "sig").select("gid", "sig", "doc_id", "text_hash"), "named")
+    near = may_be_among(source, named, ["doc_id", "text_hash"])
+    same = near["doc_id"].eqNullSafe(named["doc_id"]) & (near["text_hash"] == named["text_hash"])
+    fetched = near.join(named, same).select("gid", "sig", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()  # repeated rows meet in one task
