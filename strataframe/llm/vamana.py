@@ -19,6 +19,7 @@ from strataframe.session import settle
 DEGREE, BEAM, AT_ONCE, ALPHA = 24, 48, 4, 1.2
 SHARD_ROWS, QUERY_BLOCK, BATCH = 4096, 512, 512
 SEARCH_BEAM = 80
+ENTRIES = 8  # nearest starting points that a search begins with
 
 
 def distances(points: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -27,20 +28,35 @@ def distances(points: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.nd
     return np.einsum("bkd,bkd->bk", gap, gap)
 
 
-def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def spread(points: np.ndarray) -> np.ndarray:
+    """Starting points: the one nearest to the mean, then always the one farthest from those taken, twice the root of all."""
+    taken = [int((points**2).sum(axis=1).argmin())]
+    gap = ((points - points[taken[0]]) ** 2).sum(axis=1)
+    while len(taken) < 2 * np.sqrt(len(points)) and gap.max() > 0:
+        taken.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((points - points[taken[-1]]) ** 2).sum(axis=1))
+    return np.array(taken)
+
+
+def beam_search(points: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the ids and squared distances of the best points met, nearest first; -1 fills up.
 
-    All queries go on together: each opens its nearest unopened points until its beam holds opened ones only.
+    A query begins with its nearest starting points. All queries go on together: each opens its nearest unopened points until
+    its beam holds opened ones only.
     """
     n, b = len(points), len(queries)
     met = np.zeros((b, n + 1), dtype=bool)
     met[:, n] = True
     ids = np.full((b, beam), n)
     gaps = np.full((b, beam), np.inf, dtype=points.dtype)
-    ids[:, 0], gaps[:, 0] = start, distances(points, np.full((b, 1), start), queries)[:, 0]
-    met[:, start] = True
+    all_starts = np.broadcast_to(starts, (b, len(starts)))
+    far = distances(points, all_starts, queries)
+    first = np.argsort(far, axis=1, kind="stable")[:, :ENTRIES]
+    m = first.shape[1]
+    ids[:, :m], gaps[:, :m] = starts[first], np.take_along_axis(far, first, axis=1)
+    met[np.arange(b)[:, None], ids[:, :m]] = True
     opened = np.ones((b, beam), dtype=bool)
-    opened[:, 0] = False
+    opened[:, :m] = False
     live = np.arange(b)
     while len(live):
         waiting = np.where(opened[live], np.inf, gaps[live])
@@ -78,7 +94,7 @@ def prune(points: np.ndarray, own: np.ndarray, ids: np.ndarray, alpha: float, de
     gaps[ids < 0] = np.inf
     order = np.argsort(gaps, axis=1, kind="stable")[:, : 4 * degree]
     ids, gaps = np.take_along_axis(ids, order, axis=1), np.take_along_axis(gaps, order, axis=1)
-    some = points[np.maximum(ids, 0)]
+    some = points[np.maximum(ids, 0)] - points[own][:, None, :]  # near its point: products lose no digits of close neighbours
     size = np.einsum("bkd,bkd->bk", some, some)
     between = size[:, :, None] + size[:, None, :] - 2 * some @ some.transpose(0, 2, 1)
     left = ids >= 0
@@ -95,19 +111,24 @@ def prune(points: np.ndarray, own: np.ndarray, ids: np.ndarray, alpha: float, de
     return out
 
 
-def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 11) -> tuple[np.ndarray, int]:
-    """Neighbours of each point (n x degree, n fills up; one more row for the filler) and the point to start from."""
+def centred(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """`others` seen from the mean of `points`: keeps all digits of distances for clouds far from the origin."""
+    return others - points.mean(axis=0)
+
+
+def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of each centred point (n x degree, n fills up; one more row for the filler) and the points to start from."""
     n = len(points)
     rng = np.random.default_rng(seed)
     graph = np.full((n + 1, degree), n)
     if n > 1:
         graph[:n, : min(degree, n - 1)] = rng.integers(0, n, (n, min(degree, n - 1)))
-    start = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
+    starts = spread(points)
     for alpha in (1.0, ALPHA):
         order = rng.permutation(n)
         for s in range(0, n, BATCH):
             own = order[s : s + BATCH]
-            found, _ = beam_search(points, graph, start, points[own], beam)
+            found, _ = beam_search(points, graph, starts, points[own], beam)
             old = np.where(graph[own] == n, -1, graph[own])
             graph[own] = prune(points, own, np.concatenate((found, old), axis=1), alpha, degree)
             source, target = np.repeat(own, degree), graph[own].ravel()
@@ -123,7 +144,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed
                 h = heads[t : t + BATCH]
                 old = np.where(graph[h] == n, -1, graph[h])
                 graph[h] = prune(points, h, np.concatenate((old, more[t : t + BATCH]), axis=1), alpha, degree)
-    return graph, start
+    return graph, starts
 
 
 def usable(vector: Column) -> Column:
@@ -147,21 +168,21 @@ def distinct_points(vectors: DataFrame, keep: int, vec_id: str = "vec_id", vecto
 
 
 def build_index(points: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per shard: `dim, shard`, its points' ids, vectors, graph and start, written to the shared folder."""
+    """One row per shard: `dim, shard`, its points' ids, vectors, graph and starts, written to the shared folder."""
     sizes = points.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
     dealt = points.join(sizes, "dim").select("dim", F.pmod(F.xxhash64("point"), F.col("shards")).alias("shard"), "point", "v")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("point")
         v = np.stack(g["v"].to_numpy())
-        graph, start = build_graph(v.astype(np.float32))
-        return pd.DataFrame({"dim": [int(g["dim"].iloc[0])], "shard": [int(g["shard"].iloc[0])], "n": [len(g)], "start": [start],
+        graph, starts = build_graph(centred(v, v))
+        return pd.DataFrame({"dim": [int(g["dim"].iloc[0])], "shard": [int(g["shard"].iloc[0])], "n": [len(g)], "starts": [starts.astype("<i4").tobytes()],
                              "ids": [g["point"].to_numpy().astype("<i8").tobytes()], "vectors": [v.astype("<f8").tobytes()],
                              "graph": [graph.astype("<i4").tobytes()]})
 
     tasks = sizes.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]  # a shard is much work on few bytes: no merging of tasks
     made = dealt.repartition(int(tasks), "dim", "shard").groupBy("dim", "shard").applyInPandas(
-        run, "dim int, shard long, n int, start int, ids binary, vectors binary, graph binary")
+        run, "dim int, shard long, n int, starts binary, ids binary, vectors binary, graph binary")
     return settle(made, "vamana")
 
 
@@ -176,7 +197,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
         "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"),
         F.pmod(F.xxhash64("q"), F.col("blocks")).alias("block"), "q", "v")
     offered = index.join(many, "dim").select(
-        "dim", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "n", "start", "ids",
+        "dim", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "n", "starts", "ids",
         "vectors", "graph")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -188,7 +209,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
         exact = np.frombuffer(r["vectors"], "<f8").reshape(n, -1)
         ids, graph = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["graph"], "<i4").reshape(n + 1, -1).astype(np.int64)
         asked_for = np.stack(right["v"].to_numpy())
-        found, _ = beam_search(exact.astype(np.float32), graph, int(r["start"]), asked_for.astype(np.float32), max(beam, 2 * k))
+        starts = np.frombuffer(r["starts"], "<i4").astype(np.int64)
+        found, _ = beam_search(centred(exact, exact), graph, starts, centred(exact, asked_for), max(beam, 2 * k))
         gap = np.sqrt(((exact[np.maximum(found, 0)] - asked_for[:, None, :]) ** 2).sum(axis=2))
         gap[found < 0] = np.inf
         point = np.where(found < 0, np.iinfo(np.int64).max, ids[np.maximum(found, 0)])
@@ -206,7 +228,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
 
     `is_query` is a condition on the column `vec_id`. A row is never its own neighbour; ties go to the smaller id. Rows
     with a null id or an unusable vector take no part. Vectors of different lengths are never neighbours. A repeated id
-    with one vector is one row. Other columns are ignored; an empty table gives an empty frame.
+    with one vector is one row. Other columns are ignored; an empty table gives an empty frame. All is double precision, from
+    the mean of a shard, so scale and place of the vectors do not matter as long as squared distances are finite.
     """
     points = settle(distinct_points(vectors, k + 1, vec_id, vector), "points")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(

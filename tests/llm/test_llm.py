@@ -273,6 +273,34 @@ def test_nearest_recall_and_edges(spark):
     assert vamana.nearest(frame(spark, [], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["plain", "large", "small", "shifted", "clusters"])
+def test_graph_search_on_odd_clouds(kind):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(1500, 16))
+    if kind == "clusters":
+        points = np.repeat(rng.normal(size=(50, 16)) * 1e4, 30, axis=0) + rng.normal(size=(1500, 16)) * 1e-2
+    points = {"large": points * 1e20, "small": points * 1e-25, "shifted": points + 1e6}.get(kind, points)
+    seen = vamana.centred(points, points)
+    graph, starts = vamana.build_graph(seen)
+    asked = np.arange(0, 1500, 10)
+    found, _ = vamana.beam_search(seen, graph, starts, seen[asked], vamana.SEARCH_BEAM)
+    hits = 0
+    for q, row in zip(asked, found):
+        want = np.argsort(((points - points[q]) ** 2).sum(axis=1), kind="stable")[:11]
+        hits += len(set(want) & set(row[:11]))
+    assert hits / (11 * len(asked)) >= 0.95
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<p data-x=it's>First</p><p>Second para that's long</p><p>Third</p>", "First Second para that's long Third"),
+    ("<p data-x=it's>First</p><p>Second</p>", "First Second"), ("<p title='a > b' x=\"c>d\">One</p>", "One"),
+    ("<p>a</p><script src=\"a\"/>var a=1;</script><p>b</p>", "a b"), ("<p>a</p><!--><p>b</p>", "a b"),
+    ("<p>a</p><!---><p>b</p>", "a b"), ("<p>a</p><!-- x --!><p>b</p>", "a b"), ("<p>a <b class=x/>c</b></p>", "a c"),
+    ("<p>a</p><script>for(i=0;i<n;i++){}</script><p>b</p>", "a b"), ("<p>a</p><br/><p>1 < 2</p>", "a 1 < 2")])
+def test_tokens_follow_the_rules_of_html(page, want):
+    assert wrappers.extract(page) == want
+
+
 def test_wrappers(spark):
     def page(body):
         return f"<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div>{body}<footer>f</footer></body></html>"
