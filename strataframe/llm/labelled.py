@@ -16,8 +16,9 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, per
     """Texts, labels and weights of at most `per_class` rows of either class, the same rows on every run.
 
     Rows are taken in the order of a hash of their id. Texts over `most_bytes` are left to scoring, which reads every
-    text whole; that and `per_class` bound what reaches the driver. `allowed` is a condition on the column `doc_id` of the
-    label rows. Weights restore the share of each class in the labels. Conflicting labels of one id are both used.
+    text whole; that and `per_class` bound what reaches the driver. An id that several documents share brings its least
+    text. `allowed` is a condition on the column `doc_id` of the label rows. Weights restore the share of each class in the
+    labels. Conflicting labels of one id are both used.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where(
         allowed & F.col("y").isin(0, 1))
@@ -28,9 +29,8 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, per
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(
         F.octet_length("text") <= most_bytes)
-    got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()  # at most 2 * per_class ids
-    got.sort(key=lambda r: (r["doc_id"], r["y"], r["text"]))
-    got = got[: 4 * per_class]  # a repeated id may bring more rows than were picked
+    one = texts.join(F.broadcast(picked.distinct()), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = sorted(one.collect(), key=lambda r: (r["doc_id"], r["y"]))  # at most 2 * per_class rows
     n = {y: sum(r["y"] == y for r in got) for y in (0, 1)}
     weight = {y: totals.get(y, 0) / n[y] * len(got) / max(1, sum(totals.values())) if n[y] else 0.0 for y in (0, 1)}
     return [r["text"] for r in got], [r["y"] for r in got], [weight[r["y"]] for r in got]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strataframe.llm import (
-    bpe, bytecnn, chat, idstore, matroska, packing, queries, shingles, tokengroups, toxicity, vamana, wrappers)
+    bpe, bytecnn, chat, idstore, labelled, matroska, packing, queries, shingles, tokengroups, toxicity, vamana, wrappers)
 from strataframe.llm.chunked import ChunkEncoder
 from strataframe.session import fresh_path
 
@@ -431,7 +431,8 @@ def test_classifiers_take_odd_rows(spark):
         rows = module.score_documents(docs, model).collect()
         assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 for r in rows)
         assert module.score_documents(frame(spark, []), model).collect() == []
-    shouted = toxicity.label_model(np.array([[1, 1, 1]] * 5 + [[0, -1, 0]] * 20), np.ones(25))
+    votes = np.array([[1, 1, 1]] * 5 + [[0, toxicity.ABSTAINS, 0]] * 20)
+    shouted = toxicity.label_model(votes, np.ones(25)).posterior(votes)
     assert shouted[:5].min() > 0.8 and shouted[5:].max() < 0.2
 
 
@@ -461,3 +462,59 @@ def test_pipeline(spark):
     assert out.columns == few.columns
     assert sorted(map(lambda r: (r["doc_id"] or 0, r["text"]), out.collect()), key=str) == sorted(
         [(1, "a b c d e f"), (3, None), (0, "x y"), (4, "")], key=str)
+
+
+def planted_votes(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Voters of known accuracy that are silent on a third of the texts; the last repeats the one before it, mostly."""
+    rng = np.random.default_rng(seed)
+    y, right = (rng.random(n) < 0.3).astype(int), [0.92, 0.85, 0.8, 0.75, 0.7, 0.65]
+    votes = np.array([np.where(rng.random(n) < 1 / 3, toxicity.ABSTAINS, np.where(rng.random(n) < r, y, 1 - y)) for r in right])
+    echo = np.where(rng.random(n) < 0.9, votes[-1], rng.integers(0, 3, n))
+    return y, np.vstack([votes, echo]).T, right
+
+
+def test_label_model_finds_planted_accuracies_and_the_echo():
+    y, votes, right = planted_votes(8000, 5)
+    model = toxicity.label_model(votes, np.ones(len(y)))
+    assert np.abs(model.accuracy(votes, np.ones(len(y)))[:, :-1] - right).max() < 0.06
+    assert abs(model.prior - 0.3) < 0.04
+    assert model.parent[-1] == len(right) - 1 or model.parent[-2] == len(right)
+    assert (model.parent[: len(right) - 1] == -1).all()
+    post = model.posterior(votes)
+    wrong = ((post > 0.5) != y).mean()
+    assert wrong < min((np.where(v == toxicity.ABSTAINS, 0, v) != y).mean() for v in votes.T)
+
+
+def test_posterior_without_the_label_beats_every_voter():
+    import duckdb
+
+    folder = SF.replace("0.001", "0.01")
+    rows = duckdb.sql(f"""SELECT text, toxic FROM '{folder}/labels.parquet' JOIN '{folder}/documents.parquet' USING (doc_id)
+        WHERE text IS NOT NULL AND toxic IS NOT NULL ORDER BY doc_id""").fetchall()
+    texts, y = [r[0] for r in rows], np.array([r[1] for r in rows])
+    names, shown = toxicity.indexed(texts, y)
+    votes = toxicity.ballots(texts, names, shown, toxicity.voting(names, shown, y), y)
+    last = votes.shape[1] - 1
+    assert (votes[:, -2 - len(toxicity.PATTERNS):-2] == 1).any(axis=0).sum() >= 2  # patterns vote on real rows
+    post = toxicity.label_model(votes, np.ones(len(y)), apart=(last,)).posterior(votes, np.arange(last))
+    best = min(((votes[:, j] == 1) != y).sum() for j in range(last))
+    assert ((post > 0.5) != y).sum() < best
+
+
+def test_toxicity_scores_equal_a_plain_scorer():
+    rng = np.random.default_rng(3)
+    words = ["trash", "trashy", "stupid", "stupidity", "well", "Idiot", "réeux", "réeuxment", "a1b", "don't"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 12))) for _ in range(300)] + [None, "", LONG]
+    model = toxicity.Classifier({" trash ": 2.0, " stup": 1.5, " stupid ": -0.5, " idiot ": 3.0, " réeux": 0.7, " trash": -0.2}, -1.0)
+    plain = []
+    for t in texts:
+        keys = toxicity.keys_of(toxicity.words_of(t or ""))
+        plain.append(1 / (1 + np.exp(-(sum(w for k, w in model.weight.items() if k in keys) + model.shift))))
+    assert np.allclose(toxicity.score(model, model.automaton(), texts), plain)
+
+
+def test_sample_takes_one_text_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i:04d}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    texts, ys, _ = labelled.sample(docs, labels, "quality", F.lit(True), 10)
+    assert (texts, ys) == (["text 0000", "other"], [1, 0])
