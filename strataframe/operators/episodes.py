@@ -1,26 +1,58 @@
 """Rule episodes and cooldowns: a crossing opens an episode that claims what follows, so it cannot reopen at once.
 
-Claiming is sequential: whether a crossing opens depends on the claim before it. Three steps keep it parallel and
-exact. Rows below the threshold are dropped first. Crossings further apart than the longest claim are independent, so
-each key is cut into islands at such gaps. An island over the hot limit is cut further into blocks: every block first
-reports where a claim entering it would leave it, these short reports are walked once per island, and then all blocks
-run in parallel with their true entry.
+Whether a crossing opens depends on the claim before it: the open ones are a chain, each the first at or after the end of
+the claim before. Rows below the threshold are dropped first, and each key is cut into islands at gaps that no claim spans.
+Chains are followed by pointer doubling, in numpy over the rows of a batch. An island over the hot limit is cut into blocks
+of that many rows: every block reports where a chain that reaches one of its rows leaves it, the places where chains can
+enter blocks are joined up by pointer doubling over tables, and then all blocks run in parallel with their true entry. No
+task holds more than a block.
 """
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataframe.operators.joins import asof_join
 from strataframe.operators.series import has_hot_key, hot_limit, join_keyed, position
 from strataframe.operators.windows import islands
+from strataframe.session import settle
 
 NEVER = float("-inf")
 
 
+def _opened(new: np.ndarray, at: np.ndarray, length: np.ndarray, entry: np.ndarray, until: float) -> tuple[np.ndarray, float]:
+    """Which rows of a batch open, and the end of the last claim. Rows are in order of group and time; `new` marks the first
+    row of a group, `entry` the time from which a new group may open, `until` that of a group begun in an earlier batch.
+
+    Rows without a time open nothing.
+    """
+    bound = np.concatenate([[until], entry[new]])
+    fine = np.flatnonzero(~np.isnan(at))
+    group, ends = np.cumsum(new)[fine], (at + length)[fine]
+    n, m = len(fine), len(new)
+    values, rank = np.unique(np.concatenate([at[fine], ends, bound]), return_inverse=True)
+    place = group * len(values) + rank[:n]  # ascending
+    first = np.searchsorted(place, np.arange(len(bound)) * len(values) + rank[2 * n:])
+    jump = np.maximum(np.searchsorted(place, group * len(values) + rank[n: 2 * n]), np.arange(n) + 1)
+    within = np.append(group, -1)  # a chain ends with its group
+    jump = np.append(np.where(within[jump] == group, jump, n), n)
+    mark = np.zeros(n + 1, dtype=bool)
+    mark[first[within[first] == np.arange(len(bound))]] = True
+    while (jump < n).any():
+        mark[jump[mark]] = True
+        jump = jump[jump]
+    chosen = np.flatnonzero(mark[:n])
+    opened = np.zeros(m, dtype=bool)
+    opened[fine[chosen]] = True
+    own = len(bound) - 1
+    if len(chosen) and group[chosen[-1]] == own:
+        return opened, ends[chosen[-1]]
+    return opened, bound[own]
+
+
 def _with_opens(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """One streaming pass per partition over rows sorted by group and time; state is the end of the last claim.
 
@@ -33,53 +65,56 @@ def _with_opens(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     def run(batches):
         until = NEVER
         for pdf in batches:
-            opened = []
-            for new, at, length, entry in zip(pdf["_first"], pdf["_at"], pdf["_len"], pdf["_entry"]):
-                if new:
-                    until = entry
-                opened.append(bool(at >= until))
-                if opened[-1]:
-                    until = at + length
-            yield pdf.assign(opened=opened)
+            if len(pdf):
+                at, length, entry = (pdf[c].to_numpy(dtype="float64", na_value=np.nan) for c in ("_at", "_len", "_entry"))
+                opened, until = _opened(pdf["_first"].to_numpy(dtype=bool), at, length, entry, until)
+                yield pdf.assign(opened=opened)
 
     schema = marked.select("*", F.lit(True).alias("opened")).schema
     return marked.mapInPandas(run, schema).select(*cols, "opened")
 
 
-def _exits(df: DataFrame, block: list[str], longest: float) -> DataFrame:
-    """Per block, for each crossing a claim from before could hand over to: the end of the claim leaving the block."""
-    schema = df.select(*block, F.col("_at").alias("_in"), F.col("_at").alias("_out"), F.lit(0.0).alias("_first")).schema
+def _exits(df: DataFrame, block: list[str]) -> DataFrame:
+    """Per row the end of the last claim in its block of a chain through the row."""
+    schema = df.select(*block, "_pos", F.col("_at").alias("_out")).schema
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at", kind="stable")
-        at, ends = pdf["_at"].tolist(), (pdf["_at"] + pdf["_len"]).tolist()
-        out = [0.0] * len(at)
-        for i in range(len(at) - 1, -1, -1):
-            j = bisect.bisect_left(at, ends[i])
-            out[i] = ends[i] if j >= len(at) else out[max(j, i + 1)]
-        near = sum(1 for t in at if t < at[0] + longest)
-        rows = [(*key, at[i], out[i], at[0]) for i in range(max(near, 1))]
-        return pd.DataFrame(rows, columns=[*block, "_in", "_out", "_first"])
+        pdf = pdf.sort_values("_pos")
+        at = pdf["_at"].to_numpy(dtype="float64", na_value=np.nan)
+        ends, own = at + pdf["_len"].to_numpy(dtype="float64", na_value=np.nan), np.arange(len(at))
+        jump = np.maximum(np.searchsorted(at, ends), own + 1)
+        jump = np.where(jump < len(at), jump, own)
+        while (jump[jump] != jump).any():
+            jump = jump[jump]
+        return pdf.assign(_out=ends[jump])[[*block, "_pos", "_out"]]
 
     return df.groupBy(*block).applyInPandas(run, schema)
 
 
-def _entries(exits: DataFrame, island: list[str], block: list[str]) -> DataFrame:
-    """Walk the blocks of an island in order, looking each entry up among the crossings reported."""
-    schema = exits.select(*block, F.lit(0.0).alias("_entry")).schema
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        until, rows = NEVER, []
-        for blk, part in pdf.groupby(block[-1], sort=True):
-            part = part.sort_values("_in", kind="stable")
-            rows.append((*key, blk, until))
-            ins = part["_in"].tolist()
-            i = bisect.bisect_left(ins, until)
-            if i < len(ins):
-                until = part["_out"].iloc[i]
-        return pd.DataFrame(rows, columns=[*block, "_entry"])
+def _entries(cut: DataFrame, island: list[str], limit: float) -> DataFrame:
+    """(island, _blk, _entry): the time of the row at which the chain from the island's first row enters a later block.
 
-    return exits.groupBy(*island).applyInPandas(run, schema)
+    Exits are few, as chains that meet stay together. The exit that follows each exit is known from the row it leads to; the
+    exits on the chain from the first row are found in as many rounds as the number of blocks has binary digits.
+    """
+    rows = join_keyed(cut.where(F.col("_at").isNotNull()), cut.where("_blk = 1").select(*island).distinct(), island, "inner")
+    exits = settle(_exits(rows.select(*island, "_blk", "_pos", "_at", "_len"), [*island, "_blk"]), "exits")
+    places = rows.select(*island, F.col("_at").alias("_to_at"), F.col("_pos").alias("_to"), F.col("_blk").alias("_to_blk"))
+    led = asof_join(exits.select(*island, "_out").distinct(), places.withColumn("_when", F.col("_to_at")), island, "_out",
+                    "_when", ["_to", "_to_blk", "_to_at"], "forward", limit=limit)
+    after = exits.select(*island, F.col("_pos").alias("_to"), F.col("_out").alias("_next"))
+    step = settle(join_keyed(led, after, [*island, "_to"], "inner"), "steps")
+    jump = step.select(*island, "_out", "_next")
+    roots = exits.groupBy(*island).agg(F.min_by("_out", "_pos").alias("_out"))
+    chain, blocks = roots, (exits.agg(F.max("_blk")).first()[0] or 0) + 1
+    for _ in range(int(blocks).bit_length()):
+        reached = join_keyed(chain, jump, [*island, "_out"], "inner").select(*island, F.col("_next").alias("_out"))
+        chain = settle(chain.unionByName(reached).distinct(), "chain")
+        second = jump.select(*island, F.col("_out").alias("_next"), F.col("_next").alias("_far"))
+        jump = settle(join_keyed(jump, second, [*island, "_next"], "inner").select(
+            *island, "_out", F.col("_far").alias("_next")), "jumps")
+    on = join_keyed(step, chain, [*island, "_out"], "inner")
+    return on.select(*island, F.col("_to_blk").alias("_blk"), F.col("_to_at").alias("_entry"))
 
 
 def claim(df: DataFrame, by: list[str], at: str, length, tie: list[str], longest: float,
@@ -99,9 +134,11 @@ def claim(df: DataFrame, by: list[str], at: str, length, tie: list[str], longest
         out = _with_opens(isl.withColumn("_entry", F.lit(NEVER)), group, order)
         return out.drop("_at", "_len", "_entry", "_isl")
     cut = position(isl, group, order, "_pos").withColumn("_blk", F.floor((F.col("_pos") - 1) / limit))
+    cut = settle(cut, "blocks")  # rows that tie on all of the order keep their numbers
     block = [*group, "_blk"]
-    entries = _entries(_exits(cut.select(*block, "_at", "_len"), block, longest), group, block)
-    out = _with_opens(join_keyed(cut, entries, block), block, order)
+    entered = join_keyed(cut, _entries(cut, group, limit), block)
+    first = F.when(F.col("_blk") == 0, NEVER).otherwise(-NEVER)  # a block that no chain enters opens nothing
+    out = _with_opens(entered.withColumn("_entry", F.coalesce("_entry", first)), block, ["_pos"])
     return out.drop("_at", "_len", "_entry", "_isl", "_pos", "_blk")
 
 

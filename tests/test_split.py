@@ -1,5 +1,6 @@
 """Keys over the hot limit take another path; results must not change."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,25 @@ def test_claims_of_a_null_key_are_one_key(spark):
         assert rows(claim(src, ["k"], "at", 5.0, ["id"], 5.0, lim)) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("spread, longest", [(1, 3), (3, 60), (2, 400), (50, 49)])
+def test_claims_of_one_dense_island_in_many_blocks(spark, spread, longest):
+    """400 rows without a gap that no claim spans, in blocks of 20, with claims from shorter than a block to all rows."""
+    draws = np.random.default_rng(spread * longest)
+    at = np.cumsum(draws.integers(0, spread + 1, 400)).astype(float)
+    src = spark.createDataFrame([("k", float(t), i, float(draws.integers(1, longest + 1))) for i, t in enumerate(at)]
+                                + [("k", None, 1000, 2.0), (None, 1.0, 1001, 5.0), (None, 2.0, 1002, 5.0)],
+                                "k string, at double, id long, hold double")
+    want, until = [], {}
+    for k, t, i, h in sorted(map(tuple, src.collect()), key=lambda r: (r[0] or "", -1 if r[1] is None else r[1], r[2])):
+        opened = t is not None and t >= until.get(k, float("-inf"))
+        if opened:
+            until[k] = t + h
+        want.append((k, t, i, h, opened))
+    for lim in (20, S.NEVER_HOT):
+        got = claim(src, ["k"], "at", F.col("hold"), ["id"], longest + spread, lim)
+        assert rows(got) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("k", [1, 3, 7])
 def test_greedy_folds_against_a_walk_over_all_groups(spark, k):
     from strataframe.ml.folds import fold_of_groups
