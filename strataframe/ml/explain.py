@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,31 +79,49 @@ def explain_boosted(df: DataFrame, model, features: list[str], keep: list[str],
     The ensemble is a fixed number of small trees; its node table is shared with the tasks and rows are walked in
     Arrow batches.
     """
-    nodes = tree_nodes(df.sparkSession, model).collect()
-    weights = list(model.treeWeights)
     trees: dict[int, dict] = {}
-    for r in nodes:
-        trees.setdefault(r["tree"], {})[r["id"]] = r
-    shared = df.sparkSession.sparkContext.broadcast(
-        {t: {i: (r["feature"], r["threshold"], r["left"], r["right"], r["prediction"], r["n"]) for i, r in ns.items()}
-         for t, ns in trees.items()})
+    for r in tree_nodes(df.sparkSession, model).collect():
+        trees.setdefault(int(r["tree"]), {})[r["id"]] = r
+    packed = []
+    for t, ns in sorted(trees.items()):
+        size = max(ns) + 1
+        table = {c: np.zeros(size, dtype=d) for c, d in
+                 (("feature", "i8"), ("threshold", "f8"), ("left", "i8"), ("right", "i8"), ("prediction", "f8"), ("n", "i8"))}
+        for i, r in ns.items():
+            for c in table:
+                table[c][i] = r[c]
+        packed.append((t, float(model.treeWeights[t]), table))
+    shared = df.sparkSession.sparkContext.broadcast(packed)
     out = "array<struct<tree:int,contribution:double,samples:bigint,path:string>>"
 
+    def told_path(table: dict, x: np.ndarray) -> tuple[int, str]:
+        i, path = 0, []
+        while table["feature"][i] >= 0:
+            f, at = table["feature"][i], table["threshold"][i]
+            down = x[f] <= at
+            path.append(f"{features[f]} {'<=' if down else '>'} {at:.6g}")
+            i = table["left"][i] if down else table["right"][i]
+        return int(table["n"][i]), " AND ".join(path)
+
     @F.pandas_udf(out)
     def walk(*cols: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype="float64") for c in cols])
+        every = np.arange(len(x))
+        moved = np.empty((len(x), len(shared.value)))
+        for k, (_, weight, table) in enumerate(shared.value):  # all rows of the batch go down a tree together
+            at = np.zeros(len(x), dtype=np.int64)
+            while (inner := table["feature"][at] >= 0).any():
+                down = x[every, np.maximum(table["feature"][at], 0)] <= table["threshold"][at]
+                at = np.where(inner, np.where(down, table["left"][at], table["right"][at]), at)
+            moved[:, k] = np.round(weight * table["prediction"][at], 5)
+        first = np.argsort(-np.abs(moved), axis=1, kind="stable")[:, :top]  # equal moves: the earlier tree
         rows = []
-        for x in zip(*cols):
-            moved = []
-            for t, ns in shared.value.items():
-                i, path = 0, []
-                while ns[i][0] >= 0:
-                    f, at, left, right, _, _ = ns[i]
-                    down = x[f] <= at
-                    path.append(f"{features[f]} {'<=' if down else '>'} {at:.6g}")
-                    i = left if down else right
-                moved.append({"tree": int(t) + 1, "contribution": round(weights[t] * ns[i][4], 5), "samples": ns[i][5],
-                              "path": " AND ".join(path)})
-            rows.append(sorted(moved, key=lambda m: (-abs(m["contribution"]), m["tree"]))[:top])
+        for i, chosen in enumerate(first):  # paths of the kept trees only
+            kept = []
+            for k in chosen:
+                samples, path = told_path(shared.value[k][2], x[i])
+                kept.append({"tree": shared.value[k][0] + 1, "contribution": float(moved[i, k]), "samples": samples, "path": path})
+            rows.append(kept)
         return pd.Series(rows)
 
     told = df.withColumn("_w", walk(*[F.coalesce(finite(f), F.lit(0.0)) for f in features]))

@@ -176,6 +176,65 @@ def band_totals(
     return out.select("_p.*", *counts)
 
 
+def band_extremes(
+    points: DataFrame,
+    events: DataFrame,
+    by: list[str],
+    point: str,
+    at: str,
+    below: float,
+    above: float,
+    least: dict[str, Column] | None = None,
+    most: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Per point, minima (`least`) and maxima (`most`) of event columns with `point - below <= at <= point + above`.
+
+    The axis is cut into blocks a touch narrower than the band. A band then is the end of one block, from its lower limit on,
+    and the beginnings of the next two up to its upper limit; running extremes from either end of each block answer all
+    three, so dense bands cost no pairs. Empty bands give nulls. `points` must hold no duplicate rows.
+    """
+    least, most = least or {}, most or {}
+    width = float(below + above) * (1 - 2.0**-20)
+    if width <= 0:
+        raise ValueError("a band needs a width")
+    kinds = {**{o: "min" for o in least}, **{o: "max" for o in most}}
+    none = [F.lit(None).cast(events.select(c).schema[0].dataType).alias(f"_e_{o}") for o, c in {**least, **most}.items()]
+    low, high = F.col(point) - below, F.col(point) + above
+    block = F.floor(low / width)
+    row = F.struct(*points.columns).alias("_p")
+    place = F.col(at).cast("double")
+    ev = events.where(F.col(at).isNotNull()).select(
+        *by, F.floor((F.col(at)) / width).alias("_blk"), place.alias("_at"), F.lit(0).alias("_side"),
+        *[c.alias(f"_e_{o}") for o, c in {**least, **most}.items()])
+    found = []
+    for blocks, limit_at, order in ((F.array(block), low, ["-_at", "_side"]),
+                                    (F.array(block + 1, block + 2), high, ["_at", "_side"])):
+        ask = points.select(*by, F.explode(blocks).alias("_blk"), limit_at.cast("double").alias("_at"), F.lit(1).alias("_side"),
+                            *none, row)
+        axis = ask.unionByName(ev, allowMissingColumns=True)
+        run = running(axis, [*by, "_blk"], order, {o: (k, F.col(f"_e_{o}")) for o, k in kinds.items()})
+        found.append(run.where(F.col("_p").isNotNull()).select("_p", *kinds))
+    # A point without a place asks nothing above: its own row keeps it in the result.
+    own = points.select(row, *[c.alias(o) for o, c in zip(kinds, none)])
+    out = own.unionByName(found[0]).unionByName(found[1]).groupBy("_p").agg(
+        *[(F.min if k == "min" else F.max)(o).alias(o) for o, k in kinds.items()])
+    return out.select("_p.*", *kinds)
+
+
+def band_nearest(points: DataFrame, events: DataFrame, by: list[str], point: str, at: str, below: float, above: float,
+                 out: str = "nearest") -> DataFrame:
+    """Points with the distance of the nearest event in `point - below <= at <= point + above`, null when there is none.
+
+    The nearest event is the last before or the first after the point: two as-of passes, no pairs.
+    """
+    seen = asof_join(points, events.select(*by, F.col(at).alias("_before")), by, point, "_before", ["_before"])
+    seen = asof_join(seen, events.select(*by, F.col(at).alias("_after")), by, point, "_after", ["_after"], "forward")
+    back, ahead = F.abs(F.col("_before") - F.col(point)), F.abs(F.col("_after") - F.col(point))
+    back = F.when(F.col("_before") >= F.col(point) - below, back)
+    ahead = F.when(F.col("_after") <= F.col(point) + above, ahead)
+    return seen.withColumn(out, F.least(back, ahead)).drop("_before", "_after")
+
+
 def nearest_events(
     points: DataFrame,
     events: DataFrame,
@@ -190,14 +249,11 @@ def nearest_events(
 ) -> DataFrame:
     """Per point at least its k nearest events inside the band (callers rank them), with `offset_m` as the distance.
 
-    Ordinary keys use the band join. Where a key has more events than the hot limit, a band may hold far more events
-    than are wanted; there each point takes the k events on either side by their position in the key, so a point meets
-    2k events however dense they are. Events at one place are taken in `prefer` order (an order list).
+    Each point takes the k events on either side by their position in the key, so it meets 2k events however many the band
+    holds; the path is the same at every size. Events at one place are taken in `prefer` order (an order list). A null key
+    is a key.
     """
     limit = hot_limit(events) if limit is None else limit
-    if not has_hot_key(events, by, limit):
-        near = band_join(points, events, by, point, at, below, above)
-        return near.withColumn("offset_m", F.abs(F.col(at) - F.col(point)))
     axis = points.select(*by, F.col(point).cast("double").alias("_at"), F.lit(0).alias("_side"),
                          F.struct(*points.columns).alias("_p")).unionByName(
         events.select(*by, F.col(at).cast("double").alias("_at"), F.lit(1).alias("_side")), allowMissingColumns=True)
@@ -209,7 +265,7 @@ def nearest_events(
         seen = seen.where(F.col("_p").isNotNull()).select("_p.*", "_c")
         wanted = seen.withColumn("_n", F.explode(F.sequence(F.col("_c") + 1, F.col("_c") + k))).drop("_c")
         placed = position(events, by, [at if up else f"-{at}", *prefer], "_n", limit)
-        sides.append(wanted.join(placed, [*by, "_n"]).drop("_n"))
+        sides.append(join_keyed(wanted, placed, [*by, "_n"], "inner").drop("_n"))
     near = sides[0].unionByName(sides[1]).withColumn("offset_m", F.abs(F.col(at) - F.col(point)))
     return near.where(F.col(at).between(F.col(point) - below, F.col(point) + above))
 

@@ -95,9 +95,20 @@ def j8(spark, sf):
 def j9(spark, sf):
     s = series(spark, sf).select("well_id", "pos", "depth")
     ev = incidents(spark, sf).select("well_id", "start_md", "severity")
-    out = J.band_join(s, ev, ["well_id"], "depth", "start_md", 120, 160)
-    return out.groupBy("well_id", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("severity").alias("severity"),
-                                             F.min(F.abs(F.col("start_md") - F.col("depth"))).alias("nearest"))
+    sums = J.band_totals(s, ev, ["well_id"], "depth", "start_md", 120, 160, {"n": F.lit(1), "severity": F.col("severity")})
+    out = J.band_nearest(sums.where("n > 0"), ev, ["well_id"], "depth", "start_md", 120, 160)
+    return out.select("well_id", "pos", "n", "severity", "nearest")
+
+
+@query("j9_band_extremes", with_sql("series incidents", """SELECT s.well_id, s.pos, min(i.severity) AS mildest, max(i.severity) AS worst,
+ min(i.start_md) AS first_md, max(i.end_md) AS last_md FROM series s LEFT JOIN incidents i ON i.well_id=s.well_id
+ AND i.start_md BETWEEN s.depth - 120 AND s.depth + 160 GROUP BY s.well_id, s.pos"""))
+def j9_extremes(spark, sf):
+    s = series(spark, sf).select("well_id", "pos", "depth")
+    out = J.band_extremes(s, incidents(spark, sf), ["well_id"], "depth", "start_md", 120, 160,
+                          {"mildest": F.col("severity"), "first_md": F.col("start_md")},
+                          {"worst": F.col("severity"), "last_md": F.col("end_md")})
+    return out.drop("depth")
 
 
 @query("j10_label_windows", with_sql("series incidents", """SELECT s.well_id, s.pos FROM series s WHERE EXISTS (SELECT 1 FROM incidents i

@@ -171,3 +171,32 @@ def test_model_queries_run_the_defaults(spark, monkeypatch, name, calls):
     with pytest.raises(InterruptedError):
         QUERIES[name](spark, "")
     assert {k: seen[k] for k in calls} == calls
+
+
+def test_boosted_paths_against_a_walk_row_by_row(spark):
+    from pyspark.sql import functions as F
+
+    from strataframe.ml import explain as X
+    from strataframe.ml import models as MD
+
+    df = spark.range(400).select("id", *[F.pmod(F.hash("id", F.lit(i)), F.lit(100)).cast("double").alias(f"f{i}") for i in range(3)])
+    df = df.withColumn("label", ((F.col("f0") > 40) & (F.col("f1") < 70)).cast("int"))
+    names = ["f0", "f1", "f2"]
+    model = MD.fit_boosted(df, names, "label", rounds=6)
+    trees = {}
+    for r in MD.tree_nodes(spark, model).collect():
+        trees.setdefault(r["tree"], {})[r["id"]] = r
+    want = []
+    for row in df.collect():
+        moved = []
+        for t, ns in trees.items():
+            node, path = ns[0], []
+            while node["feature"] >= 0:
+                low = row[names[node["feature"]]] <= node["threshold"]
+                path.append(f"{names[node['feature']]} {'<=' if low else '>'} {node['threshold']:.6g}")
+                node = ns[node["left"] if low else node["right"]]
+            moved.append((t + 1, round(model.treeWeights[t] * node["prediction"], 5), node["n"], " AND ".join(path)))
+        moved.sort(key=lambda m: (-abs(m[1]), m[0]))
+        want += [(row["id"], i + 1, *m) for i, m in enumerate(moved[:4])]
+    got = [tuple(r) for r in X.explain_boosted(df, model, names, ["id"], 4).collect()]
+    assert sorted(got) == sorted(want)

@@ -209,3 +209,28 @@ def test_nearest_events_match_the_band_join(spark, skewed):
 
     a, b = both(fn)
     assert a == b and a
+
+
+@pytest.mark.parametrize("below, above", [(0, 30), (25, 25), (40, 7)])
+def test_band_extremes_and_nearest_match_pairs(spark, skewed, below, above):
+    """Dense bands, a null key, places without events, null places, and keys over the limit."""
+    pts = spark.range(300).select(
+        F.when(F.col("id") % 9 > 0, F.col("id") % 7).alias("k"), (F.col("id") * 1.5).alias("x"), "id").unionByName(
+        spark.createDataFrame([(0, None, 1000), (99, 5.0, 1001)], "k long, x double, id long"))
+    ev = skewed.select(F.when(F.col("k") != 3, F.col("k")).alias("k"), F.col("at").alias("e"), "v").unionByName(
+        spark.createDataFrame([(0, None, 1.0)], "k long, e double, v double"))
+    p, e = pts.collect(), ev.collect()
+    want, near = [], []
+    for r in p:
+        here = [q for q in e if q["k"] == r["k"] and r["x"] is not None and q["e"] is not None
+                and r["x"] - below <= q["e"] <= r["x"] + above]
+        vs = [q["v"] for q in here if q["v"] is not None]
+        want.append((*r, min(vs, default=None), max(vs, default=None)))
+        near.append((*r, min((abs(q["e"] - r["x"]) for q in here), default=None)))
+    spark.conf.set("spark.strataframe.hotRows", "100")
+    try:
+        got = J.band_extremes(pts, ev, ["k"], "x", "e", below, above, {"lo": F.col("v")}, {"hi": F.col("v")})
+        assert rows(got) == sorted(want, key=repr)
+        assert rows(J.band_nearest(pts, ev, ["k"], "x", "e", below, above)) == sorted(near, key=repr)
+    finally:
+        spark.conf.unset("spark.strataframe.hotRows")
