@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions.geo import RADIUS_KM, chord_km, haversine_km, unit_xyz
-from strataframe.operators.series import has_hot_key, hot_limit, join_keyed, position, running
+from strataframe.operators.series import checked_limit, has_hot_key, hot_limit, join_keyed, position, running
 
 
 def first_match_join(left: DataFrame, right: DataFrame, key: list[str], order: list[str], take: list[str],
@@ -225,10 +225,16 @@ def band_nearest(points: DataFrame, events: DataFrame, by: list[str], point: str
                  out: str = "nearest") -> DataFrame:
     """Points with the distance of the nearest event in `point - below <= at <= point + above`, null when there is none.
 
-    The nearest event is the last before or the first after the point: two as-of passes, no pairs.
+    The nearest event is the last before or the first after the point: one axis, one shuffle, a pass in either direction.
     """
-    seen = asof_join(points, events.select(*by, F.col(at).alias("_before")), by, point, "_before", ["_before"])
-    seen = asof_join(seen, events.select(*by, F.col(at).alias("_after")), by, point, "_after", ["_after"], "forward")
+    ev = events.where(F.col(at).isNotNull()).select(*by, F.col(at).cast("double").alias("_at"), F.lit(0).alias("_side"),
+                                                    F.col(at).alias("_e"))
+    axis = points.select(*by, F.col(point).cast("double").alias("_at"), F.lit(1).alias("_side"),
+                         F.struct(*points.columns).alias("_p")).unionByName(ev, allowMissingColumns=True)
+    limit = checked_limit(axis, by)
+    run = running(axis, by, ["_at", "_side"], {"_before": ("last", F.col("_e"))}, limit=limit)
+    run = running(run, by, ["-_at", "_side"], {"_after": ("last", F.col("_e"))}, limit=limit)
+    seen = run.where(F.col("_p").isNotNull()).select("_p.*", "_before", "_after")
     back, ahead = F.abs(F.col("_before") - F.col(point)), F.abs(F.col("_after") - F.col(point))
     back = F.when(F.col("_before") >= F.col(point) - below, back)
     ahead = F.when(F.col("_after") <= F.col(point) + above, ahead)
@@ -249,11 +255,15 @@ def nearest_events(
 ) -> DataFrame:
     """Per point at least its k nearest events inside the band (callers rank them), with `offset_m` as the distance.
 
-    Each point takes the k events on either side by their position in the key, so it meets 2k events however many the band
-    holds; the path is the same at every size. Events at one place are taken in `prefer` order (an order list). A null key
-    is a key.
+    Ordinary keys use the band join. Where a key has more events than the hot limit, a band may hold far more events than are
+    wanted; there each point takes the k events on either side by their position in the key, so a point meets 2k events
+    however dense they are. Both find the same k nearest. Events at one place are taken in `prefer` order (an order list).
+    A null key is a key.
     """
     limit = hot_limit(events) if limit is None else limit
+    if not has_hot_key(events, by, limit):
+        near = band_join(points, events, by, point, at, below, above)
+        return near.withColumn("offset_m", F.abs(F.col(at) - F.col(point)))
     axis = points.select(*by, F.col(point).cast("double").alias("_at"), F.lit(0).alias("_side"),
                          F.struct(*points.columns).alias("_p")).unionByName(
         events.select(*by, F.col(at).cast("double").alias("_at"), F.lit(1).alias("_side")), allowMissingColumns=True)

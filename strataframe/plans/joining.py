@@ -95,9 +95,9 @@ def j8(spark, sf):
 def j9(spark, sf):
     s = series(spark, sf).select("well_id", "pos", "depth")
     ev = incidents(spark, sf).select("well_id", "start_md", "severity")
-    sums = J.band_totals(s, ev, ["well_id"], "depth", "start_md", 120, 160, {"n": F.lit(1), "severity": F.col("severity")})
-    out = J.band_nearest(sums.where("n > 0"), ev, ["well_id"], "depth", "start_md", 120, 160)
-    return out.select("well_id", "pos", "n", "severity", "nearest")
+    near = J.band_nearest(s, ev, ["well_id"], "depth", "start_md", 120, 160)
+    out = J.band_totals(near, ev, ["well_id"], "depth", "start_md", 120, 160, {"n": F.lit(1), "severity": F.col("severity")})
+    return out.where("n > 0").select("well_id", "pos", "n", "severity", "nearest")
 
 
 @query("j9_band_extremes", with_sql("series incidents", """SELECT s.well_id, s.pos, min(i.severity) AS mildest, max(i.severity) AS worst,

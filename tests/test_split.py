@@ -234,3 +234,10 @@ def test_band_extremes_and_nearest_match_pairs(spark, skewed, below, above):
         assert rows(J.band_nearest(pts, ev, ["k"], "x", "e", below, above)) == sorted(near, key=repr)
     finally:
         spark.conf.unset("spark.strataframe.hotRows")
+
+
+def test_nearest_events_keep_null_keys_at_every_size(spark):
+    pts = spark.createDataFrame([(None, 10.0), ("a", 10.0)], "k string, x double")
+    ev = spark.createDataFrame([(k, 9.0 + i, i) for k in (None, "a") for i in range(3)], "k string, e double, event_id long")
+    few, many = (rows(J.nearest_events(pts, ev, ["k"], "x", "e", 3, 5, 5, ["event_id"], lim)) for lim in (S.NEVER_HOT, 2))
+    assert len(few) == 6 and sorted(set(many), key=repr) == few
