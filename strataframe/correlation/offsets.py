@@ -11,6 +11,7 @@ from strataframe.functions.geo import along_track_km, bearing_deg, cross_track_k
 from strataframe.functions.numeric import round_half_up
 from strataframe.operators.joins import asof_join, band_totals, geo_neighbors, nearest_events
 from strataframe.operators.topk import topk, topk_list
+from strataframe.session import settle
 
 # Score weights per strategy, trouble bonus per event and its cap.
 SAME_FORMATION = 0.5
@@ -64,15 +65,13 @@ def rank_offsets(targets: DataFrame, places: DataFrame, tops: DataFrame, events:
     away = asof_join(pairs, away_tops, ["offset_id"], "depth", marker, take, fallback="first")
     both = away.join(own, ["place_id", "depth"]).where(F.col("t_formation").isNotNull() & F.col("formation").isNotNull())
 
-    reach, key = spec.tolerance * 3, ["place_id", "offset_id"]
+    key = ["place_id", "offset_id"]
     asked = pairs.select(*key, "depth")
     away_events = events.withColumnRenamed("place_id", "offset_id")
     trouble = band_totals(asked, away_events, ["offset_id"], "depth", "event_depth", spec.tolerance * 2, spec.tolerance * 2,
                           {"trouble_nearby": F.lit(1)}).drop("depth")
-    near = nearest_events(asked, away_events, ["offset_id"], "depth", "event_depth", spec.nearest, reach, reach, ["event_id"])
-    listed = topk_list(near, key, ["offset_m", "event_id"], spec.nearest, ["event_id", "offset_m"], "nearby_events")
 
-    out = both.join(trouble, key, "left").join(listed, key, "left").fillna(0, ["trouble_nearby"])
+    out = both.join(trouble, key, "left").fillna(0, ["trouble_nearby"])
     same = F.col("formation") == F.col("t_formation")
     deep = depth_similarity(F.col(f"t_{marker}"), F.col(marker), spec.tolerance)
     press = gradient_similarity([(F.col("t_pp_gradient"), F.col("pp_gradient")),
@@ -88,9 +87,19 @@ def rank_offsets(targets: DataFrame, places: DataFrame, tops: DataFrame, events:
         round_half_up(score, 4).alias("geology_score"), same.alias("same_formation"),
         F.col("t_formation").alias("target_formation"), F.col("formation").alias("offset_formation"),
         round_half_up(deep, 4).alias("depth_match"), round_half_up(press, 4).alias("pressure_match"),
-        "trouble_nearby", "nearby_events",
+        "trouble_nearby",
     )
-    return topk(out, ["place_id"], ["-score", "distance_km", "offset_id"], spec.limit)
+    kept = settle(topk(out, ["place_id"], ["-score", "distance_km", "offset_id"], spec.limit), "offsets")
+    return list_nearby(kept, away_events, key, spec)
+
+
+def list_nearby(kept: DataFrame, events: DataFrame, key: list[str], spec: OffsetSpec) -> DataFrame:
+    """Adds the nearest events of the ranked offsets; no score depends on them, so the pairs that were cut need none."""
+    reach = spec.tolerance * 3
+    near = nearest_events(kept.select(*key, "depth"), events, ["offset_id"], "depth", "event_depth", spec.nearest, reach, reach,
+                          ["event_id"])
+    listed = topk_list(near, key, ["offset_m", "event_id"], spec.nearest, ["event_id", "offset_m"], "nearby_events")
+    return kept.join(listed, key, "left")
 
 
 def section_view(places: DataFrame, line: tuple[float, float, float, float], half_width_km: float) -> DataFrame:
