@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from strataframe.functions.numeric import round_half_up
 from strataframe.functions.text import token_rows, word_rows
 from strataframe.operators.topk import topk
-from strataframe.sources.tables import spread
 
 # Sparse-vector size, smallest weight kept, digits of a stored weight.
 TOP_TERMS = 96
@@ -18,8 +17,10 @@ WEIGHT_DIGITS = 5
 
 
 def postings(items: DataFrame, ref: str, text: Column, exact_words: bool = True) -> DataFrame:
-    """(ref, term, tf): one row per item and term. Counts are pre-aggregated before the shuffle."""
-    src = spread(items.select(ref, text.alias("_text")))
+    """(ref, term, tf): one row per item and term. Texts are dealt by item, so the counts need no shuffle of their own."""
+    conf = items.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = max(items.sparkSession.sparkContext.defaultParallelism, int(conf))
+    src = items.select(ref, text.alias("_text")).repartition(parts, ref)
     rows = (word_rows if exact_words else token_rows)(src, [ref], "_text")
     return rows.groupBy(ref, "term").agg(F.count(F.lit(1)).alias("tf"))
 

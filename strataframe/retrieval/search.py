@@ -150,22 +150,24 @@ class SearchSpec:
 
 
 def hybrid_search(items: DataFrame, index: SearchIndex, queries: DataFrame, qid: str, text: str,
-                  spec: SearchSpec = SearchSpec()) -> DataFrame:
+                  spec: SearchSpec = SearchSpec(), stems: SearchIndex | None = None) -> DataFrame:
     """Retrieve lexically and by vectors, fuse, attach items, rerank, drop near copies, cut, add snippets.
 
     `items` has ref, kind, place_id, title, body, depth; of it only the hits' rows, and the filter's columns, are used.
+    `stems` is the index searched by vectors, if it is another one.
     """
+    stems = index if stems is None else stems
     filtered = bool(spec.place is not None or spec.kinds or any(d is not None for d in spec.depth) or spec.places)
     allowed = retrieval_filter(items, spec.place, spec.kinds, spec.depth, spec.places).select("ref") if filtered else None
     fetch = spec.limit * OVER_FETCH
     lexical = lexical_topk(index, query_terms(queries, qid, text), qid, fetch * OVER_FETCH, allowed)
-    semantic = semantic_topk(index, query_vectors(index, queries, qid, text), qid, fetch, allowed=allowed)
+    semantic = semantic_topk(stems, query_vectors(stems, queries, qid, text), qid, fetch, allowed=allowed)
 
     fused = rrf({"lexical": (lexical, LEXICAL_WEIGHT), "semantic": (semantic, SEMANTIC_WEIGHT)}, qid, "ref")
     hits = fused.join(items, "ref")
     ranked = rerank(hits, target_depth=F.lit(spec.target_depth) if spec.target_depth is not None else None,
                     active_place=F.lit(spec.active_place) if spec.active_place is not None else None)
-    terms = index.rows("vectors").join(fused.select("ref").distinct(), "ref", "left_semi").groupBy("ref").agg(
+    terms = stems.rows("vectors").join(fused.select("ref").distinct(), "ref", "left_semi").groupBy("ref").agg(
         F.collect_list("term").alias("_terms"))
     ranked = ranked.join(terms, "ref", "left").withColumn("fused", round_half_up("rerank_score", 6))
     kept = diversify(ranked.drop("rerank_score"), qid, "ref", "kind", "_terms", ["-fused", "ref"])

@@ -9,7 +9,7 @@ file, which fails if another writer was first. Readers keep the version they ope
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +19,8 @@ from strataframe.retrieval.index import idf_weights, postings, tfidf
 from strataframe.retrieval.ranked import SHARD_ITEMS, block_rows, place_items, shards_for
 
 TABLES = ("words", "stems", "vectors", "items", "lexical", "semantic", "changes", "gone")
-MANIFEST = "position int, name string, shards int, items bigint, docs bigint, word_count bigint"
+POSTINGS = {"word": "words", "stem": "stems"}  # an index of one kind has only what that kind needs
+MANIFEST = "position int, name string, shards int, items bigint, docs bigint, word_count bigint, kinds string, blocks boolean"
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,8 @@ class SearchIndex:
     items: int
     docs: int
     word_count: int
+    kinds: tuple[str, ...] = tuple(POSTINGS)
+    blocks: bool = True
 
     @property
     def segments(self) -> list[Segment]:
@@ -94,11 +97,12 @@ def open_index(spark: SparkSession, path: str) -> SearchIndex:
     rows = sorted(rows.where(F.col("version") == last).collect(), key=lambda r: r["position"])  # a row per segment
     totals = rows[0]
     return SearchIndex(spark, path, last, tuple(r["name"] for r in rows), tuple(r["shards"] for r in rows), totals["items"],
-                       totals["docs"], totals["word_count"])
+                       totals["docs"], totals["word_count"], tuple(totals["kinds"].split(",")), totals["blocks"])
 
 
-def _commit(spark: SparkSession, path: str, version: int, segments: list[tuple[str, int]], totals: tuple[int, int, int]) -> SearchIndex:
-    rows = [(k, n, s, *totals) for k, (n, s) in enumerate(segments)]
+def _commit(spark: SparkSession, path: str, version: int, segments: list[tuple[str, int]], totals: tuple[int, int, int],
+            kinds: tuple[str, ...], blocks: bool) -> SearchIndex:
+    rows = [(k, n, s, *totals, ",".join(kinds), blocks) for k, (n, s) in enumerate(segments)]
     spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("error").parquet(f"{path}/manifest/version={version}")
     return open_index(spark, path)
 
@@ -113,46 +117,75 @@ def _totals(items: DataFrame) -> tuple[int, int, int]:
     return r["n"], r["docs"], r["words"]
 
 
-def _write_segment(spark: SparkSession, path: str, refs: DataFrame, words: DataFrame, stems: DataFrame, gone: DataFrame,
-                   taken: list[DataFrame], before: SearchIndex | None, items_after: int, shard_items: int) -> tuple[str, int]:
+def _write_blocks(spark: SparkSession, folder: str, kinds: tuple[str, ...]) -> None:
+    read = lambda table: spark.read.parquet(f"{folder}/{table}")
+    for kind, table, rows, value, size in (("word", "lexical", "words", "tf", "len"), ("stem", "semantic", "vectors", "weight", "norm")):
+        if kind in kinds:
+            block_rows(read(rows), read("items").withColumn("size", F.col(size)), "ref", value).write.parquet(f"{folder}/{table}")
+
+
+def _write_segment(spark: SparkSession, path: str, refs: DataFrame, posts: dict[str, DataFrame], gone: DataFrame,
+                   taken: list[DataFrame], before: SearchIndex | None, items_after: int, shard_items: int, blocks: bool) -> tuple[str, int]:
     """Tables of a new segment; `taken` are signed changes for what goes, `items_after` the items of the new version."""
     name = f"segment-{uuid.uuid4().hex}"
     at = lambda table: f"{path}/{name}/{table}"
     write = lambda df, table: df.write.parquet(at(table))
     read = lambda table: spark.read.parquet(at(table))
     write(gone, "gone")
-    write(words, "words")
-    write(stems, "stems")
-    words, stems = read("words"), read("stems")
-    changes = [_signed(words, "word", 1), _signed(stems, "stem", 1), *taken]
+    for kind, rows in posts.items():
+        write(rows, POSTINGS[kind])
+    posts = {kind: read(POSTINGS[kind]) for kind in posts}
+    changes = [*[_signed(rows, kind, 1) for kind, rows in posts.items()], *taken]
     summed = reduce(DataFrame.unionByName, changes).groupBy("kind", "term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
     write(summed.sort("kind", "term"), "changes")  # a filter on the kind skips row groups
-    known = read("changes") if before is None else read("changes").unionByName(
-        reduce(DataFrame.unionByName, [s.read("changes") for s in before.segments]))
-    df = known.where("kind = 'stem'").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    write(tfidf(stems, idf_weights(df, F.lit(items_after)), "ref"), "vectors")
-    vectors = read("vectors")
-    own = words.groupBy("ref").agg(F.sum("tf").alias("len"))
-    lengths = vectors.groupBy("ref").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    items = refs.join(own, "ref", "left").join(lengths, "ref", "left").withColumn("size", F.col("len"))
+    items = refs
+    if "word" in posts:
+        items = items.join(posts["word"].groupBy("ref").agg(F.sum("tf").alias("len")), "ref", "left")
+    else:
+        items = items.withColumn("len", F.lit(None).cast("bigint"))
+    if "stem" in posts:
+        known = read("changes") if before is None else read("changes").unionByName(
+            reduce(DataFrame.unionByName, [s.read("changes") for s in before.segments]))
+        df = known.where("kind = 'stem'").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        write(tfidf(posts["stem"], idf_weights(df, F.lit(items_after)), "ref"), "vectors")
+        lengths = read("vectors").groupBy("ref").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+        items = items.join(lengths, "ref", "left")
+    else:
+        items = items.withColumn("norm", F.lit(None).cast("double"))
     shards = shards_for(spark, refs.count(), shard_items)
-    write(place_items(items, "ref", shards).drop("size"), "items")
-    items = read("items")
-    write(block_rows(words, items.withColumn("size", F.col("len")), "ref", "tf"), "lexical")
-    write(block_rows(vectors, items.withColumn("size", F.col("norm")), "ref", "weight"), "semantic")
+    size = F.col("len" if "word" in posts else "norm")
+    write(place_items(items.withColumn("size", size), "ref", shards).drop("size"), "items")
+    if blocks:
+        _write_blocks(spark, f"{path}/{name}", tuple(posts))
     return name, shards
 
 
-def build(items: DataFrame, ref: str, text: Column, path: str, shard_items: int = SHARD_ITEMS) -> SearchIndex:
-    """A new index of one segment; `path` must be new. Items with one ref count as one item with all their texts."""
+def _postings(src: DataFrame, kinds: tuple[str, ...]) -> dict[str, DataFrame]:
+    return {kind: postings(src, "ref", F.col("_text"), exact_words=kind == "word") for kind in kinds}
+
+
+def build(items: DataFrame, ref: str, text: Column, path: str, shard_items: int = SHARD_ITEMS,
+          kinds: tuple[str, ...] = tuple(POSTINGS), blocks: bool = True) -> SearchIndex:
+    """A new index of one segment; `path` must be new. Items with one ref count as one item with all their texts.
+
+    Lexical search needs the kind word, search by vectors the kind stem; without `blocks` there are statistics and vectors
+    only, until `with_blocks`.
+    """
     spark = items.sparkSession
     src = items.select(F.col(ref).alias("ref"), text.alias("_text"))
     refs = src.select("ref").distinct()
     n = refs.count()
-    segment = _write_segment(spark, path, refs, postings(src, "ref", F.col("_text")), postings(src, "ref", F.col("_text"), exact_words=False),
-                             refs.limit(0), [], None, n, shard_items)
+    segment = _write_segment(spark, path, refs, _postings(src, kinds), refs.limit(0), [], None, n, shard_items, blocks)
     made = Segment(spark, f"{path}/{segment[0]}", segment[1])
-    return _commit(spark, path, 0, [segment], _totals(made.read("items")))
+    return _commit(spark, path, 0, [segment], _totals(made.read("items")), kinds, blocks)
+
+
+def with_blocks(index: SearchIndex) -> SearchIndex:
+    """The same version with the blocks that searches read, written from its postings. Once per index."""
+    if not index.blocks:
+        for s in index.segments:
+            _write_blocks(index.spark, s.folder, index.kinds)
+    return replace(index, blocks=True)
 
 
 def update(index: SearchIndex, changed: DataFrame, ref: str, text: Column, removed: DataFrame | None = None,
@@ -171,17 +204,18 @@ def update(index: SearchIndex, changed: DataFrame, ref: str, text: Column, remov
         rows = index.live("items", k).join(asked, "ref", "left_semi")
         old = tuple(a + b for a, b in zip(old, _totals(rows)))
         lost.append(rows.select("ref"))
-        taken += [_signed(index.live(table, k).join(asked, "ref", "left_semi"), kind, -1) for table, kind in (("words", "word"), ("stems", "stem"))]
+        taken += [_signed(index.live(POSTINGS[kind], k).join(asked, "ref", "left_semi"), kind, -1) for kind in index.kinds]
     after = index.items - old[0] + refs.count()
-    segment = _write_segment(spark, index.path, refs, postings(src, "ref", F.col("_text")), postings(src, "ref", F.col("_text"), exact_words=False),
-                             reduce(DataFrame.unionByName, lost), taken, index, after, shard_items)
+    segment = _write_segment(spark, index.path, refs, _postings(src, index.kinds), reduce(DataFrame.unionByName, lost), taken,
+                             index, after, shard_items, index.blocks)
     new = _totals(Segment(spark, f"{index.path}/{segment[0]}", segment[1]).read("items"))
     totals = (index.items - old[0] + new[0], index.docs - old[1] + new[1], index.word_count - old[2] + new[2])
-    return _commit(spark, index.path, index.version + 1, [*zip(index.names, index.shards), segment], totals)
+    return _commit(spark, index.path, index.version + 1, [*zip(index.names, index.shards), segment], totals, index.kinds, index.blocks)
 
 
 def merge(index: SearchIndex, shard_items: int = SHARD_ITEMS) -> SearchIndex:
     """The next version, with all live items in one segment and vectors of today's frequencies; no text is read."""
     refs = index.rows("items").select("ref")
-    segment = _write_segment(index.spark, index.path, refs, index.rows("words"), index.rows("stems"), refs.limit(0), [], None, index.items, shard_items)
-    return _commit(index.spark, index.path, index.version + 1, [segment], (index.items, index.docs, index.word_count))
+    posts = {kind: index.rows(POSTINGS[kind]) for kind in index.kinds}
+    segment = _write_segment(index.spark, index.path, refs, posts, refs.limit(0), [], None, index.items, shard_items, index.blocks)
+    return _commit(index.spark, index.path, index.version + 1, [segment], (index.items, index.docs, index.word_count), index.kinds, index.blocks)

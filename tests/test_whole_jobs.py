@@ -13,3 +13,22 @@ def test_offsets_and_neighbours_reach_far(spark):
     for name in ("c1_rank_offsets_pressure", "c1_rank_offsets_depth", "j12_geo_neighbors"):
         assert con.execute(f"SELECT max(distance_km) FROM ({ORACLES[name]})").fetchone()[0] > 50
         assert QUERIES[name](spark, WIDER).agg({"distance_km": "max"}).first()[0] > 50
+
+
+def test_an_index_of_one_kind_has_only_its_tables(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from strataframe.retrieval import segments
+    from strataframe.session import fresh_path
+
+    rows = spark.createDataFrame([(1, "deep wells"), (2, "deep water"), (2, "more water"), (3, None)], "ref long, text string")
+    index = segments.build(rows, "ref", F.col("text"), fresh_path(spark, "index"), kinds=("stem",), blocks=False)
+    folder = index.segments[0].folder
+    assert not {"words", "lexical", "semantic"} & set(os.listdir(folder))
+    assert {(r["ref"], r["term"], r["tf"]) for r in index.rows("stems").collect()} == {
+        (1, "deep", 1), (1, "well", 1), (2, "deep", 1), (2, "water", 2), (2, "more", 1)}
+    index = segments.with_blocks(index)
+    assert index.blocks and "semantic" in os.listdir(folder) and "lexical" not in os.listdir(folder)
+    assert segments.open_index(spark, index.path).kinds == ("stem",)
