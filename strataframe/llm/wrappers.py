@@ -16,11 +16,11 @@ import json
 import re
 import sys
 import zlib
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -59,8 +59,7 @@ OUTER_DEPTH = 5
 WITNESSES = 3  # pages with different titles that show a text to be part of the template
 HELD = 300_000  # parts of wrappers that a task keeps before it hands them on
 SALTS = 16
-CELLS = 200_000  # of an alignment; beyond it parts are matched in order of appearance
-PARTS = 500  # of one element; optional parts beyond it are forgotten, with what they knew of texts
+CELLS = 200_000  # of one table of an alignment; longer sides are divided where a longest common subsequence may be
 SMALL = 100_000  # rows and sets of constants that may be sent to all tasks
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # merging goes as deep as the pages
 
@@ -251,34 +250,36 @@ def align(a: list, b: list) -> list:
             p, q = a[x], b[y]
             out.append([[merge(u, v) for u, v in zip(p[0], q[0])], p[1] or q[1], p[2] or q[2]])
         i, j = x + 1, y + 1
-    if len(out) > PARTS:
-        spare = PARTS - sum(not p[1] for p in out)
-        kept = []
-        for p in out:
-            if not p[1] or spare > 0:
-                kept.append(p)
-                spare -= p[1]
-        out = kept
     return fold(out)
 
 
+def lengths(a: list, b: list) -> list[int]:
+    """Lengths of the longest common subsequences of `a` with each beginning of `b`, a row of the table as bits."""
+    at: dict = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & full
+    steps = bin(row | 1 << len(b))[:2:-1]  # a 0 where the length grows
+    return [0, *accumulate(c == "0" for c in steps)]
+
+
 def common(a: list, b: list) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence, or of one found in order of appearance if the table would be large."""
+    """Places of a longest common subsequence. Memory is bounded by a table, as large problems are halved (Hirschberg)."""
     n, m = len(a), len(b)
     if not n or not m:
         return []
-    out, i = [], 0
+    if n == 1:
+        return [(0, b.index(a[0]))] if a[0] in b else []
+    out = []
     if n * m > CELLS:
-        places: dict = {}
-        for k, x in enumerate(a):
-            places.setdefault(x, []).append(k)
-        for j, x in enumerate(b):
-            at = places.get(x, [])
-            k = bisect_left(at, i)
-            if k < len(at):
-                out.append((at[k], j))
-                i = at[k] + 1
-        return out
+        half = n // 2
+        left, right = lengths(a[:half], b), lengths(a[half:][::-1], b[::-1])
+        cut = max(range(m + 1), key=lambda j: left[j] + right[m - j])
+        return common(a[:half], b[:cut]) + [(half + i, cut + j) for i, j in common(a[half:], b[cut:])]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):

@@ -32,3 +32,38 @@ def test_an_index_of_one_kind_has_only_its_tables(spark):
     index = segments.with_blocks(index)
     assert index.blocks and "semantic" in os.listdir(folder) and "lexical" not in os.listdir(folder)
     assert segments.open_index(spark, index.path).kinds == ("stem",)
+
+
+def longest(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(best[j] + 1 if x == y else max(row[j], best[j + 1]))
+        best = row
+    return best[-1]
+
+
+def test_long_alignments_are_exact(monkeypatch):
+    import random
+
+    from strataframe.llm import wrappers
+
+    dice = random.Random(5)
+    a, b = [dice.choices("abcdefgh", k=n) for n in (600, 500)]
+    assert len(a) * len(b) > wrappers.CELLS
+    cases = [(a, b)]
+    monkeypatch.setattr(wrappers, "CELLS", 20)
+    cases += [(dice.choices("abc", k=dice.randrange(12)), dice.choices("abcd", k=dice.randrange(40))) for _ in range(300)]
+    for a, b in cases:
+        found = wrappers.common(a, b)
+        assert len(found) == longest(a, b) and all(a[i] == b[j] for i, j in found)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+
+
+def test_wrappers_keep_all_parts():
+    from strataframe.llm import wrappers
+
+    page = lambda first: "<div>" + "".join(f"<x{first + i}></x{first + i}>" for i in range(600)) + "</div>"
+    (div,) = wrappers.infer([page(0), page(1000)])[1]
+    assert len(div[0][0][1]) == 1200
