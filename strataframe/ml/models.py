@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions.numeric import clamp, finite, sigmoid
 from strataframe.operators.aggregates import column_stats
-from strataframe.session import fresh_path
+from strataframe.session import fresh_path, settle
 
 # Features up to which a score is written out as one sum.
 WIDE = 16
@@ -19,6 +19,8 @@ WIDE = 16
 L2, LOGISTIC_ITER, PLATT_ITER = 1e-3, 400, 200
 ROUNDS, RATE, DEPTH, MIN_LEAF, SUBSAMPLE = 120, 0.08, 3, 60, 0.7
 REG_ROUNDS, REG_RATE, REG_DEPTH, REG_MIN_LEAF, REG_BOUNDS = 100, 0.1, 4, 40, (0.0, 168.0)
+# Bins of a feature, rows whose values place their borders, and units that a round draws from at least.
+BINS, EDGE_ROWS, UNITS = 32, 100_000, 50_000
 
 
 @dataclass
@@ -149,18 +151,67 @@ def score_boosted(df: DataFrame, model, features: list[str], out: str = "score")
     return done.withColumn(out, prob).drop("_features", "rawPrediction", "probability", "prediction")
 
 
-def fit_boosted_regressor(df: DataFrame, features: list[str], target: str, rounds: int = REG_ROUNDS, seed: int = 7):
+@dataclass
+class BinnedTrees:
+    """Regression trees over the bin numbers of the features, with the inner borders of the bins."""
+
+    edges: list[list[float]]
+    trees: object
+
+
+def bin_edges(df: DataFrame, features: list[str], rows: int) -> list[list[float]]:
+    """Up to `BINS - 1` borders per feature, midway between values: between all of few, else at quantiles.
+
+    As in MLlib a bounded draw of the rows places them, here by a hash of the values.
+    """
+    kept = df.where(F.pmod(F.xxhash64(*features), F.lit(max(1, rows // EDGE_ROWS))) == 0)
+    fine = 1024
+    found = kept.agg(*[F.percentile_approx(F.coalesce(finite(f), F.lit(0.0)), [i / fine for i in range(fine + 1)]) for f in features]).first()
+    out = []
+    for values in found:
+        values = values or [0.0]
+        known = sorted(set(values))
+        below = dict(zip(known[1:], known))
+        at = known if len(known) <= BINS else sorted({values[i * fine // BINS] for i in range(1, BINS)})
+        out.append([(below[v] + v) / 2 for v in at if v in below] or known[:1])
+    return out
+
+
+def binned(df: DataFrame, features: list[str], edges: list[list[float]]) -> DataFrame:
+    """Adds the bin numbers `_b0`, `_b1`, ... of the features, 0 standing for missing values."""
+    from pyspark.ml.feature import Bucketizer
+
+    n, inf = range(len(features)), float("inf")
+    df = df.withColumns({f"_x{i}": F.coalesce(finite(f), F.lit(0.0)) for i, f in enumerate(features)})
+    cut = Bucketizer(splitsArray=[[-inf, *e, inf] for e in edges], inputCols=[f"_x{i}" for i in n], outputCols=[f"_b{i}" for i in n])
+    return cut.transform(df).drop(*[f"_x{i}" for i in n])
+
+
+def fit_boosted_regressor(df: DataFrame, features: list[str], target: str, rounds: int = REG_ROUNDS, seed: int = 7) -> BinnedTrees:
+    """Boosted trees on squared error, fitted on cells: all rows with equal bins count as one, with their mean and number.
+
+    Splits and leaves see the same sums as over rows. A round draws units: cells are shared out evenly while they are few.
+    """
     from pyspark.ml.regression import GBTRegressor
 
-    gbt = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=rounds, stepSize=REG_RATE, maxDepth=REG_DEPTH,
-                       minInstancesPerNode=REG_MIN_LEAF, subsamplingRate=SUBSAMPLE, seed=seed)
-    return gbt.fit(assemble(df, features))
+    bins = [f"_b{i}" for i in range(len(features))]
+    y = F.coalesce(F.col(target).cast("double"), F.lit(float("nan")))  # a missing target stops the fit
+    edges = bin_edges(df, features, df.count())
+    cells = settle(binned(df, features, edges).groupBy(*bins).agg(F.count(F.lit(1)).alias("_n"), F.avg(y).alias("_y")), "cells")
+    size = cells.agg(F.count(F.lit(1)).alias("cells"), F.sum("_n").alias("rows")).first()
+    shares = F.least(F.col("_n"), F.lit(-(-UNITS // max(1, size["cells"]))))
+    units = cells.select(*bins, "_y", (F.col("_n") / shares).alias("_w"), F.explode(F.array_repeat(F.lit(0), shares.cast("int"))))
+    gbt = GBTRegressor(featuresCol="_features", labelCol="_y", weightCol="_w", maxIter=rounds, stepSize=REG_RATE, maxDepth=REG_DEPTH,
+                       minWeightFractionPerNode=min(0.4999, REG_MIN_LEAF / max(1, size["rows"] or 0)), maxBins=BINS,
+                       subsamplingRate=SUBSAMPLE, seed=seed)
+    return BinnedTrees(edges, gbt.fit(assemble(units.repartition(max(1, max(UNITS, size["cells"]) // 20_000)), bins)))
 
 
-def score_boosted_regressor(df: DataFrame, model, features: list[str], out: str = "predicted") -> DataFrame:
+def score_boosted_regressor(df: DataFrame, model: BinnedTrees, features: list[str], out: str = "predicted") -> DataFrame:
     """Adds the prediction, kept inside the range a target can take."""
-    done = model.transform(assemble(df, features))
-    return done.withColumn(out, clamp("prediction", *REG_BOUNDS)).drop("_features", "prediction")
+    bins = [f"_b{i}" for i in range(len(features))]
+    done = model.trees.transform(assemble(binned(df, features, model.edges), bins))
+    return done.withColumn(out, clamp("prediction", *REG_BOUNDS)).drop("_features", "prediction", *bins)
 
 
 def tree_nodes(spark, model) -> DataFrame:

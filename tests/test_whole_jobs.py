@@ -93,3 +93,20 @@ def test_evidence_is_gathered_in_place(spark):
         assert rows() == got
     finally:
         spark.conf.unset("spark.strataframe.hotRows") if before is None else spark.conf.set("spark.strataframe.hotRows", before)
+
+
+def test_equal_rows_are_fitted_as_one(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strataframe.ml import models as MD
+
+    df = spark.range(20_000).selectExpr("id", "id % 3 * 1D AS a", "id % 2 * 1D AS b").withColumn(
+        "hours", 10 * F.col("a") + 5 * F.col("b") + F.floor(F.col("id") / 6) % 3)
+    sizes, assemble = [], MD.assemble
+    monkeypatch.setattr(MD, "UNITS", 100)
+    monkeypatch.setattr(MD, "assemble", lambda d, *rest: sizes.append(d.count()) or assemble(d, *rest))
+    model = MD.fit_boosted_regressor(df, ["a", "b"], "hours", 10)
+    assert sizes == [6 * 17]
+    told = MD.score_boosted_regressor(df, model, ["a", "b"]).groupBy("a", "b").agg(F.avg("hours").alias("h"), F.min("predicted").alias("p")).collect()
+    assert len(told) == 6 and all(abs(r["h"] - r["p"]) < 0.1 for r in told)
+    assert "predicted" in MD.score_boosted_regressor(df.withColumn("a", F.lit(None).cast("double")), model, ["a", "b"]).columns
