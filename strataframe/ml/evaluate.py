@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,13 +109,15 @@ def evaluate_classifier(df: DataFrame, features: list[str], label: str, group: s
 
 def evaluate_regressor(df: DataFrame, features: list[str], target: str, group: str, tie: str, k: int = 5,
                        rounds: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(report row against the mean predictor, percentile table, out-of-fold predictions)."""
-    data = settle(group_kfold(df, group, k), "folds")
-    parts = []
-    for f in range(k):
+    """(report row against the mean predictor, percentile table, out-of-fold predictions). The folds are fitted side by side."""
+    data = settle(group_kfold(df.select(*dict.fromkeys([tie, group, target, *features])), group, k), "folds")
+
+    def held_out(f: int) -> DataFrame:
         m = fit_boosted_regressor(data.where(F.col("fold") != f), features, target, rounds)
-        parts.append(score_boosted_regressor(data.where(F.col("fold") == f), m, features).select(
-            tie, group, "fold", target, "predicted"))
+        return score_boosted_regressor(data.where(F.col("fold") == f), m, features).select(tie, group, "fold", target, "predicted")
+
+    with ThreadPool(k) as pool:
+        parts = pool.map(inheritable_thread_target(data.sparkSession)(held_out), range(k))
     oof = settle(reduce(DataFrame.unionByName, parts), "oof")
     report = M.regression_metrics(oof, "predicted", target)
     stats = oof.agg(round_half_up(F.avg(target), 4).alias("mean_target"),
