@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,15 +21,15 @@ def direction(c: Column) -> Column:
 
 def factors(model: LogisticModel, top: int | None = TOP_FACTORS) -> Column:
     """Contributions of one row as an array, strongest first; built and sorted inside the row, so no shuffle."""
+    known = [round_half_up(f, 4).isNotNull() for f in model.features]
     parts = F.array(*[
         F.struct(
-            (-F.abs(c)).alias("_order"), F.lit(f).alias("feature"), round_half_up(f, 4).alias("value"),
+            (~k).alias("_unknown"), (-F.abs(c)).alias("_order"), F.lit(f).alias("feature"), round_half_up(f, 4).alias("value"),
             round_half_up(c, 4).alias("contribution"), direction(c).alias("direction"), c.alias("exact"))
-        for f, c in zip(model.features, model.contributions())
+        for f, c, k in zip(model.features, model.contributions(), known)
     ])
-    known = F.filter(parts, lambda s: s["value"].isNotNull())
-    ordered = F.sort_array(known)
-    return F.slice(ordered, 1, top) if top else ordered
+    n = reduce(lambda x, y: x + y, [k.cast("int") for k in known])  # missing values stand last and are cut off
+    return F.slice(F.sort_array(parts), F.lit(1), F.least(F.lit(top), n) if top else n)
 
 
 def explain_logistic(df: DataFrame, model: LogisticModel, keep: list[str], top: int = TOP_FACTORS) -> DataFrame:
@@ -44,33 +46,39 @@ def check_decomposition(df: DataFrame, model: LogisticModel, keep: list[str]) ->
                      round_half_up(F.log(p / (1 - p)), 6).alias("scored_log_odds"))
 
 
-def _plain(x: Column, digits: int = 4) -> Column:
+def _plain(x: float, digits: int = 4) -> str:
     """Number as text without trailing zeros."""
-    return F.regexp_replace(F.format_string(f"%.{digits}f", x), r"\.?0+$", "")
+    return f"{x:.{digits}f}".rstrip("0").rstrip(".")
 
 
-def _phrase(s: Column) -> Column:
-    return F.concat(F.replace(s["feature"], F.lit("_"), F.lit(" ")), F.lit(" at "), _plain(s["value"]))
+def _listed(names: list[str]) -> str:
+    return names[0] if len(names) == 1 else ", ".join(names[:-1]) + " and " + names[-1]
 
 
-def _listed(names: Column) -> Column:
-    n = F.size(names)
-    return F.when(n == 1, names[0]).otherwise(
-        F.concat(F.array_join(F.slice(names, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "),
-                 F.element_at(names, -1)))
+def narrate(model: LogisticModel) -> Column:
+    """Sentence on what drives the score up and what works against it, from the five strongest factors.
 
+    Contributions and score come from Spark; rows are put into words in Arrow batches.
+    """
+    by_name = sorted(zip(model.features, model.contributions()), key=lambda x: x[0])  # equal strengths go by name
+    said, k = [f.replace("_", " ") for f, _ in by_name], len(by_name)
 
-def narrate(top: Column, score: Column) -> Column:
-    """Sentence on what drives the score up and what works against it, from the five strongest factors."""
-    five = F.slice(top, 1, NARRATED)
-    up = F.slice(F.transform(F.filter(five, lambda s: s["contribution"] > 0), _phrase), 1, 3)
-    down = F.slice(F.transform(F.filter(five, lambda s: s["contribution"] < 0), _phrase), 1, 2)
-    return F.concat_ws(
-        " ",
-        F.when(F.size(up) > 0, F.concat(F.lit("Raised by "), _listed(up), F.lit("."))),
-        F.when(F.size(down) > 0, F.concat(F.lit("Lowered by "), _listed(down), F.lit("."))),
-        F.when(F.size(up) == 0, F.lit("Nothing here raises the score.")),
-        F.concat(F.lit("Score: "), _plain(round_half_up(score * 100, 1), 1), F.lit("%.")))
+    @F.pandas_udf("string")
+    def told(*cols: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype="float64") for c in cols])
+        value, c, percent = x[:, :k], x[:, k : 2 * k], x[:, 2 * k]
+        unknown = np.isnan(value)
+        first = np.argsort(np.where(unknown, np.inf, -np.abs(c)), axis=1, kind="stable")[:, :NARRATED]
+        sign = np.where(unknown, 0, np.sign(np.floor(c * 1e4 + 0.5)))  # of the contribution as it is shown
+        out = []
+        for v, s, five, p in zip(value.tolist(), sign.tolist(), first.tolist(), percent.tolist()):
+            up = [f"{said[i]} at {_plain(v[i])}" for i in [i for i in five if s[i] > 0][:3]]
+            down = [f"{said[i]} at {_plain(v[i])}" for i in [i for i in five if s[i] < 0][:2]]
+            out.append((f"Raised by {_listed(up)}. " if up else "") + (f"Lowered by {_listed(down)}. " if down else "")
+                       + ("" if up else "Nothing here raises the score. ") + f"Score: {_plain(p, 1)}%.")
+        return pd.Series(out, dtype=object)
+
+    return told(*[round_half_up(f, 4) for f, _ in by_name], *[c for _, c in by_name], round_half_up(model.score() * 100, 1))
 
 
 def explain_boosted(df: DataFrame, model, features: list[str], keep: list[str], top: int = TOP_TREES) -> DataFrame:

@@ -403,7 +403,7 @@ SELECT x.well_id, x.pos, concat_ws(' ', CASE WHEN len(up) > 0 THEN 'Raised by '
  'Score: ' || regexp_replace(printf('%.1f', {half_up_sql(f'{_P}*100', 1)}), '\\.?0+$', '') || '%.') AS narrative
 FROM x JOIN series s ON s.well_id=x.well_id AND s.pos=x.pos"""))
 def m34(spark, sf):
-    return series(spark, sf).select("well_id", "pos", X.narrate(X.factors(STORED), STORED.score()).alias("narrative"))
+    return series(spark, sf).select("well_id", "pos", X.narrate(STORED).alias("narrative"))
 
 
 _RULES = [("KICK", 1, "quantity", "<", 5.0), ("KICK", 2, "price", ">", 90000.0), ("MUD_LOSS", 3, "discount", ">", 0.08), ("MUD_LOSS", 4, "static_minutes", ">", 45.0)]

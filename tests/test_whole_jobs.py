@@ -110,3 +110,16 @@ def test_equal_rows_are_fitted_as_one(spark, monkeypatch):
     told = MD.score_boosted_regressor(df, model, ["a", "b"]).groupBy("a", "b").agg(F.avg("hours").alias("h"), F.min("predicted").alias("p")).collect()
     assert len(told) == 6 and all(abs(r["h"] - r["p"]) < 0.1 for r in told)
     assert "predicted" in MD.score_boosted_regressor(df.withColumn("a", F.lit(None).cast("double")), model, ["a", "b"]).columns
+
+
+def test_narratives_cost_no_more_than_a_pass(spark):
+    from strataframe.ml import explain as X
+    from strataframe.ml.models import LogisticModel
+
+    model = LogisticModel(["b_x", "a", "c"], [1.0, -1.0, 1.0], 0.0, [0.0] * 3, [1.0] * 3)
+    rows = spark.createDataFrame([(2.0, 2.0, 0.5), (None, 1.25, None), (1.0, None, 100.0), (0.0, None, 0.00001)], "b_x double, a double, c double")
+    told = rows.select(X.narrate(model).alias("t"))
+    assert [r["t"] for r in told.collect()] == [
+        "Raised by b x at 2 and c at 0.5. Lowered by a at 2. Score: 62.2%.", "Lowered by a at 1.25. Nothing here raises the score. Score: 22.3%.",
+        "Raised by c at 100 and b x at 1. Score: 100%.", "Nothing here raises the score. Score: 50%."]
+    assert "transform(" not in told._jdf.queryExecution().optimizedPlan().toString()
