@@ -18,7 +18,7 @@ from strataframe.alerts.batch import COOLDOWN_MIN, STALE_SECONDS, rule_alerts
 from strataframe.functions.numeric import round_half_up
 from strataframe.operators.windows import EPS, MIN_HISTORY, ROLLING_ROWS
 from strataframe.session import fresh_path
-from strataframe.streaming.ordered import in_order, keyed_state
+from strataframe.streaming.ordered import Rows, in_order, keyed_state
 
 WATERMARK = "10 minutes"
 
@@ -78,17 +78,17 @@ def suppress_stream(alerts: DataFrame, key: list[str], ts: str, tie: str, minute
     """(key, ts, tie) of the alerts that open; what is kept of a key is the instant of its last open alert."""
     limit = int(minutes * 60_000_000)
 
-    def step(kept: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-        us = rows["at_us"].to_numpy()
-        opened, at = [], int(np.searchsorted(us, kept["last_us"].iloc[0] + limit)) if len(kept) else 0
+    def step(kept: Rows, rows: Rows) -> tuple[Rows, Rows]:
+        us = rows["at_us"]
+        opened, at = [], int(np.searchsorted(us, kept["last_us"][0] + limit)) if kept else 0
         while at < len(us):  # from one open alert to the next
             opened.append(at)
             at = max(at + 1, int(np.searchsorted(us, us[at] + limit)))
-        made = rows.iloc[opened][["at_us", tie]]
-        return (made[["at_us"]].tail(1).set_axis(["last_us"], axis=1) if opened else kept), made
+        made = {c: rows[c][opened] for c in ("at_us", tie)}
+        return ({"last_us": made["at_us"][-1:]} if opened else kept), made
 
     kind = alerts.schema[tie].dataType.simpleString()
-    out = in_order(alerts, key, ts, [tie], [], "last_us bigint", step, f"at_us bigint, {tie} {kind}", watermark)
+    out = in_order(alerts, key, ts, [tie], [], step, f"at_us bigint, {tie} {kind}", watermark)
     return out.select(*key, F.timestamp_micros("at_us").alias(ts), tie)
 
 
@@ -96,12 +96,12 @@ def gap_stream(stream: DataFrame, key: list[str], ts: str, tie: str, gap_seconds
     """(key, gap_from, gap_to, gap_seconds) for steps over `gap_seconds`; the last instant of a key is kept."""
     limit = gap_seconds * 1e6
 
-    def step(kept: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-        us = np.concatenate((kept["last_us"].to_numpy(np.int64), rows["at_us"].to_numpy(np.int64)))
+    def step(kept: Rows, rows: Rows) -> tuple[Rows, Rows]:
+        us = np.concatenate((kept["last_us"], rows["at_us"])) if kept else rows["at_us"]
         wide = np.flatnonzero(np.diff(us) > limit)
-        return pd.DataFrame({"last_us": us[-1:]}), pd.DataFrame({"from_us": us[wide], "to_us": us[wide + 1]})
+        return {"last_us": us[-1:]}, {"from_us": us[wide], "to_us": us[wide + 1]}
 
-    out = in_order(stream, key, ts, [tie], [], "last_us bigint", step, "from_us bigint, to_us bigint", watermark)
+    out = in_order(stream, key, ts, [tie], [], step, "from_us bigint, to_us bigint", watermark)
     return out.select(*key, F.timestamp_micros("from_us").alias("gap_from"), F.timestamp_micros("to_us").alias("gap_to"),
                       ((F.col("to_us") - F.col("from_us")) / F.lit(1e6)).alias("gap_seconds"))
 
@@ -113,24 +113,24 @@ def stale_stream(stream: DataFrame, key: list[str], ts: str, watermark: str = WA
     """
     limit = int(seconds * 1e6)
 
-    def told(last: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"last_us": last, "stale_us": last + limit})
+    def told(last: np.ndarray) -> Rows:
+        return {"last_us": last, "stale_us": last + limit}
 
-    def step(kept: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-        us = np.concatenate((kept["last_us"].to_numpy(np.int64), rows["at_us"].to_numpy(np.int64)))
+    def step(kept: Rows, rows: Rows) -> tuple[Rows, Rows]:
+        us = np.concatenate((kept["last_us"], rows["at_us"])) if kept else rows["at_us"]
         silent = np.flatnonzero(np.diff(us) > limit)
-        if len(kept) and kept["told"].iloc[0]:
+        if kept and kept["told"][0]:
             silent = silent[silent > 0]
-        return pd.DataFrame({"last_us": us[-1:], "told": [False]}), told(us[silent])
+        return {"last_us": us[-1:], "told": np.zeros(1, bool)}, told(us[silent])
 
-    def look(kept: pd.DataFrame, passed: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-        due = len(kept) and not kept["told"].iloc[0] and kept["last_us"].iloc[0] + limit < passed
-        return (kept.assign(told=True), told(kept["last_us"].to_numpy(np.int64))) if due else (kept, told(np.zeros(0, np.int64)))
+    def look(kept: Rows, passed: int) -> tuple[Rows, Rows]:
+        due = kept and not kept["told"][0] and kept["last_us"][0] + limit < passed
+        return (kept | {"told": np.ones(1, bool)}, told(kept["last_us"])) if due else (kept, {})
 
-    def again(kept: pd.DataFrame) -> int | None:
-        return None if not len(kept) or kept["told"].iloc[0] else int(kept["last_us"].iloc[0]) + limit
+    def again(kept: Rows) -> int | None:
+        return None if not kept or kept["told"][0] else int(kept["last_us"][0]) + limit
 
-    return in_order(stream, key, ts, [], [], "last_us bigint, told boolean", step, "last_us bigint, stale_us bigint", watermark, (look, again))
+    return in_order(stream, key, ts, [], [], step, "last_us bigint, stale_us bigint", watermark, (look, again))
 
 
 def split_late(stream: DataFrame, ts: str, state: str, accept: Callable[[DataFrame, int], None],
@@ -179,14 +179,14 @@ def online_features(stream: DataFrame, key: list[str], ts: str, tie: list[str],
     """`key` and the columns `out` (DDL) that `features` adds to or keeps of a key's rows, as over its whole series.
 
     A key keeps its last `history` rows in list state; features see them in front of the new rows. A batch or a replayed
-    epoch touches the state of its own keys only.
+    epoch touches the state of its own buckets of keys only.
     """
     names = T.StructType.fromDDL(out).names
     columns = ["at_us", *dict.fromkeys([*tie, *values])]
-    kept = ", ".join(["at_us bigint", *[f"{c} {stream.schema[c].dataType.simpleString()}" for c in columns[1:]]])
 
-    def step(past: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-        both = pd.concat([past, rows[columns]], ignore_index=True) if len(past) else rows[columns].reset_index(drop=True)
-        return both.tail(history), features(both)[names].iloc[len(past):]
+    def step(past: Rows, rows: Rows) -> tuple[Rows, Rows]:
+        both = {c: np.concatenate((past[c], rows[c])) if past else rows[c] for c in columns}
+        made, old = features(pd.DataFrame(both)), len(past["at_us"]) if past else 0
+        return {c: v[-history:] for c, v in both.items()}, {c: made[c].to_numpy()[old:] for c in names}
 
-    return in_order(stream, key, ts, tie, values, kept, step, out, watermark)
+    return in_order(stream, key, ts, tie, values, step, out, watermark)

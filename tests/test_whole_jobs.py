@@ -123,3 +123,27 @@ def test_narratives_cost_no_more_than_a_pass(spark):
         "Raised by b x at 2 and c at 0.5. Lowered by a at 2. Score: 62.2%.", "Lowered by a at 1.25. Nothing here raises the score. Score: 22.3%.",
         "Raised by c at 100 and b x at 1. Score: 100%.", "Nothing here raises the score. Score: 50%."]
     assert "transform(" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_share_the_groups_of_the_state(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strataframe.session import fresh_path
+    from strataframe.sources.replay import record_deliveries, replay_stream
+    from strataframe.streaming import jobs as J
+    from strataframe.streaming import ordered
+
+    monkeypatch.setattr(ordered, "BUCKETS", 1)
+    rows = spark.range(90).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3 + 2**60).alias("k"),
+                                  F.timestamp_seconds(F.col("id") * 100 + F.col("id") % 7 * 60).alias("ts"), "id")
+    path = fresh_path(spark, "recording")
+    record_deliveries(rows, F.floor(F.col("id") / 45), 2, path)
+    stream = replay_stream(spark, path, "k bigint, ts timestamp, id bigint")
+    got = J.drain(J.gap_stream(stream, ["k"], "ts", "id", 400, "1 second"))
+    assert got.groupBy("k").count().count() == 3
+    us = {}
+    for r in rows.orderBy("ts", "id").collect():
+        us.setdefault(r["k"], []).append(r["ts"])
+    last = max(max(v) for v in us.values())
+    want = sorted((str(k), a, b) for k, v in us.items() for a, b in zip(v, v[1:]) if (b - a).total_seconds() > 400 and (last - b).total_seconds() > 1)
+    assert sorted((str(r["k"]), r["gap_from"], r["gap_to"]) for r in got.collect()) == want
