@@ -135,15 +135,15 @@ def test_keys_share_the_groups_of_the_state(spark, monkeypatch):
 
     monkeypatch.setattr(ordered, "BUCKETS", 1)
     rows = spark.range(90).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3 + 2**60).alias("k"),
-                                  F.timestamp_seconds(F.col("id") * 100 + F.col("id") % 7 * 60).alias("ts"), "id")
+                                  F.timestamp_seconds(1_700_000_000 + F.col("id") * 100 + F.col("id") % 7 * 60).alias("ts"), "id")
     path = fresh_path(spark, "recording")
     record_deliveries(rows, F.floor(F.col("id") / 45), 2, path)
     stream = replay_stream(spark, path, "k bigint, ts timestamp, id bigint")
-    got = J.drain(J.gap_stream(stream, ["k"], "ts", "id", 400, "1 second"))
+    got = J.drain(J.gap_stream(stream, ["k"], "ts", "id", 400, "10 minutes"))
     assert got.groupBy("k").count().count() == 3
     us = {}
     for r in rows.orderBy("ts", "id").collect():
         us.setdefault(r["k"], []).append(r["ts"])
     last = max(max(v) for v in us.values())
-    want = sorted((str(k), a, b) for k, v in us.items() for a, b in zip(v, v[1:]) if (b - a).total_seconds() > 400 and (last - b).total_seconds() > 1)
+    want = sorted((str(k), a, b) for k, v in us.items() for a, b in zip(v, v[1:]) if (b - a).total_seconds() > 400 and (last - b).total_seconds() > 600)
     assert sorted((str(r["k"]), r["gap_from"], r["gap_to"]) for r in got.collect()) == want
