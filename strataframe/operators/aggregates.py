@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions.numeric import finite, round_half_up
 from strataframe.operators.series import NEVER_HOT, join_keyed, running
+from strataframe.session import settle
 
 
 def category_counts(df: DataFrame, by: list[str], col: str, values: list[str], prefix: str = "n_") -> DataFrame:
@@ -34,8 +35,11 @@ def loo_priors(events: DataFrame, tops: DataFrame, by: str, entity: str, categor
     exp = exposure(tops, [by], entity).select(by, F.col("entities").alias("_wells"))
     pairs = tops.select(by, entity).distinct()
     counts = {f"_{o}": F.count_if(F.col(category) == c) for o, c in rates.items()}
-    own = events.groupBy(by, entity).agg(F.count(F.lit(1)).alias("_all"), *[c.alias(o) for o, c in counts.items()])
     sums = ["_all", *counts]
+    # Written once: all that follows reads these counts, and each reader would work out the events again.
+    cells = settle(events.groupBy(by, entity, severity).agg(
+        F.count(F.lit(1)).alias("_all"), *[c.alias(o) for o, c in counts.items()]), "cells")
+    own = cells.groupBy(by, entity).agg(*[F.sum(c).alias(c) for c in sums])
     total = own.groupBy(by).agg(*[F.sum(c).alias(f"{c}_t") for c in sums], F.count(F.lit(1)).alias("_hit_t"))
     base = join_keyed(join_keyed(pairs, exp, [by]), total, [by])
     base = join_keyed(base, own.withColumn("_hit", F.lit(1)), [by, entity])
@@ -52,7 +56,7 @@ def loo_priors(events: DataFrame, tops: DataFrame, by: str, entity: str, categor
         den.alias("exposure_entities"),
         left("_all").alias("_n"),
     )
-    hist = events.groupBy(by, entity, severity).agg(F.count(F.lit(1)).alias("_c"))
+    hist = cells.select(by, entity, severity, F.col("_all").alias("_c"))
     all_hist = hist.groupBy(by, severity).agg(F.sum("_c").alias("_ct"))
     grid = join_keyed(out.select(by, entity, "_n"), all_hist, [by], "inner")
     grid = join_keyed(grid, hist, [by, entity, severity])

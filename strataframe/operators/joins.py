@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions.geo import RADIUS_KM, chord_km, haversine_km, unit_xyz
-from strataframe.operators.series import checked_limit, has_hot_key, hot_limit, join_keyed, position, running
+from strataframe.operators.series import checked_limit, has_hot_key, hot_limit, join_keyed, position, row_frames, running
 
 
 def first_match_join(left: DataFrame, right: DataFrame, key: list[str], order: list[str], take: list[str],
@@ -117,6 +117,48 @@ def interval_lookup(
     return again.select(*points.columns, *[F.col(f"_hit.r.{c}").alias(c) for c in take])
 
 
+def interval_steps(intervals: DataFrame, by: list[str], lo: str, hi: str, take: list[str], order: list[str], width: float,
+                   fallback: bool = False, limit: float | None = None) -> DataFrame:
+    """`interval_lookup` as a function of the place: (by, _at, _side, take), for `along`.
+
+    The answer changes only at the ends of intervals, so it is looked up at each end (side 0) and once between it and the
+    next (side 2): as many lookups as there are ends, however many points there are.
+    """
+    ends = intervals.select(*by, F.explode(F.array(F.col(lo).cast("double"), F.col(hi).cast("double"))).alias("_at")).where(
+        F.col("_at").isNotNull()).distinct()
+    gaps = row_frames(ends, by, ["_at"], lambda w: {"_next": F.lead("_at").over(w)}, after=1, limit=limit)
+    asked = F.array(F.struct(F.lit(0).alias("s"), F.col("_at").alias("a")),
+                    F.struct(F.lit(2).alias("s"), (F.col("_at") + (F.col("_next") - F.col("_at")) / 2).alias("a")))
+    ends = gaps.select(*by, "_at", F.explode(asked).alias("_q")).select(*by, "_at", F.col("_q.s").alias("_side"), F.col("_q.a").alias("_ask"))
+    before = F.explode(F.array(F.lit(None).cast("double"), F.lit(float("-inf"))))  # no place, and one before all ends
+    first = intervals.select(*by).distinct().select(*by, before.alias("_at"), F.lit(0).alias("_side")).withColumn("_ask", F.col("_at"))
+    found = interval_lookup(first.unionByName(ends), intervals, by, "_ask", lo, hi, take, order, width, fallback, limit)
+    return found.drop("_ask")
+
+
+def asof_steps(right: DataFrame, by: list[str], at: str, take: list[str], fallback: str | None = None) -> DataFrame:
+    """`asof_join` backward as a function of the place: (by, _at, _side, take), for `along`."""
+    known = right.where(F.col(at).isNotNull())
+    steps = known.groupBy(*by, F.col(at).cast("double").alias("_at")).agg(F.max(F.struct(*take)).alias("_r"))
+    if fallback:
+        edge = _edge(known, by, at, take, fallback).select(*by, F.lit(None).cast("double").alias("_at"), F.col("_edge").alias("_r"))
+        steps = steps.unionByName(edge)
+    return steps.select(*by, "_at", F.lit(0).alias("_side"), "_r.*")
+
+
+def along(points: DataFrame, by: list[str], point: str, steps: dict[str, DataFrame], limit: float | None = None) -> DataFrame:
+    """Points with `_at`, their place, and for each of `steps` a struct of its columns there, null where it has none.
+
+    All functions lie on one axis with the points and are carried along: one shuffle and one sort for any number of them.
+    """
+    place = [*by, "_at", "_side"]
+    axis = points.withColumns({"_at": F.col(point).cast("double"), "_side": F.lit(1)})
+    for name, s in steps.items():
+        axis = axis.unionByName(s.select(*place, F.struct(*[c for c in s.columns if c not in place]).alias(name)), allowMissingColumns=True)
+    run = running(axis, by, ["_at", "_side"], {n: ("last", F.col(n)) for n in steps}, limit=limit)
+    return run.where(F.col("_side") == 1).drop("_side")
+
+
 def band_join(
     left: DataFrame,
     right: DataFrame,

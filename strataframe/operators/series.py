@@ -142,30 +142,15 @@ def position(df: DataFrame, by: list[str], order: list[str], out: str = "pos", l
     return running(df, by, order, {out: ("count", F.lit(1))}, limit=limit)
 
 
-def row_frames(
-    df: DataFrame,
-    by: list[str],
-    order: list[str],
-    exprs: Callable[[WindowSpec], dict[str, Column]],
-    before: int = 0,
-    after: int = 0,
-    limit: float | None = None,
-    then: dict[str, Column] | None = None,
-) -> DataFrame:
-    """Evaluate window expressions that look at most `before` rows back and `after` rows ahead.
+def bordered(df: DataFrame, by: list[str], order: list[str], before: int, after: int = 0, limit: float | None = None
+             ) -> tuple[DataFrame, list[str]]:
+    """Rows with what they look back and ahead to, and the columns that part them: `by`, or blocks of hot keys as well.
 
-    `exprs` receives the ordered window and returns {name: column}. `then` holds row-wise columns over them, so that a
-    frame used several times is evaluated once; with `then`, names starting with `_w_` are dropped at the end. Keys
-    over the limit are cut into blocks of `limit` rows; border rows are copied into the neighbouring block for the
-    evaluation and dropped again.
+    Rows copied into a neighbouring block go again with `inside`.
     """
-    if then:
-        out = row_frames(df, by, order, exprs, before, after, limit)
-        out = out.withColumns(then)
-        return out.drop(*[c for c in out.columns if c.startswith("_w_")])
     limit = hot_limit(df) if limit is None else limit
     if not has_hot_key(df, by, limit):
-        return df.withColumns(exprs(keyed(by, order)))
+        return df, by
     size = max(limit, before, after, 1)
     at = F.col("_pos") - 1
     own = F.floor(at / size)
@@ -177,5 +162,27 @@ def row_frames(
         )
     )
     cut = position(df, by, order, "_pos", limit).withColumn("_own", own).withColumn("_blk", F.explode(blocks))
-    out = cut.withColumns(exprs(keyed([*by, "_blk"], order)))
-    return out.where(F.col("_own") == F.col("_blk")).drop("_pos", "_own", "_blk")
+    return cut, [*by, "_blk"]
+
+
+def inside(df: DataFrame) -> DataFrame:
+    """Rows of `bordered` without the copies."""
+    return df.where(F.col("_own") == F.col("_blk")).drop("_pos", "_own", "_blk") if "_blk" in df.columns else df
+
+
+def row_frames(
+    df: DataFrame,
+    by: list[str],
+    order: list[str],
+    exprs: Callable[[WindowSpec], dict[str, Column]],
+    before: int = 0,
+    after: int = 0,
+    limit: float | None = None,
+) -> DataFrame:
+    """Evaluate window expressions that look at most `before` rows back and `after` rows ahead.
+
+    `exprs` receives the ordered window and returns {name: column}. Keys over the limit are cut into blocks of `limit`
+    rows; border rows are copied into the neighbouring block for the evaluation and dropped again.
+    """
+    cut, parts = bordered(df, by, order, before, after, limit)
+    return inside(cut.withColumns(exprs(keyed(parts, order))))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from strataframe.functions.numeric import finite
-from strataframe.operators.series import join_keyed, keyed, order_cols, position, row_frames, running
+from strataframe.operators.series import (
+    NEVER_HOT, bordered, inside, join_keyed, keyed, order_cols, position, row_frames, running,
+)
 
 # Trailing windows in rows, history needed, and the smallest usable baseline.
 ROLLING_ROWS = 20
@@ -22,13 +28,59 @@ def trailing(w: WindowSpec, n: int = ROLLING_ROWS) -> WindowSpec:
     return w.rowsBetween(-n, -1)
 
 
-def baselines(w: WindowSpec, cols: list[str], n: int = ROLLING_ROWS) -> dict[str, Column]:
-    """Trailing median and count of finite values per column, under the names the helpers below read."""
-    out = {}
-    for c in cols:
-        out[f"_w_med_{c}"] = F.percentile(finite(c), F.lit(0.5)).over(trailing(w, n))
-        out[f"_w_cnt_{c}"] = F.count(finite(c)).over(trailing(w, n))
-    return out
+def _middle(held: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Median of the values marked `ok` in every row, NaN without any."""
+    counts = ok.sum(axis=1)
+    ranked = np.sort(np.where(ok, held, np.inf), axis=1)
+    rows = np.arange(len(held))
+    low, high = ranked[rows, np.maximum(counts - 1, 0) // 2], ranked[rows, counts // 2]
+    return np.where(counts == 0, np.nan, np.where(low == high, low, 0.5 * low + 0.5 * high))
+
+
+def _slope(held: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Least-squares slope of the values marked `ok` against their place in the row, NaN below two of them."""
+    counts = ok.sum(axis=1)
+    n = np.maximum(counts, 1)[:, None]
+    place, value = np.where(ok, np.arange(held.shape[1], dtype=float), 0.0), np.where(ok, held, 0.0)
+    off = np.where(ok, place - place.sum(axis=1, keepdims=True) / n, 0.0)
+    up = np.where(ok, value - value.sum(axis=1, keepdims=True) / n, 0.0)
+    return np.divide((off * up).sum(axis=1), (off * off).sum(axis=1), out=np.full(len(held), np.nan), where=counts > 1)
+
+
+def trailing_frames(df: DataFrame, by: list[str], order: list[str], medians: list[str] = [], slopes: dict[str, tuple[str, int]] = {},  # noqa: B006
+                    n: int = ROLLING_ROWS, limit: float | None = None) -> DataFrame:
+    """Medians and slopes over the rows before the current one, and the counts of finite values behind them.
+
+    `medians` lists columns (`_w_med_c`, `_w_cnt_c`, over `n` rows), `slopes` is {name: (column, rows)} (`_w_slope_name`,
+    `_w_have_name`, against the row index). A sliding frame in Spark folds its rows anew for every row; here sorted rows come
+    in Arrow batches, and each batch keeps the last rows of the one before it.
+    """
+    back = max([n] * bool(medians) + [k for _, k in slopes.values()])
+    cut, parts = bordered(df, by, order, back, limit=limit)
+    placed = position(cut, parts, order, "_w_row", NEVER_HOT)  # the rows of a part come one after another
+    used = sorted({*medians, *(c for c, _ in slopes.values())})
+    asked = [(f"_w_med_{c}", f"_w_cnt_{c}", used.index(c), n, _middle) for c in medians]
+    asked += [(f"_w_slope_{o}", f"_w_have_{o}", used.index(c), k, _slope) for o, (c, k) in slopes.items()]
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        tails, last = [np.full(back, np.nan) for _ in used], -1
+        for place, *values in batches:
+            row = place.to_numpy(zero_copy_only=False)
+            if ((row != 1) & (row != np.append(last, row)[:-1] + 1)).any():
+                raise RuntimeError("rows of a key do not follow one another")
+            last, earlier, views, out = row[-1] if len(row) else last, row[:, None] - 1, [], []
+            for i, v in enumerate(values):
+                full = np.concatenate([tails[i], v.to_numpy(zero_copy_only=False).astype(float)])
+                tails[i] = full[len(full) - back:]
+                views.append(np.lib.stride_tricks.sliding_window_view(full, back)[:len(row)])
+            for _, _, i, k, measure in asked:
+                held = views[i][:, back - k:]
+                ok = (np.arange(k) >= k - earlier) & ~np.isnan(held)
+                out += [pa.array(measure(held, ok), from_pandas=True), pa.array(ok.sum(axis=1))]
+            yield pa.StructArray.from_arrays(out, [name for a in asked for name in a[:2]])
+
+    found = F.arrow_udf(run, ", ".join(f"`{value}` double, `{count}` long" for value, count, *_ in asked)).asNondeterministic()
+    return inside(placed.withColumn("_w", found("_w_row", *[finite(c) for c in used])).select("*", "_w.*").drop("_w", "_w_row"))
 
 
 def local_ratio(col: str) -> Column:
@@ -44,14 +96,8 @@ def trailing_deficit(col: str) -> Column:
     return base - F.coalesce(F.col(col), F.lit(0.0))
 
 
-def slope_frames(w: WindowSpec, name: str, col: str, n: int) -> dict[str, Column]:
-    """Least-squares slope over the n rows before against the row index in `_x`, and the count behind it."""
-    return {f"_w_slope_{name}": F.regr_slope(finite(col), F.col("_x")).over(trailing(w, n)),
-            f"_w_have_{name}": F.count(finite(col)).over(trailing(w, n))}
-
-
 def trailing_slope(name: str, least: int = MIN_HISTORY, scale: float = SLOPE_SCALE) -> Column:
-    """The slope of `slope_frames` times `scale`; 0 below `least` values."""
+    """The slope of `trailing_frames` times `scale`; 0 below `least` values."""
     return F.when(F.col(f"_w_have_{name}") >= least, F.col(f"_w_slope_{name}") * scale).otherwise(F.lit(0.0))
 
 
@@ -64,28 +110,25 @@ def forward_peak(w: WindowSpec, col: str, k: int) -> Column:
     return F.greatest(F.lit(0.0), F.max(F.col(col).cast("double")).over(w.rowsBetween(0, k - 1)))
 
 
+def _trailed(framed: DataFrame, then: dict[str, Column]) -> DataFrame:
+    """Columns over what `trailing_frames` found, without that."""
+    out = framed.withColumns(then)
+    return out.drop(*[c for c in out.columns if c.startswith("_w_")])
+
+
 def local_ratios(df: DataFrame, by: list[str], order: list[str], cols: list[str], n: int = ROLLING_ROWS) -> DataFrame:
-    return row_frames(df, by, order, lambda w: baselines(w, cols, n), before=n,
-                      then={f"{c}_ratio": local_ratio(c) for c in cols})
+    return _trailed(trailing_frames(df, by, order, cols, n=n), {f"{c}_ratio": local_ratio(c) for c in cols})
 
 
 def deficits(df: DataFrame, by: list[str], order: list[str], cols: list[str], n: int = ROLLING_ROWS) -> DataFrame:
-    return row_frames(df, by, order, lambda w: baselines(w, cols, n), before=n,
-                      then={f"{c}_deficit": trailing_deficit(c) for c in cols})
+    return _trailed(trailing_frames(df, by, order, cols, n=n), {f"{c}_deficit": trailing_deficit(c) for c in cols})
 
 
 def slopes(df: DataFrame, by: list[str], order: list[str], specs: dict[str, tuple],
            limit: float | None = None) -> DataFrame:
     """specs: {out: (column, rows, least, scale)}."""
-    back = max(s[1] for s in specs.values())
-    indexed = position(df, by, order, "_x", limit).withColumn("_x", F.col("_x").cast("double"))
-
-    def frames(w):
-        return {k: v for o, (c, n, _, _) in specs.items() for k, v in slope_frames(w, o, c, n).items()}
-
-    out = row_frames(indexed, by, order, frames, before=back, limit=limit,
-                     then={o: trailing_slope(o, least, scale) for o, (_, _, least, scale) in specs.items()})
-    return out.drop("_x")
+    framed = trailing_frames(df, by, order, slopes={o: (c, n) for o, (c, n, _, _) in specs.items()}, limit=limit)
+    return _trailed(framed, {o: trailing_slope(o, least, scale) for o, (_, _, least, scale) in specs.items()})
 
 
 def smoothed(df: DataFrame, by: list[str], order: list[str], col: str, back: int = 5, out: str = "smoothed") -> DataFrame:

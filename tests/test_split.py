@@ -241,3 +241,36 @@ def test_nearest_events_keep_null_keys_at_every_size(spark):
     ev = spark.createDataFrame([(k, 9.0 + i, i) for k in (None, "a") for i in range(3)], "k string, e double, event_id long")
     few, many = (rows(J.nearest_events(pts, ev, ["k"], "x", "e", 3, 5, 5, ["event_id"], lim)) for lim in (S.NEVER_HOT, 2))
     assert len(few) == 6 and sorted(set(many), key=repr) == few
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_steps_are_the_lookup(tied, fallback):
+    pts, iv = tied
+    for lim in (10, float("inf")):
+        want = rows(J.interval_lookup(pts, iv, ["k"], "x", "lo", "hi", ["no"], ["no"], 40.0, fallback, lim))
+        steps = J.interval_steps(iv, ["k"], "lo", "hi", ["no"], ["no"], 40.0, fallback, lim)
+        near = J.asof_steps(iv, ["k"], "lo", ["no"], "first")
+        got = J.along(pts, ["k"], "x", {"a": steps, "b": near}, lim)
+        assert rows(got.select(*pts.columns, "a.no")) == want
+        assert rows(got.select(*pts.columns, "b.no")) == rows(J.asof_join(pts, iv, ["k"], "x", "lo", ["no"], "backward", "first", lim))
+
+
+def test_trailing_frames_match_plain_windows(skewed):
+    """Medians and slopes in batches, also where a batch ends within a key."""
+    odd = skewed.withColumn("v", F.when(F.col("id") % 31 == 0, F.lit(float("nan"))).otherwise(F.col("v")))
+    w = S.keyed(["k"], ["at", "id"])
+    x = odd.withColumn("x", F.row_number().over(w).cast("double"))
+    v, back, short = F.when(~F.isnan("v"), F.col("v")), w.rowsBetween(-20, -1), w.rowsBetween(-12, -1)
+    want = x.select("id", F.percentile(v, F.lit(0.5)).over(back), F.count(v).over(back), F.round(F.regr_slope(v, F.col("x")).over(short), 9),
+                    F.count(v).over(short))
+    want = rows(want)
+    spark = skewed.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for lim in (40, S.NEVER_HOT):
+            got = W.trailing_frames(odd, ["k"], ["at", "id"], ["v"], {"s": ("v", 12)}, limit=lim)
+            got = rows(got.select("id", "_w_med_v", "_w_cnt_v", F.round("_w_slope_s", 9), "_w_have_s"))
+            assert [r for r in got if r[4] > 1] == [r for r in want if r[4] > 1]
+            assert [r[:3] for r in got] == [r[:3] for r in want]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -147,3 +147,17 @@ def test_keys_share_the_groups_of_the_state(spark, monkeypatch):
     last = max(max(v) for v in us.values())
     want = sorted((str(k), a, b) for k, v in us.items() for a, b in zip(v, v[1:]) if (b - a).total_seconds() > 400 and (last - b).total_seconds() > 600)
     assert sorted((str(r["k"]), r["gap_from"], r["gap_to"]) for r in got.collect()) == want
+
+
+def test_features_take_one_sort_and_code_the_jvm_compiles(spark):
+    from strataframe.plans.registry import QUERIES
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        execution = QUERIES["m1_build_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        codes = execution.debug().codegenToSeq()
+        assert max(codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())) < 8000  # HotSpot's limit
+        plan = execution.executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "percentile(" not in plan and plan.count("lineitem.parquet") == 1  # incidents: before
