@@ -53,6 +53,14 @@ def block_rows(posts: DataFrame, placed: DataFrame, ref: str, value: str) -> Dat
                          *[F.col(f"b.{c}").alias(c) for c in ("block", "n", "most", "least")])
 
 
+def cut_blocks(pos: np.ndarray, value: np.ndarray, size: np.ndarray) -> tuple:
+    """One term's postings in a shard as the columns of `block_rows`; `size` goes by position."""
+    order = np.argsort(pos)
+    pos, value = pos[order], value[order]
+    block, first, counts = np.unique(pos // BLOCK_ITEMS, return_index=True, return_counts=True)
+    return pos, value, block, counts, np.maximum.reduceat(value, first).astype(float), np.minimum.reduceat(size[pos], first)
+
+
 class TermBlocks:
     """All blocks of one term in a shard; impacts are worked out when a query first reads some."""
 
@@ -113,7 +121,8 @@ def block_topk(parts: list[tuple[DataFrame, DataFrame, int]], asked: DataFrame,
                floor: float = 0.0, negative: bool = False) -> DataFrame:
     """(qid, ref, score): at most `k` rows per query and shard, rounded, ties by smaller ref.
 
-    `parts` has for each segment its items (ref, shard, pos, size), its blocks and its number of shards; `asked` is (qid,
+    `parts` has for each segment its items (ref, shard, pos, size), its blocks, or its postings (ref, term, value) if it has
+    none, and its number of shards. Blocks of postings are cut in the shard, for the terms that are asked. `asked` is (qid,
     term, weight). With `negative` scores are rounded as their negatives, so that halves go the other way. Scores
     have to pass `floor` after rounding.
     """
@@ -126,7 +135,11 @@ def block_topk(parts: list[tuple[DataFrame, DataFrame, int]], asked: DataFrame,
     for items, blocks, shards in parts:
         heads = items.where("size is not null").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("size").cast("double").alias("size"), F.col(ref).alias("ref")))).alias("p"))
         heads = heads.select((F.col("shard") + first).alias("shard"), F.col("p.pos").alias("pos"), F.col("p.size").alias("sizes"), F.col("p.ref").alias("refs"))
-        used = blocks.join(terms, "term", "left_semi").withColumn("shard", F.col("shard") + first)
+        used = blocks.join(terms, "term", "left_semi")
+        if "shard" not in used.columns:
+            used = used.join(items.select(ref, "shard", "pos"), ref).repartition("term", "shard").groupBy("term", "shard").agg(
+                F.collect_list(F.struct("pos", "value")).alias("p")).select("term", "shard", "p.pos", "p.value")
+        used = used.withColumn("shard", F.col("shard") + first)
         both = used.unionByName(heads, allowMissingColumns=True)
         left = both if left is None else left.unionByName(both)
         first += shards
@@ -144,7 +157,11 @@ def block_topk(parts: list[tuple[DataFrame, DataFrame, int]], asked: DataFrame,
             width = (int(last) // BLOCK_ITEMS + 1) * BLOCK_ITEMS
             size, live, refs = np.ones(width), np.zeros(width, bool), np.empty(width, object)
             size[places], live[places], refs[places] = head["sizes"].iloc[0], True, list(head["refs"].iloc[0])
-            terms = {r[0]: TermBlocks(*r[1:], measure) for r in zip(*[rows[c] for c in ("term", "pos", "value", "block", "n", "most", "least")])}
+            terms = {}
+            for r in rows.to_dict("records"):
+                cut = [r[c] for c in ("pos", "value", "block", "n", "most", "least")] if r.get("block") is not None else cut_blocks(
+                    r["pos"], r["value"], size)
+                terms[r["term"]] = TermBlocks(*cut, measure)
             scale = 10.0**DIGITS
             for q, words in zip(queries[qid], queries["asked"]):
                 at, score, _ = shard_topk(terms, [(w["term"], w["weight"]) for w in words], size, live, k, floor)

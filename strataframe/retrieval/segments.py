@@ -19,6 +19,7 @@ from strataframe.retrieval.index import idf_weights, postings, tfidf
 from strataframe.retrieval.ranked import SHARD_ITEMS, block_rows, place_items, shards_for
 
 TABLES = ("words", "stems", "vectors", "items", "lexical", "semantic", "changes", "gone")
+SEARCHED = {"lexical": ("words", "tf"), "semantic": ("vectors", "weight")}  # blocks and the postings they hold
 POSTINGS = {"word": "words", "stem": "stems"}  # an index of one kind has only what that kind needs
 MANIFEST = "position int, name string, shards int, items bigint, docs bigint, word_count bigint, kinds string, blocks boolean"
 
@@ -82,12 +83,13 @@ class SearchIndex:
         return idf_weights(self.lexicon("stem"), F.lit(self.items))
 
     def parts(self, table: str, size: str, allowed: DataFrame | None = None) -> list[tuple[DataFrame, DataFrame, int]]:
-        """What `block_topk` reads of each segment: live (and allowed) items with their size, blocks, number of shards."""
+        """What `block_topk` reads of each segment: live (and allowed) items with their size, blocks or postings, number of shards."""
         out = []
         for k, s in enumerate(self.segments):
             items = self.live("items", k).select("ref", "shard", "pos", F.col(size).alias("size"))
             items = items if allowed is None else items.join(allowed, "ref", "left_semi")
-            out.append((items, s.read(table), s.shards))
+            rows, value = SEARCHED[table]
+            out.append((items, s.read(table) if self.blocks else s.read(rows).select("ref", "term", F.col(value).alias("value")), s.shards))
         return out
 
 
@@ -168,8 +170,8 @@ def build(items: DataFrame, ref: str, text: Column, path: str, shard_items: int
           kinds: tuple[str, ...] = tuple(POSTINGS), blocks: bool = True) -> SearchIndex:
     """A new index of one segment; `path` must be new. Items with one ref count as one item with all their texts.
 
-    Lexical search needs the kind word, search by vectors the kind stem; without `blocks` there are statistics and vectors
-    only, until `with_blocks`.
+    Lexical search needs the kind word, search by vectors the kind stem. `blocks` serve many searches; without them a search
+    reads the postings of its terms and cuts blocks of these, until `with_blocks`.
     """
     spark = items.sparkSession
     src = items.select(F.col(ref).alias("ref"), text.alias("_text"))

@@ -130,3 +130,31 @@ def test_bounds_leave_postings_unread():
     best = np.argsort(-full, kind="stable")[:10]
     assert set(best) <= set(at) and np.allclose(np.sort(scores)[::-1][:10], full[best])
     assert read < 0.2 * sum(len(t.pos) for t in terms.values())
+
+
+def test_an_index_without_blocks_reads_the_postings_of_asked_terms(spark, monkeypatch):
+    import os
+
+    rows = texts(400, 6) + [(900, ""), (901, None)]
+    asked = [tuple(r) for r in queries(spark).collect()]
+    monkeypatch.setattr(segments, "_write_blocks", None)
+    index = segments.build(frame(spark, rows), "ref", F.col("text"), fresh_path(spark, "index"), shard_items=90, blocks=False)
+    assert found(index, spark, 7) == bm25(rows, asked, 7)
+    assert not {"lexical", "semantic"} & set(os.listdir(index.segments[0].folder))
+    changed = {3: "common w5 w5", 402: "w7 common"}
+    after = segments.update(index, frame(spark, list(changed.items())), "ref", F.col("text"), frame(spark, [(0, "")]))
+    now = {**dict(rows), **changed}
+    del now[0]
+    assert found(after, spark, 7) == bm25(list(now.items()), asked, 7)
+
+
+def test_registered_searches_write_no_blocks(spark):
+    import os
+
+    from conftest import SF
+
+    from strataframe.plans import retrieving
+
+    retrieving.j15(spark, SF).count()
+    for kind in ("word", "stem"):
+        assert not {"lexical", "semantic"} & set(os.listdir(retrieving.indexed(spark, SF, kind).segments[0].folder))
