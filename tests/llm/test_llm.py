@@ -518,3 +518,13 @@ def test_sample_takes_one_text_of_a_repeated_id(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
     texts, ys, _ = labelled.sample(docs, labels, "quality", F.lit(True), 10)
     assert (texts, ys) == (["text 0000", "other"], [1, 0])
+
+
+@pytest.mark.parametrize("name,spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_a_full_store_keeps_the_chunks_that_are_met_again(name, spaces):
+    own = ChunkEncoder(public_tokenizers.path(name), spaces, limit=3)
+    text = "one two, three don't four2 five. one"
+    ids = own.encode([text])
+    assert ids == [np.array(own.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]
+    own.library = None  # every chunk is known
+    assert own.encode([text, "one two, three"])[0] == own.encode([text])[0] == ids[0]
