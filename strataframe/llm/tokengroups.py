@@ -1,12 +1,13 @@
 """Exact Jaccard similarity join on word shingles with a token-group matrix.
 
-Equal sets are one set from the start. Sets that agree in a least hash, as similar sets mostly do, are put into groups of
-bounded size; the matrix keeps each group's sets and the union of their tokens. Four independent least hashes are taken: a
-set goes by the one that most sets share with it, so that a family of near copies fills few groups and leaves few members
-scattered over groups of their own.
-
-* Candidates: in a fixed order of all tokens (frequent ones last) two sets that link share a token in their prefixes, so
-  a group is asked about another only if they share a prefix token, with sizes that allow a link.
+Equal sets are one set from the start. Sets that agree in two least hashes, as similar sets mostly do, are put into groups
+of bounded size; the matrix keeps each group's sets and the union of their tokens. Four independent least hashes give six
+pairs: a set goes by the one that most sets share with it, so that a family of near copies fills few groups and leaves few
+members scattered over groups of their own. One least hash would not do: sets that only have a common token agree in it.
+
+* Candidates: all tokens are dealt, by their value, to one part more than two sets that link may have tokens apart, so
+  one part is the same in both. A group is asked about another only if they share a part.
+  A part holds several tokens, so sets that only have some common tokens share none.
 * Bound: the matrix holds each group's union as a bitmap of hashed tokens, and each set's. Every bit of a set that the
   union lacks is a token that no set of the group has; a set with too many of them links with nothing there. The bitmaps
   of the sets tell the same of single pairs.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,18 +33,19 @@ from pyspark.sql import functions as F
 
 from strataframe.llm.chunked import blocks
 from strataframe.llm.components import connected
-from strataframe.llm.shingles import shingle_sets
+from strataframe.llm.shingles import mix, shingle_sets
 from strataframe.session import settle
 
 CELL = 48  # sets in a group, on average
 PAIRS_AT_ONCE = 60
-FREQUENT = 200_000  # tokens whose frequency is known to all tasks; only the order of tokens depends on them
+STRETCH = 1.4  # largest by least size of a class of sets that are dealt to equally many parts
 HOT = 50_000  # buckets joined beforehand; those beyond are joined like all others
 BLOCK = 1_000_000
 BITS = 4096  # of a bitmap
 SLOTS = 1 << 18  # 64-bit words of the table that is broadcast before texts are fetched
 # Tokens are random numbers, so the one nearest to a constant, by exclusive or, is a random choice for each constant.
 TURNS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x5851F42D4C957F2D], np.uint64)
+ONE, TWO = np.triu_indices(len(TURNS), 1)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int):
@@ -57,52 +60,85 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _signed(x) -> int:
-    x = int(x)
-    return x - (1 << 64) if x >= 1 << 63 else x
+def leasts(tokens: np.ndarray) -> list[int]:
+    """A key for every two of the least hashes."""
+    least = np.array([(tokens ^ t).min() for t in TURNS])
+    return mix(least[ONE] + mix(least[TWO])).astype(np.int64).tolist()
 
 
-def leasts(tokens: np.ndarray) -> list[int]:
-    return [_signed((tokens ^ t).min()) for t in TURNS]
+@lru_cache(maxsize=None)
+def class_of(n: int) -> tuple[int, int]:
+    """Least and largest size in the class of size `n`."""
+    low = 1
+    while (end := max(low + 1, int(low * STRETCH))) <= n:
+        low = end
+    return low, end - 1
 
 
-def describe(docs: DataFrame, words: int) -> DataFrame:
-    """A row per document (id, hash of the text, size and digest of its set, least hashes), and rows of frequent tokens.
+@lru_cache(maxsize=None)
+def parts_of(low: int, high: int, percent: int) -> tuple[int, int]:
+    """For links whose smaller set is in the class: tokens that two such sets may have apart, number of parts.
+
+    There are some more parts than needed, for those that stay empty.
+    """
+    apart = (high + 100 * high // percent) * (100 - percent) // (100 + percent)
+    for spare in range(apart // 4 + 1):
+        empty = (apart + 1 + spare) * np.exp(-low / (apart + 1 + spare))
+        if empty + 2 * np.sqrt(empty) <= spare:
+            break
+    return apart, apart + 1 + spare
 
-    Every task counts its tokens and reports those met often; single ones are forgotten whenever the count grows large.
+
+def part_keys(tokens: np.ndarray, mixed: np.ndarray, low: int, high: int, percent: int) -> np.ndarray:
+    """Hashes of the parts of a set for links whose smaller set is in the class; two sets that link there share one.
+
+    If all parts that are equal in two such sets are empty, all others differ, of which there are at most `apart`. A set with
+    tokens in so few parts also gives its prefix in the order of values, of which two sets that link share a token too.
     """
+    apart, parts = parts_of(low, high, percent)
+    if not apart:
+        return tokens[:0]
+    part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    starts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
+    place = mix(np.append(part[starts], np.uint64(parts)) + np.uint64(low << 32))
+    found = np.add.reduceat(mixed, starts) + place[:-1]
+    if len(starts) <= apart:
+        found = np.concatenate((found, tokens[: len(tokens) + (-len(tokens) * percent // 100) + 1] + place[-1]))
+    return mix(found)
+
+
+def all_part_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """`part_keys` of the set's own class and of those of the smaller sets it may link with."""
+    mixed = mix(tokens)
+    low, high = class_of(len(tokens))
+    found = [part_keys(tokens, mixed, low, high, percent)]
+    while low > 1 and 100 * (low - 1) >= percent * len(tokens):
+        low, high = class_of(low - 1)
+        found.append(part_keys(tokens, mixed, low, high, percent))
+    return np.concatenate(found).astype(np.int64)
+
+
+def describe(docs: DataFrame, words: int) -> DataFrame:
+    """A row per document: id, hash of the text, size and digest of its set, keys of its least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for (ids, hashes), sets in _sets(batches, words):
             yield pa.RecordBatch.from_arrays([
                 ids, hashes, pa.array([len(x) for x in sets], pa.int32()), pa.array([_digest(x) if len(x) else None for x in sets], pa.binary()),
-                pa.array([leasts(x) if len(x) else None for x in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.int64()),
-                pa.nulls(len(sets), pa.int64())], names=names)
-            one, n = np.unique(np.concatenate(sets), return_counts=True)
-            tokens, back = np.unique(np.concatenate((tokens, one)), return_inverse=True)
-            counts = np.bincount(back, np.concatenate((counts, n))).astype(np.int64)
-            if len(tokens) > 1_000_000:
-                tokens, counts = tokens[counts > 1], counts[counts > 1]
-        often = counts >= 3
-        if often.any():
-            k = int(often.sum())
-            yield pa.RecordBatch.from_arrays([
-                pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
-                pa.nulls(k, pa.list_(pa.int64())), pa.array(tokens[often].astype(np.int64)), pa.array(counts[often])], names=names)
+                pa.array([leasts(x) if len(x) else None for x in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n", "sig", "leasts"])
 
-    names = ["doc_id", "text_hash", "n", "sig", "leasts", "token", "seen"]
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n int, sig binary, leasts array<long>, token long, seen long")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n int, sig binary, leasts array<long>")
 
 
-def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, rank: np.ndarray, hot: dict[tuple[int, int], int]) -> DataFrame:
-    """A row per set and task: digest, size, least hashes, prefix in the order of tokens; in a hot bucket all tokens too.
+def dealt_sets(docs: DataFrame, words: int, percent: int, hot: dict[tuple[int, int], int]) -> DataFrame:
+    """A row per set and task: digest, size, key it goes by, hashes of its parts; in a hot bucket all tokens too.
 
-    `turn` is the least hash that the set goes by: that of its largest hot bucket, else the first; `other` is that of the next
+    `least` is the key that the set goes by: that of its largest hot bucket, else the first; `other` is that of the next
     largest hot one, if any.
     """
 
-    names = ["sig", "n", "leasts", "turn", "other", "index", "front", "bits", "full"]
+    names = ["sig", "n", "turn", "least", "other_turn", "other", "front", "bits", "full"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
@@ -112,30 +148,24 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, ra
                 if not len(x) or (sig := _digest(x)) in met:
                     continue
                 met.add(sig)
-                n = len(x)
-                order = x
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
-                    order = x[np.lexsort((x, np.where(frequent[at] == x, rank[at], 0)))]
-                front = order[: n + (-n * percent // 100) + 1].astype(np.int64)
                 least = leasts(x)
                 crowd = [hot.get((k, h), 0) for k, h in enumerate(least)]
-                by_size = sorted(range(len(crowd)), key=lambda k: -crowd[k])
-                is_hot, other = crowd[by_size[0]], by_size[1] if crowd[by_size[1]] else None
-                rows.append((sig, n, least, by_size[0], other, n + (-2 * percent * n // (100 + percent)) + 1,
-                             front, bitmap(x), x.tobytes() if is_hot else None))
+                turn, other = sorted(range(len(crowd)), key=lambda k: -crowd[k])[:2]
+                again = (other, least[other]) if crowd[other] else (None, None)
+                rows.append((sig, len(x), turn, least[turn], *again, all_part_keys(x, percent), bitmap(x), x.tobytes() if crowd[turn] else None))
             if len(met) > 500_000:
                 met.clear()
             if rows:
-                sig, n, least, turn, other, index, front, bits, full = zip(*rows)
+                sig, n, turn, least, other_turn, other, front, bits, full = zip(*rows)
                 ends = np.concatenate(([0], np.cumsum([len(f) for f in front])))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(least, pa.list_(pa.int64())), pa.array(turn, pa.int32()), pa.array(other, pa.int32()),
-                    pa.array(index, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(front))),
+                    pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(turn, pa.int32()), pa.array(least, pa.int64()),
+                    pa.array(other_turn, pa.int32()), pa.array(other, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(front))),
                     pa.array(bits, pa.binary()), pa.array(full, pa.binary())], names=names)
 
     return docs.select("text").mapInArrow(
-        run, "sig binary, n int, leasts array<long>, turn int, other int, index int, front array<long>, bits binary, full binary")
+        run, "sig binary, n int, turn int, least long, other_turn int, other long, front array<long>, bits binary, full binary")
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -334,23 +364,17 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"),
                          F.col(text).cast("string").alias("text"))
-    told = settle(describe(source, words), "sets")
-    rows = told.where(F.col("n").isNotNull()).select("doc_id", "text_hash", "n", "sig", "leasts")
-    frequent = told.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(
-        F.desc("seen"), "token").limit(FREQUENT).collect()  # at most FREQUENT rows
-    tokens = np.array([r["token"] for r in frequent], dtype=np.int64).astype(np.uint64)
-    order = np.argsort(tokens)
-    tokens, rank = tokens[order], np.array([r["seen"] for r in frequent], dtype=np.int64)[order]
+    rows = settle(describe(source, words), "sets")
     distinct = rows.where(F.col("n") > 0).groupBy("sig").agg(F.first("leasts").alias("leasts")).select(F.posexplode("leasts").alias("turn", "least"))
     buckets = distinct.groupBy("turn", "least").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CELL)
     hottest = buckets.orderBy(F.desc("size"), "turn", "least").limit(HOT).collect()  # at most HOT rows
     hot = {(r["turn"], r["least"]): r["size"] for r in hottest}
-    front = settle(prefixes(source, words, percent, tokens, rank, hot), "prefixes")
+    front = settle(dealt_sets(source, words, percent, hot), "parts")
 
     if hot:
-        turn, other = (F.xxhash64(c, F.col("leasts")[F.col(c)]) for c in ("turn", "other"))
         large = front.where(F.col("full").isNotNull()).select(
-            "sig", "full", turn.alias("bucket"), F.when(F.col("other").isNotNull(), other).alias("other"))
+            "sig", "full", F.xxhash64("turn", "least").alias("bucket"),
+            F.when(F.col("other").isNotNull(), F.xxhash64("other_turn", "other")).alias("other"))
         first = settle(join_cells(dealt_cells(large, "bucket"), percent), "links")
         again = first.where(F.col("b").isNull()).select(
             F.col("a").alias("sig"), "full", F.col("other").alias("bucket"), F.lit(None).cast("long").alias("other"))
@@ -360,9 +384,12 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
     else:
         known = spark.createDataFrame([], "sig binary, comp binary")
 
-    # Groups: by the least hash that a set goes by; in hot buckets by component first if that has enough sets for groups of its own.
-    went_by = F.xxhash64("turn", F.col("leasts")[F.col("turn")])
-    one = front.groupBy("sig").agg(F.first(went_by).alias("least")).join(known, "sig", "left")
+    # Groups: by the key that a set goes by; in hot buckets by component first if that has enough sets for groups of its own.
+    # The buckets of other sets are small, so their groups need no table, unless there are more large buckets than were listed.
+    # Group ids are short, as most of what is shuffled are ids; two groups of one id are one group.
+    keyed = front.withColumn("least", F.xxhash64("turn", "least"))
+    listed = F.lit(True) if len(hot) >= HOT else F.col("full").isNotNull()
+    one = keyed.where(listed).groupBy("sig").agg(F.first("least").alias("least")).join(known, "sig", "left")
     by_comp = one.where(F.col("comp").isNotNull()).groupBy("least", "comp").agg(F.count(F.lit(1)).alias("in_comp")).where(
         F.col("in_comp") >= CELL // 3)
     crowded = one.groupBy("least").agg(F.count(F.lit(1)).alias("in_bucket")).where(F.col("in_bucket") > CELL)
@@ -370,17 +397,15 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
     deal = lambda size: F.pmod(F.xxhash64("sig", F.lit(3)), F.ceil(F.coalesce(size, F.lit(1)) / CELL))
     dealt = one.join(by_comp, ["least", "comp"], "left").join(crowded, "least", "left").select(
         "sig", F.when(own, F.xxhash64("comp")).alias("comp"),
-        F.when(own, F.xxhash64("least", "comp", deal(F.col("in_comp")))).otherwise(
-            F.xxhash64("least", deal(F.col("in_bucket")))).alias("gid"))
+        F.when(own, F.hash("least", "comp", deal(F.col("in_comp")))).otherwise(
+            F.hash("least", deal(F.col("in_bucket")))).alias("gid"))
     groups = settle(dealt, "groups")
+    stood = ["sig", "n", "front", "bits", "gid", "comp"]
+    placed = keyed.where(listed).join(groups, "sig").select(stood).unionByName(keyed.where(~listed).withColumn(
+        "gid", F.hash("least", F.lit(0).cast("long"))).withColumn("comp", F.lit(None).cast("long")).select(stood))
 
-    # Postings of tokens that several groups have, without those whose groups are of one component.
-    said = front.select("sig", "n", "index", "front").join(groups, "sig").select(
-        "gid", "comp", "n", "index", F.posexplode("front").alias("at", "token"))
-    place = said.select("token", "gid", "comp", F.when(F.col("at") < F.col("index"), F.col("n")).otherwise(-F.col("n")).alias("n"))
-    index_n = F.when(F.col("n") > 0, F.col("n"))
-    postings = place.repartition(F.col("token")).groupBy("token", "gid", "comp").agg(
-        F.min(index_n).alias("lo_i"), F.max(index_n).alias("hi_i"), F.min(F.abs("n")).alias("lo"), F.max(F.abs("n")).alias("hi"))
+    # Postings of parts that several groups have, without those whose groups are of one component.
+    postings = placed.select("gid", "comp", F.explode("front").alias("token")).repartition(F.col("token")).distinct()
     of_token = Window.partitionBy("token")
     counted = postings.withColumn("total", F.count(F.lit(1)).over(of_token)).withColumn("named", F.count("comp").over(of_token)).withColumn(
         "c1", F.min("comp").over(of_token)).withColumn("c2", F.max("comp").over(of_token))
@@ -391,39 +416,40 @@ def similar_components(docs: DataFrame, words: int = 3, percent: int = 90, doc_i
     right = shared.join(lead, "token", "left")
     left = right.where(F.col("comp").isNull() | F.col("lead").isNull() | (F.col("comp") != F.col("lead")))
     x, y = left.alias("x"), right.alias("y")
-    fits = lambda p, q: (F.col(f"{p}.lo_i") <= F.col(f"{q}.hi")) & (100 * F.col(f"{p}.hi_i") >= percent * F.col(f"{q}.lo"))
     apart = F.col("x.comp").isNull() | F.col("y.comp").isNull() | (F.col("x.comp") != F.col("y.comp"))
     once_only = (F.col("x.gid") < F.col("y.gid")) | ((F.col("x.gid") > F.col("y.gid")) & (F.col("y.comp") == F.col("y.lead")))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & once_only & apart & (fits("x", "y") | fits("y", "x")))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & once_only & apart)
     pairs = met.select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb"))
-    inside = groups.groupBy("gid").agg(F.min("sig").alias("u"), F.max("sig").alias("w"), F.count("comp").alias("c")).where(
-        (F.col("u") != F.col("w")) & (F.col("c") == 0)).select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
+    inside = placed.groupBy("gid").agg(F.min("sig").alias("u"), F.max("sig").alias("w"), F.count(F.lit(1)).alias("c"),
+        F.count("comp").alias("named"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where(
+        (F.col("u") != F.col("w")) & ((F.col("named") < F.col("c")) | (F.col("c1") != F.col("c2")))).select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     pairs = settle(pairs.union(inside).distinct(), "pairs")
 
     asked, wanted = dealt_pairs(pairs, 8 * PAIRS_AT_ONCE)
-    drawn = front.select("sig", "n", "bits").dropDuplicates(["sig"]).join(groups.select("sig", "gid"), "sig").join(
-        wanted.select("gid").distinct(), "gid", "left_semi").groupBy("gid").agg(F.collect_list(F.struct("sig", "n", "bits")).alias("sets"))
+    asked_about = wanted.select("gid").distinct()
+    drawn = may_be_among(placed.select("gid", "sig", "n", "bits"), asked_about, ["gid"]).join(asked_about, "gid").dropDuplicates(
+        ["gid", "sig"]).groupBy("gid").agg(F.collect_list(F.struct("sig", "n", "bits")).alias("sets"))
     drawn = drawn.join(wanted, "gid").select("task", "gid", "sets").toDF("task", "gid", "sets")
     bounded = settle(bound_groups(asked, drawn, percent), "bounded")
 
     asked = bounded.where(F.col("ga").isNotNull()).select("task", "ga", "gb")
     wanted = bounded.where(F.col("gid").isNotNull()).select("task", "gid", "sig")
-    needed = wanted.select("gid", "sig").distinct()
+    needed = wanted.groupBy("gid", "sig").agg(F.collect_set("task").alias("tasks"))
     spoken = rows.where(F.col("n") > 0).groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("sig", "r.*")
-    named = settle(spoken.join(needed, "sig").select("gid", "sig", "doc_id", "text_hash"), "named")
+    named = settle(spoken.join(needed, "sig").select("gid", "sig", "tasks", "doc_id", "text_hash"), "named")
     near = may_be_among(source, named, ["doc_id", "text_hash"])
     same = near["doc_id"].eqNullSafe(named["doc_id"]) & (near["text_hash"] == named["text_hash"])
-    fetched = near.join(named, same).select("gid", "sig", "text")
+    fetched = near.join(named, same).select("gid", "sig", "tasks", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()  # repeated rows meet in one task
-        for (gid, sig), found in _sets(batches, words):
-            new = [k for k, x in enumerate(sig.to_pylist()) if not (x in met or met.add(x))]
-            yield pa.RecordBatch.from_arrays([gid.take(pa.array(new, pa.int32())), sig.take(pa.array(new, pa.int32())),
-                                              pa.array([found[k].tobytes() for k in new], pa.binary())], names=["gid", "sig", "full"])
+        for (gid, sig, tasks), found in _sets(batches, words):
+            new = pa.array([k for k, x in enumerate(sig.to_pylist()) if not (x in met or met.add(x))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(c.take(new) for c in (gid, sig, tasks)), pa.array(
+                [found[k].tobytes() for k in new.to_pylist()], pa.binary())], names=["gid", "sig", "tasks", "full"])
 
-    matrix = settle(fetched.mapInArrow(full, "gid long, sig binary, full binary"), "matrix")
-    members = matrix.join(wanted, ["gid", "sig"]).select("task", "gid", "sig", "full").toDF("task", "gid", "sig", "full")
+    matrix = settle(fetched.mapInArrow(full, "gid long, sig binary, tasks array<long>, full binary"), "matrix")
+    members = matrix.select(F.explode("tasks").alias("task"), "gid", "sig", "full")
     # Links found late join components known from before; only what is between these is walked once more.
     found = open_groups(asked, members, percent)
     for end in ("a", "b"):

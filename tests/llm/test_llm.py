@@ -236,6 +236,48 @@ def test_similarity_join_is_exact(spark, monkeypatch, k, percent, cell):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, k, percent)
 
 
+def test_common_lines_make_no_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    lines = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(1500)]
+    rows = [(i, " ".join(lines[k] for k in rng.choice(1500, 10, replace=False))) for i in range(400)]
+    rows += [(1000 + i, t + f" extra{i}") for i, t in rows[:20]]
+    asked, settle = {}, tokengroups.settle
+
+    def counted(df, label):
+        out = settle(df, label)
+        asked[label] = out.count()
+        return out
+
+    monkeypatch.setattr(tokengroups, "settle", counted)
+    got = tokengroups.similar_components(frame(spark, rows), 3, 90).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, 3, 90)
+    assert asked["pairs"] <= 40
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_sets_that_link_share_a_part(percent):
+    rng, linked, thin = np.random.default_rng(3), 0, 0
+    for k in range(4000):
+        n, top = int(np.exp(rng.uniform(0.5, 5.5))), 1 << (60 if k % 3 == 0 else 63)  # few high bits: many parts stay empty
+        new = lambda n: rng.integers(0, top, n, dtype=np.uint64) * np.uint64(2)
+        a = np.unique(new(n))
+        b = np.unique(np.concatenate((rng.permutation(a)[rng.integers(0, n // 10 + 2) :], new(rng.integers(0, n // 10 + 2)))))
+        common = len(np.intersect1d(a, b))
+        if common and 100 * common >= percent * (len(a) + len(b) - common) and len(np.setxor1d(a, b)):
+            assert len(np.intersect1d(tokengroups.all_part_keys(a, percent), tokengroups.all_part_keys(b, percent)))
+            linked += 1
+            thin += k % 3 == 0
+    assert linked > 500 and thin > 100
+
+
+def test_groups_of_one_id_stay_exact(spark, monkeypatch):
+    monkeypatch.setattr(tokengroups, "CELL", 4)
+    monkeypatch.setattr(tokengroups.F, "hash", lambda *c: F.lit(7))
+    rows = near_rows(60)
+    got = tokengroups.similar_components(frame(spark, rows), 3, 90).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows, 3, 90)
+
+
 def test_similarity_join_of_nothing(spark):
     assert tokengroups.similar_components(frame(spark, [])).collect() == []
     got = tokengroups.similar_components(frame(spark, [(1, None), (2, ""), (2, "")])).collect()
