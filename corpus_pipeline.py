@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm import bytecnn, packing, tokengroups, toxicity
+from strataframe.llm import bytecnn, packing, prefixgroups, toxicity
 from strataframe.llm.labelled import remainder
 from strataframe.llm.queries import BYTES, SEQUENCE
 from strataframe.session import fresh_path
@@ -38,7 +38,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are no duplicates of anything. Rows with the id and text of the kept one count as one row; of
     rows with its id and other texts of the group the one with the smallest hash stays.
     """
-    found = tokengroups.similar_components(docs, WORDS, PERCENT)
+    found = prefixgroups.similar_components(docs, WORDS, PERCENT)
     alone = found.where(F.col("n_shingles") == 0).select("doc_id", "text_hash").distinct()
     first = found.where(F.col("n_shingles") > 0).groupBy("root").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("r")).select("r.doc_id", "r.text_hash")
