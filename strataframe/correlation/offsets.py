@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataframe.correlation.shortlist import shortlist
 from strataframe.functions.geo import along_track_km, bearing_deg, cross_track_km
 from strataframe.functions.numeric import round_half_up
 from strataframe.operators.joins import asof_join, band_totals, geo_neighbors, nearest_events
@@ -52,22 +53,26 @@ def rank_offsets(targets: DataFrame, places: DataFrame, tops: DataFrame, events:
     """Ranked offsets for many targets at once.
 
     targets (place_id, lat, lng, depth), one depth per target; places (place_id, lat, lng); tops (place_id,
-    formation, base_md, pp_gradient, fg_gradient); events (place_id, event_id, event_depth). Radius join, as-of tops
-    on both sides at the target depth, similarities, nearby events, then the ranked cut.
+    formation, base_md, pp_gradient, fg_gradient); events (place_id, event_id, event_depth). Own tops, the pairs within
+    the radius that can be among the first, as-of tops at the target depth, similarities, nearby events, then the ranked
+    cut: `shortlist` bounds all pairs, what it leaves is worked out in full.
     """
-    pairs = geo_neighbors(targets, places.select("place_id", "lat", "lng"), spec.radius_km)
-    pairs = pairs.select("place_id", "depth", F.col("near_place_id").alias("offset_id"), "distance_km",
-                         bearing_deg("lat", "lng", "near_lat", "near_lng").alias("bearing"))
+    places = places.select("place_id", "lat", "lng")
     take = ["formation", marker, "pp_gradient", "fg_gradient"]
     own = asof_join(targets.select("place_id", "depth"), tops, ["place_id"], "depth", marker, take, fallback="first")
-    own = own.select("place_id", "depth", *[F.col(c).alias(f"t_{c}") for c in take])
+    own = settle(own.select("place_id", "depth", *[F.col(c).alias(f"t_{c}") for c in take]), "own")
     away_tops = tops.withColumnRenamed("place_id", "offset_id")
+    away_events = settle(events.select(F.col("place_id").alias("offset_id"), "event_id", "event_depth"), "events")
+    short = shortlist(targets, places, own, away_tops, away_events, spec, marker, STRATEGY[spec.strategy], SAME_FORMATION,
+                      TROUBLE_STEP, TROUBLE_CAP)
+    pairs = geo_neighbors(targets, places, spec.radius_km, among=short)
+    pairs = settle(pairs.select("place_id", "depth", F.col("near_place_id").alias("offset_id"), "distance_km",
+                                bearing_deg("lat", "lng", "near_lat", "near_lng").alias("bearing")), "pairs")
     away = asof_join(pairs, away_tops, ["offset_id"], "depth", marker, take, fallback="first")
     both = away.join(own, ["place_id", "depth"]).where(F.col("t_formation").isNotNull() & F.col("formation").isNotNull())
 
     key = ["place_id", "offset_id"]
     asked = pairs.select(*key, "depth")
-    away_events = events.withColumnRenamed("place_id", "offset_id")
     trouble = band_totals(asked, away_events, ["offset_id"], "depth", "event_depth", spec.tolerance * 2, spec.tolerance * 2,
                           {"trouble_nearby": F.lit(1)}).drop("depth")
 

@@ -359,6 +359,16 @@ def exists_within(left: DataFrame, right: DataFrame, by: list[str], left_on: str
     return covered(left, wide, by, left_on, "_lo", "_hi", out)
 
 
+def sphere_cells(radius_km: float, earth: float = RADIUS_KM) -> float:
+    """Width of the cells of a cube grid in which places within a radius lie in one cell or in two that touch."""
+    return max(chord_km(radius_km, earth), 1e-6) * (1 + 1e-9)
+
+
+def grid_cell(lat: str, lng: str, cell: float, shift: tuple = (0, 0, 0), earth: float = RADIUS_KM) -> list[Column]:
+    """The cell of a place, moved by `shift`."""
+    return [F.floor(v * earth / cell) + s for v, s in zip(unit_xyz(lat, lng), shift)]
+
+
 def geo_neighbors(
     targets: DataFrame,
     candidates: DataFrame,
@@ -367,16 +377,24 @@ def geo_neighbors(
     lng: str = "lng",
     key: str = "place_id",
     earth: float = RADIUS_KM,
+    among: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs of different places within `radius_km`: target columns as they are, candidate columns prefixed `near_`.
 
     Places are put on a cube grid over the sphere with cells one radius wide, targets are copied to the 27 cells around
-    them and the join is an equi join on the cell, so poles and the date line need no special care.
+    them and the join is an equi join on the cell, so poles and the date line need no special care. `among` lists the
+    pairs of keys that are wanted, each once, if not all are.
     """
-    cell = max(chord_km(radius_km, earth), 1e-6) * (1 + 1e-9)
+    if among is not None:
+        c = candidates.select(*[F.col(x).alias(f"near_{x}") for x in candidates.columns])
+        dist = haversine_km(lat, lng, f"near_{lat}", f"near_{lng}", earth)
+        out = targets.join(among.select(key, f"near_{key}"), key).join(c, f"near_{key}").withColumn("distance_km", dist)
+        out = out.where((F.col(key) != F.col(f"near_{key}")) & (F.col("distance_km") <= radius_km))
+        return out.select(*targets.columns, *c.columns, "distance_km")
+    cell = sphere_cells(radius_km, earth)
 
     def cells(a, o, shift):
-        return [F.floor(v * earth / cell) + s for v, s in zip(unit_xyz(a, o), shift)]
+        return grid_cell(a, o, cell, shift, earth)
 
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     t = targets.select("*", F.explode(around).alias("_dx")).select("*", F.explode(around).alias("_dy"))

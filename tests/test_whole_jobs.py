@@ -161,3 +161,81 @@ def test_features_take_one_sort_and_code_the_jvm_compiles(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert "percentile(" not in plan and plan.count("lineitem.parquet") == 1  # incidents: before
+
+
+def wells(spark, n, odd):
+    """Targets, places, tops and events of n places a few kilometres apart; `odd` adds repeated, unknown and unbounded values."""
+    import random
+
+    dice, nan = random.Random(n), float("nan")
+    places = [(i, dice.choice([10.0, 10.1, 10.2]) + i % 4 / 1000, 179.95 - dice.choice([0.0, 0.1]) - i % 3 / 1000) for i in range(n)]
+    targets = [(i, lat, lng, float(dice.randrange(40) * 40)) for i, lat, lng in places]
+    tops = [(i, f"f{j}", j * 300.0 + dice.randrange(6) * 20, dice.choice([None, 0.4, 0.5]), dice.choice([None, 0.7, 0.8])) for i in range(n) for j in range(5)]
+    events = [(i, i * 1000 + j, dice.randrange(400) * 5.0) for i in range(n) for j in range((i % 4) ** 3)]
+    if odd:
+        places += places[::5] + [(i, 10.15, 179.9) for i in range(0, n, 6)] + [(None, 10.0, 179.9), (1, None, 179.9), (2, nan, 179.9)]
+        targets += targets[::4] + [(i, 10.12, 179.9, d + 40) for i, _, _, d in targets[::9]]
+        targets += [(i, 10.0, 179.9, d) for i, d in ((3, None), (5, nan), (7, float("inf")), (None, 100.0))]
+        tops = tops[n // 2:] + [(8, "f1", 10.0, nan, 0.7), (9, None, 10.0, 0.5, 0.7), (10, "f2", None, 0.5, 0.7), (11, "f2", nan, 0.5, 0.7), (None, "f1", 5.0, 0.5, 0.7)]
+        events += events[::3] + [(12, -1, None), (13, -2, nan), (None, -3, 100.0)]
+    made = spark.createDataFrame
+    return (made(targets, "place_id long, lat double, lng double, depth double"), made(places, "place_id long, lat double, lng double"),
+            made(tops, "place_id long, formation string, base_md double, pp_gradient double, fg_gradient double"),
+            made(events, "place_id long, event_id long, event_depth double"))
+
+
+def all_pairs(targets, places, *_):
+    from pyspark.sql import functions as F
+
+    return targets.select("place_id").distinct().crossJoin(places.select(F.col("place_id").alias("near_place_id")).distinct())
+
+
+def ranked(frames, strategy, monkeypatch, whole=False):
+    from strataframe.correlation import offsets
+
+    asked, asof = [], offsets.asof_join
+
+    def seen(left, *args, **kw):
+        asked.append(left.count())
+        return asof(left, *args, **kw)
+
+    with monkeypatch.context() as m:
+        m.setattr(offsets, "asof_join", seen)
+        if whole:
+            m.setattr(offsets, "shortlist", all_pairs)
+        rows = offsets.rank_offsets(*frames, offsets.OffsetSpec(strategy=strategy)).drop("nearby_events").collect()
+    return rows, max(asked)
+
+
+def test_offsets_are_worked_out_for_few_of_all_pairs(spark, monkeypatch):
+    frames = wells(spark, 150, odd=False)
+    rows, asked = ranked(frames, "pressure", monkeypatch)
+    whole, pairs = ranked(frames, "pressure", monkeypatch, whole=True)
+    assert sorted(map(str, rows)) == sorted(map(str, whole)) and len(rows) == 150 * 12
+    assert pairs == 150 * 149 and asked < 150 * 20
+
+
+def test_offsets_of_odd_rows_in_small_blocks(spark, monkeypatch):
+    from strataframe.correlation import shortlist
+
+    for name, size in (("CANDIDATES", 7), ("ASKED", 9), ("CELLS", 40)):
+        monkeypatch.setattr(shortlist, name, size)
+    frames = wells(spark, 60, odd=True)
+    rank = lambda rows: sorted((r["place_id"], r["rank"], r["score"], r["distance_km"], r["offset_id"]) for r in rows)
+    rows, asked = ranked(frames, "depth", monkeypatch)
+    whole, pairs = ranked(frames, "depth", monkeypatch, whole=True)
+    assert rank(rows) == rank(whole) and len(rows) > 400 and asked < pairs
+
+
+def test_levels_of_dense_events_take_few_steps(spark):
+    from strataframe.correlation.shortlist import level_steps
+
+    at = {1: [float(x) for x in range(500)], 2: [0.0, 0.0, 7.0, 30.0, 41.0, 49.0], 3: [5.0]}
+    events = spark.createDataFrame([(k, x) for k, xs in at.items() for x in xs] + [(4, None)], "k int, x double")
+    steps = level_steps(events, ["k"], "x", 10.0, 3).collect()
+    assert {r["k"] for r in steps} == {1, 2, 3} and len([r for r in steps if r["k"] == 1]) == 12
+    for k, xs in at.items():
+        for d in [i / 4 for i in range(-80, 2200)]:
+            lo, hi = (sum(r[c] for r in steps if r["k"] == k and r["at"] <= d) for c in ("lo", "hi"))
+            n, edge = sum(abs(x - d) <= 10 for x in xs), any(abs(x - d) == 10 for x in xs)
+            assert lo <= min(n, 3) <= hi and (edge or lo == hi)
